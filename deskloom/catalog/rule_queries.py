@@ -259,8 +259,8 @@ def judge_calibrate(spark, sf):
 
 
 # Probability vectors: softmax of six components of each embedding.
-_PROBS_SQL = """v AS (SELECT vec_id, list_transform(embedding[1:6], x -> exp(x::DOUBLE * 8)) AS e FROM embeddings),
-probs AS (SELECT vec_id, list_transform(e, x -> x / list_sum(e)) AS p FROM v)"""
+_PROBS_SQL = """v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: exp(x::DOUBLE * 8)) AS e FROM embeddings),
+probs AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM v)"""
 
 
 def _probs(spark, sf):
@@ -275,7 +275,7 @@ def _probs(spark, sf):
 @query(
     "entropy",
     f"""WITH {_PROBS_SQL} SELECT vec_id, round(list_sum(list_transform(p,
-      x -> -greatest(1e-12, least(1.0, x)) * log2(greatest(1e-12, least(1.0, x))))), 4) AS entropy FROM probs""",
+      lambda x: -greatest(1e-12, least(1.0, x)) * log2(greatest(1e-12, least(1.0, x))))), 4) AS entropy FROM probs""",
 )
 def entropy(spark, sf):
     return _probs(spark, sf).select("vec_id", PR.entropy(F.col("p")).alias("entropy"))

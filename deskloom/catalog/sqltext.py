@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from deskloom.catalog.base import quote
 from deskloom.functions import rules as R
-from deskloom.functions.text import HANDLE, PLACEHOLDERS, URL
+from deskloom.functions.text import HANDLE, PLACEHOLDERS, SPACE, SPACES, URL, WORD
 
 
 def sub(x: str, pattern: str, to: str) -> str:
@@ -14,11 +14,11 @@ def sub(x: str, pattern: str, to: str) -> str:
 
 
 def strip(x: str) -> str:
-    return sub(x, r"^\s+|\s+$", "")
+    return sub(x, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def squeeze(x: str) -> str:
-    return f"trim({sub(x, r'\s+', ' ')})"
+    return f"trim({sub(x, SPACE + '+', ' ')})"
 
 
 def clean_message(x: str) -> str:
@@ -30,8 +30,8 @@ def sanitize_customer(x: str) -> str:
 
 
 def sanitize_reply(x: str) -> str:
-    body = f"regexp_replace({strip(x)}, {quote('^' + HANDLE + chr(92) + 's*')}, '{{customer_handle}} ')"
-    body = sub(body, R.BRAND_TAG + r"\b", "")
+    body = f"regexp_replace({strip(x)}, {quote('^' + HANDLE + SPACE + '*')}, '{{customer_handle}} ')"
+    body = sub(body, rf"{R.BRAND_TAG}({NOT_WORD}|$)", r"\1")
     body = sub(body, HANDLE, "{customer_handle}")
     private = f"(contains(lower({body}), 'dm') OR contains(lower({body}), 'direct message'))"
     linked = (
@@ -41,7 +41,7 @@ def sanitize_reply(x: str) -> str:
 
 
 def dedup_key(x: str) -> str:
-    return squeeze(sub(sub(f"lower({x})", PLACEHOLDERS, ""), r"[^\p{L}\p{N}_\s]", ""))
+    return squeeze(sub(sub(f"lower({x})", PLACEHOLDERS, ""), rf"[^\p{{L}}\p{{N}}_{SPACES}]", ""))
 
 
 def fingerprint(x: str) -> str:
@@ -52,8 +52,28 @@ def contains_any(lowered: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {quote(w)})" for w in words) + ")"
 
 
+NOT_WORD = WORD.replace("[", "[^", 1)
+
+
+def re2(pattern: str, any_case: bool = True) -> str:
+    """Pattern for RE2, whose word boundary is ASCII and which has no lookaround.
+
+    Outer boundaries become consumed neighbours, so the words are group 1; a gap between
+    two boundaries must start and end with a character that is not part of a word.
+    """
+    gap = rf"(?:[^\p{{L}}\p{{N}}_\n](?:.*?[^\p{{L}}\p{{N}}_\n])?)"
+    body = pattern.replace(r"\b.*?\b", gap)
+    if body.startswith(r"\b"):
+        body = rf"(?:^|{NOT_WORD})" + body[2:]
+    if body.endswith(r"\b"):
+        body = body[:-2] + rf"(?:{NOT_WORD}|$)"
+    body = body.replace(r"\s", SPACE).replace(r"\S", f"[^{SPACES}]").replace(r"\d", r"\p{Nd}")
+    assert r"\b" not in body, body
+    return ("(?i)" if any_case else "") + body
+
+
 def matches(x: str, pattern: str, any_case: bool = True) -> str:
-    return f"regexp_matches({x}, {quote(R.any_case(pattern) if any_case else pattern)})"
+    return f"regexp_matches({x}, {quote(re2(pattern, any_case))})"
 
 
 def any_match(x: str, patterns: Sequence[str]) -> str:
@@ -86,7 +106,7 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
     body = strip(x)
 
     def word(p: str) -> str:
-        return f"regexp_extract({body}, {quote(R.any_case(p))}, 0)"
+        return f"regexp_extract({body}, {quote(re2(p))}, 1)"
 
     def reason(before: str, p: str, after: str) -> str:
         return f"{quote(before + chr(39))} || {word(p)} || {quote(chr(39) + after)}"

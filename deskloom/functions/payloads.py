@@ -104,7 +104,7 @@ def recover_payload(raw: Column, labels: Sequence[str] = R.PAYLOAD_INTENTS) -> C
 
 def escalate_high_risk(text: Column, payload: Column, pattern: str | None = None) -> Column:
     """The payload, replaced by a fixed escalation where a high-risk term occurs."""
-    pattern = pattern or R.high_risk_pattern()
+    pattern = R.same_case(pattern or R.high_risk_pattern())
     fixed = F.struct(
         F.lit("UNKNOWN").alias("primary_intent"),
         F.lit("SAFETY_ESCALATION").alias("requested_action"),

@@ -19,7 +19,7 @@ def has_link(reply: Column) -> Column:
 
 
 def names_version(text: Column) -> Column:
-    return F.rlike(F.lower(text), F.lit(R.VERSION))
+    return F.rlike(F.lower(text), F.lit(R.same_case(R.VERSION)))
 
 
 def names_device(text: Column, words: tuple[str, ...] = R.DEVICES) -> Column:
@@ -89,7 +89,7 @@ DIMENSIONS = (
 def rubric(customer: Column, reply: Column) -> Column:
     """Struct of five brand dimensions (1-5) and their mean; an empty reply scores 0."""
     said, asked = F.lower(reply), F.lower(customer)
-    specified = contains_any(asked, R.DEVICES) & F.rlike(asked, F.lit(R.VERSION))
+    specified = contains_any(asked, R.DEVICES) & F.rlike(asked, F.lit(R.same_case(R.VERSION)))
     device, version = contains_any(said, R.ASKS_DEVICE), contains_any(said, R.ASKS_VERSION)
     word, link = contains_any(said, R.DM_WORDS), contains_any(said, R.DM_LINKS)
     size = F.length(reply)

@@ -1,8 +1,8 @@
 """Rule tables: label sets, cue lists, patterns, thresholds and templates.
 
 Everything in this module is data. Operators take these values as parameters, so
-another product line can pass its own tables. Patterns are written in the dialect
-shared by Java and RE2 and are matched case-insensitively through a ``(?i)`` prefix.
+another product line can pass its own tables. Patterns are matched with ``any_case`` or
+``same_case``, which make word boundaries, spaces and case folding Unicode-aware.
 """
 
 from __future__ import annotations
@@ -248,8 +248,13 @@ BRAND = Brand()
 
 
 def any_case(pattern: str) -> str:
-    """The pattern with the case-insensitive flag both engines understand."""
-    return "(?i)" + pattern
+    """The pattern as a Java regex: any case, Unicode boundaries, digits and spaces."""
+    return "(?iU)" + pattern
+
+
+def same_case(pattern: str) -> str:
+    """The pattern as a Java regex: case kept, Unicode boundaries, digits and spaces."""
+    return "(?U)" + pattern
 
 
 def high_risk_pattern(terms: tuple[str, ...] = HIGH_RISK) -> str:

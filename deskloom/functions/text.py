@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from deskloom.functions.rules import BRAND, Brand, LIMITS
 
-# Letters, digits and underscore of any script; the same in Java and RE2.
+# Letters, digits and underscore of any script, and whitespace of any script; spelled out
+# so that Java and RE2 agree.
 WORD = r"[\p{L}\p{N}_]"
+SPACES = r"\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}"
+SPACE = rf"[{SPACES}]"
 HANDLE = rf"@{WORD}+"
-URL = r"https?://\S+"
+URL = rf"https?://[^{SPACES}]+"
 PLACEHOLDERS = r"\{customer_handle\}|\{dm_link\}|\{help_link\}"
 
 
 def strip(text: Column) -> Column:
     """Trim any leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def squeeze(text: Column) -> Column:
     """Collapse whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def contains_any(lowered: Column, words: tuple[str, ...] | list[str]) -> Column:
@@ -47,8 +50,8 @@ def sanitize_reply(text: Column, brand: Brand = BRAND) -> Column:
 
     A link becomes ``{dm_link}`` when the reply speaks of direct messages anywhere.
     """
-    body = F.regexp_replace(strip(text), rf"^{HANDLE}\s*", "{customer_handle} ")
-    body = F.regexp_replace(body, rf"{brand.tag}\b", "")
+    body = F.regexp_replace(strip(text), rf"^{HANDLE}{SPACE}*", "{customer_handle} ")
+    body = F.regexp_replace(body, rf"{brand.tag}(?!{WORD})", "")
     body = F.regexp_replace(body, HANDLE, "{customer_handle}")
     private = contains_any(F.lower(body), ("dm", "direct message"))
     linked = F.when(private, F.regexp_replace(body, URL, "{dm_link}")).otherwise(
@@ -60,7 +63,7 @@ def sanitize_reply(text: Column, brand: Brand = BRAND) -> Column:
 def dedup_key(text: Column) -> Column:
     """Key under which two texts count as the same wording."""
     bare = F.regexp_replace(F.lower(text), PLACEHOLDERS, "")
-    return squeeze(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", ""))
+    return squeeze(F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}_{SPACES}]", ""))
 
 
 def fingerprint(text: Column) -> Column:
