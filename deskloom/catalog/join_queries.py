@@ -241,13 +241,13 @@ def capped_mining(spark, sf):
 @query(
     "quota_fill",
     """WITH taken AS (SELECT CASE WHEN quality = 1 THEN 'en' ELSE 'fr' END AS lang, count(*) AS n
-                     FROM labels WHERE doc_id % 10 = 0 GROUP BY 1),
+                     FROM labels WHERE toxic = 1 GROUP BY 1),
     c AS (SELECT doc_id, lang, CASE WHEN source = 'src3' THEN 0 ELSE 1 END AS pr, md5('42:' || doc_id) AS h FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pr, h) AS rn FROM c)
     SELECT doc_id, lang FROM r LEFT JOIN taken USING (lang) WHERE rn <= 120 - coalesce(n, 0)""",
 )
 def quota_fill(spark, sf):
-    labels = table(spark, sf, "labels").filter("doc_id % 10 = 0")
+    labels = table(spark, sf, "labels").filter("toxic = 1")
     taken = SM.label_counts(
         labels.select(F.when(F.col("quality") == 1, "en").otherwise("fr").alias("lang")), "lang"
     )

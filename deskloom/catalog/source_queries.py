@@ -19,10 +19,9 @@ _TIME_FORMAT = "EEE MMM dd HH:mm:ss Z yyyy"
 def messages(spark, sf):
     """Message graph of the conversations: each turn answers the one before it.
 
-    Turn 0 of every seventh conversation is missing, so its children name a parent that is
-    not in the table.
+    System turns are no messages, so some parents are not in the table.
     """
-    rows = turns(spark, sf).filter(~((F.col("conv_id") % 7 == 3) & (F.col("turn") == 0)))
+    rows = turns(spark, sf).filter(F.col("role") != "system")
     created = F.timestamp_seconds(F.lit(1509487847) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("msg_id"),
@@ -37,7 +36,7 @@ MESSAGES_SQL = f"""{TURNS_SQL}, messages AS (
   SELECT conv_id || '-' || turn AS msg_id, author_id, text, turn,
          CASE WHEN turn % 5 <> 4 THEN to_timestamp(1509487847 + conv_id * 3600 + turn * 60) AT TIME ZONE 'UTC' END AS created,
          CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent_id
-  FROM turns WHERE NOT (conv_id % 7 = 3 AND turn = 0))"""
+  FROM turns WHERE role <> 'system')"""
 
 
 @query(
@@ -63,7 +62,7 @@ def scan_messages(spark, sf):
     "scan_jsonl_quarantine",
     """SELECT doc_id, CASE doc_id % 11 WHEN 4 THEN true ELSE false END AS quarantined,
        CASE doc_id % 11 WHEN 4 THEN NULL ELSE length(text) END AS chars
-       FROM documents WHERE doc_id % 11 <> 8""",
+       FROM documents""",
 )
 def scan_jsonl_quarantine(spark, sf):
     path = scratch_path(spark, "cases-jsonl")
@@ -71,10 +70,11 @@ def scan_jsonl_quarantine(spark, sf):
     good = F.to_json(F.struct(F.col("doc_id").cast("string").alias("case_id"), F.col("text").alias("clean_text")))
     line = (
         F.when(F.col("doc_id") % 11 == 4, F.concat(F.lit("{"), F.col("doc_id").cast("string"), F.lit(", broken")))
-        .when(F.col("doc_id") % 11 == 8, F.lit("   "))
         .otherwise(good)
     )
-    table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    # A blank line after every record.
+    lines = F.explode(F.array(line, F.lit("   ")))
+    table(spark, sf, "documents").select(lines.alias("value")).write.text(path)
     rows, bad = readers.read_cases(spark, path)
     return rows.select(
         F.col("case_id").cast("long").alias("doc_id"),

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskloom.functions.intents import label_name
-from deskloom.functions.rules import OTHER
+from deskloom.functions.rules import OTHER, STOP_WORDS
 from deskloom.functions.text import strip
 from deskloom.operators.metrics import majority_class
-from deskloom.operators.vectors import explode_terms, stop_words, weigh
+from deskloom.operators.vectors import explode_terms, weigh
 from deskloom.session import materialize
 
 TWO_CHARS = r"[\p{L}\p{N}_]{2,}"
@@ -50,14 +50,13 @@ class TextModel:
 
     vocabulary: DataFrame  # term, idx, idf
     size: int
-    stops: tuple[str, ...]
     model: LogisticRegressionModel
     labels: tuple[str, ...]
 
 
-def _term_rows(df: DataFrame, item: str, text: str, stops: Sequence[str]) -> DataFrame:
+def _term_rows(df: DataFrame, item: str, text: str) -> DataFrame:
     single = df.select(F.col(item).alias("_id"), F.lit("all").alias("_all"), F.col(text).alias("_text"))
-    return explode_terms(single, "_id", "_all", "_text", list(stops), TWO_CHARS)
+    return explode_terms(single, "_id", "_all", "_text", STOP_WORDS, TWO_CHARS)
 
 
 def _features(
@@ -92,8 +91,7 @@ def fit_text_model(
     The vocabulary is the ``max_features`` most frequent terms. The penalty is 1/rows, an
     inverse strength of 1 on the summed loss. ``label`` is the position in ``labels``.
     """
-    stops = stop_words(df.sparkSession)
-    terms = materialize(_term_rows(df, item, text, stops), "train-terms")
+    terms = materialize(_term_rows(df, item, text), "train-terms")
     rows = df.count()
     frequent = (
         terms.groupBy("term")
@@ -123,12 +121,12 @@ def fit_text_model(
         maxIter=max_iter,
         family="multinomial",
     ).fit(features)
-    return TextModel(vocabulary, size, tuple(stops), model, tuple(labels))
+    return TextModel(vocabulary, size, model, tuple(labels))
 
 
 def predict_text(model: TextModel, df: DataFrame, item: str, text: str) -> DataFrame:
     """Rows with ``predicted`` and ``confidence`` (4 digits)."""
-    terms = _term_rows(df, item, text, model.stops)
+    terms = _term_rows(df, item, text)
     featured = _features(df, item, terms, model.vocabulary, model.size)
     scored = model.model.transform(featured)
     return scored.select(

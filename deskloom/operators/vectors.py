@@ -7,6 +7,7 @@ list; see ``lexical_matches``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,26 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskloom.functions.rules import STOP_WORDS
 from deskloom.session import materialize
 
 
-def stop_words(spark) -> list[str]:
-    """Spark's English stop words; those with an apostrophe never survive tokenising."""
-    words = spark._jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords("english")
-    return sorted(w for w in words if "'" not in w)
-
-
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
-def tokens_of(text: Column, stops: list[str], token: str = TOKEN) -> Column:
+def tokens_of(text: Column, stops: Sequence[str], token: str = TOKEN) -> Column:
     """Array of lower-cased tokens without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0))
     return F.filter(words, lambda t: ~t.isin(*stops))
 
 
 def explode_terms(
-    df: DataFrame, item: str, group: str, text: str, stops: list[str], token: str = TOKEN
+    df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str = TOKEN
 ) -> DataFrame:
     """(item, grp, term, tf) of every text; bigrams are formed after stop words went."""
     tokens = df.select(
@@ -111,10 +107,9 @@ class LexicalIndex:
 
 
 def build_index(
-    df: DataFrame, item: str, group: str, text: str, k: int = 3, stops: list[str] | None = None
+    df: DataFrame, item: str, group: str, text: str, k: int = 3, stops: Sequence[str] = STOP_WORDS
 ) -> LexicalIndex:
     """TF-IDF index of a precedent table, partitioned by group."""
-    stops = stop_words(df.sparkSession) if stops is None else stops
     ids = df.select(F.col(item).alias("item"), F.col(group).alias("grp"))
     first = Window.partitionBy("grp").orderBy("item")
     padding = (
@@ -139,10 +134,9 @@ def query_vectors(
     group: str,
     text: str,
     index: LexicalIndex,
-    stops: list[str] | None = None,
+    stops: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Query terms in the vocabulary of their group: (item, grp, terms)."""
-    stops = stop_words(df.sparkSession) if stops is None else stops
     return weigh(explode_terms(df, item, group, text, stops), index.idf)
 
 
@@ -160,7 +154,7 @@ def lexical_matches(
     text: str,
     k: int = 3,
     hot_df: int = HOT_DF,
-    stops: list[str] | None = None,
+    stops: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Exact top-k items per query by cosine: (query, grp, item, score, rank).
 
