@@ -318,14 +318,14 @@ def dense_matches(
         F.pmod(F.xxhash64("id"), F.col("_qn")).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("ib"),
         F.col("id").alias("query"),
-        "vec",
+        F.col("vec").alias("qvec"),
     )
     i = items.join(shape, group).select(
         F.col(group).alias("grp"),
         F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)).alias("qb"),
         F.pmod(F.xxhash64("id"), F.col("_in")).cast("int").alias("ib"),
         F.col("id").alias("item"),
-        "vec",
+        F.col("vec").alias("ivec"),
     )
     schema = T.StructType(
         [
@@ -340,8 +340,8 @@ def dense_matches(
         if left.empty or right.empty:
             return pd.DataFrame(columns=["grp", "query", "item", "score"])
         right = right.sort_values("item", ignore_index=True)
-        a = np.stack(left["vec"].to_numpy()).astype("float64")
-        b = np.stack(right["vec"].to_numpy()).astype("float64")
+        a = np.stack(left["qvec"].to_numpy()).astype("float64")
+        b = np.stack(right["ivec"].to_numpy()).astype("float64")
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b /= np.linalg.norm(b, axis=1, keepdims=True)
         score = np.round(a @ b.T, 4)

@@ -67,9 +67,13 @@ class ReuseProcessor(StatefulProcessor):
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object
     ) -> Iterator[pd.DataFrame]:
+        chunks = [chunk for chunk in rows if len(chunk)]
+        if not chunks:
+            return
         stored = self.stored_at.get()[0] if self.stored_at.exists() else None
         # Time order inside a micro-batch is not given; a key's rows are put in order here.
-        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.event_id])
+        # The source's rate limit bounds a micro-batch.
+        frame = pd.concat(chunks, ignore_index=True).sort_values([self.ts, self.event_id])
         hits = []
         for sec in frame[self.ts].to_numpy():
             hit = stored is not None and sec < stored + self.ttl
@@ -99,9 +103,9 @@ def reuse_stream(
             T.StructField("hit", T.BooleanType()),
         ]
     )
-    timed = events.select(key, event_id, F.unix_seconds(F.col(ts).cast("timestamp")).alias("_sec"))
+    timed = events.select(key, event_id, F.unix_seconds(F.col(ts).cast("timestamp")).alias("event_sec"))
     return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=ReuseProcessor(key, "_sec", event_id, ttl),
+        statefulProcessor=ReuseProcessor(key, "event_sec", event_id, ttl),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
