@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.session import configure
+from deskloom.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry heavy work per text: spread if it is a single split."""
+    return spread(table(spark, sf_dir, name))
+
+
 CUSTOMER_PHRASES = (
     "@AppleSupport my battery will drain to 10% by noon, see https://t.co/abc123",
     "The charger cable is hot and the battery health percentage drops from 90",
@@ -109,7 +114,7 @@ def sql_pick(phrases: tuple[str, ...], position: str) -> str:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, text, lang, source): documents with a customer phrase in front."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.concat(pick(CUSTOMER_PHRASES, F.col("doc_id")), F.lit("\n"), F.col("text")).alias("text"),
         "lang",
@@ -134,7 +139,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("role") == "system", "system")
         .otherwise(F.concat(F.lit("cust_"), conv.cast("string")))
     )
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
         "role",

@@ -20,7 +20,7 @@ from deskloom.catalog.base import (
     requests,
     sql_list,
     sql_pick,
-    table,
+    table, texts,
     turns,
 )
 from deskloom.catalog.metric_queries import _macro_sql, _report_sql
@@ -396,7 +396,7 @@ def expand_dataset_rows(spark, sf):
 
 # Model-backed operators. Fitted weights are not SQL; the rows are checked by tests.
 def _quality(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return materialize(docs.select("doc_id", "text", "quality"), "quality")
 
 

@@ -16,7 +16,7 @@ from deskloom.catalog.base import (
     requests,
     sql_pick,
     pick,
-    table,
+    table, texts,
     turns,
 )
 from deskloom.catalog.source_queries import MESSAGES_SQL, messages
@@ -103,7 +103,7 @@ def intent_fallback(spark, sf):
     SELECT doc_id, text_key, text_key IN (SELECT text_key FROM prior) AS reused FROM d""",
 )
 def reuse_hits(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", fingerprint(F.col("text")).alias("text_key"), "lang")
+    docs = texts(spark, sf, "documents").select("doc_id", fingerprint(F.col("text")).alias("text_key"), "lang")
     prior = docs.filter("lang = 'en'").select("text_key").distinct()
     hits, misses = MT.split_by_reuse(docs.drop("lang"), prior)
     return hits.withColumn("reused", F.lit(True)).unionByName(misses.withColumn("reused", F.lit(False))).select(
@@ -154,7 +154,7 @@ def leakage_filter(spark, sf):
     SELECT doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1""",
 )
 def dedup_keep_first(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", dedup_key(F.col("text")).alias("k"))
+    docs = texts(spark, sf, "documents").select("doc_id", "source", dedup_key(F.col("text")).alias("k"))
     return MT.keep_first(docs, "k", ["doc_id"]).drop("k")
 
 
@@ -164,7 +164,7 @@ def dedup_keep_first(spark, sf):
     count(*) - count(DISTINCT {S.fingerprint('text')}) AS deduplicated_count FROM documents""",
 )
 def batch_dedup_stats(spark, sf):
-    return MT.batch_dedup_stats(table(spark, sf, "documents"), "text")
+    return MT.batch_dedup_stats(texts(spark, sf, "documents"), "text")
 
 
 @query(
@@ -173,7 +173,7 @@ def batch_dedup_stats(spark, sf):
     SELECT text_key, min(doc_id) AS doc_id, count(*) AS copies FROM d GROUP BY text_key""",
 )
 def dedup_representatives(spark, sf):
-    return MT.unique_texts(table(spark, sf, "documents"), "text", "doc_id").drop("text")
+    return MT.unique_texts(texts(spark, sf, "documents"), "text", "doc_id").drop("text")
 
 
 @query(
@@ -193,7 +193,7 @@ def cap_per_group(spark, sf):
     SELECT doc_id, printf('pair_%05d', row_number() OVER (ORDER BY doc_id)) AS pair_id FROM u""",
 )
 def pair_ids(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", dedup_key(F.col("text")).alias("k"))
+    docs = texts(spark, sf, "documents").select("doc_id", dedup_key(F.col("text")).alias("k"))
     return SM.pair_ids(MT.keep_first(docs, "k", ["doc_id"]).select("doc_id"), "doc_id", width=512)
 
 
@@ -234,7 +234,7 @@ def _capped_sql() -> str:
 
 @query("capped_mining", _capped_sql())
 def capped_mining(spark, sf):
-    docs = table(spark, sf, "documents").select("text", F.col("doc_id").alias("ord"))
+    docs = texts(spark, sf, "documents").select("text", F.col("doc_id").alias("ord"))
     return SM.mine_pools(docs, cues=_CAPPED_CUES, pool_size=_POOL).select("ord", "intent")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
-from deskloom.catalog.base import LANGUAGES, LANGUAGE_CUES, pick, query, quote, replies, sql_pick, table
+from deskloom.catalog.base import LANGUAGES, LANGUAGE_CUES, pick, query, quote, replies, sql_pick, table, texts
 from deskloom.catalog.rule_queries import _CASES_SQL, _JUDGE, _cases
 from deskloom.functions.intents import classify_by_cues
 from deskloom.functions.replies import judge_by_rules
@@ -21,7 +21,7 @@ predicted AS (SELECT d.doc_id, d.source, d.lang AS actual, c.intent AS predicted
 def predicted(spark, sf):
     """(doc_id, source, actual, predicted): language of each document, told by cues."""
     guess = classify_by_cues(F.col("text"), LANGUAGE_CUES, "none")["intent"]
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", "source", F.col("lang").alias("actual"), guess.alias("predicted")
     )
 

@@ -16,7 +16,7 @@ from deskloom.catalog.base import (
     replies,
     requests,
     sql_pick,
-    table,
+    table, texts,
     turns,
 )
 from deskloom.functions import payloads as P
@@ -76,7 +76,7 @@ def dedup_key(spark, sf):
     f"SELECT doc_id, {S.fingerprint('text')} AS text_key FROM documents",
 )
 def text_fingerprint(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", X.fingerprint(F.col("text")).alias("text_key")
     )
 
@@ -288,7 +288,7 @@ ok AS (SELECT doc_id, CASE WHEN body <> '' AND json_valid(body) THEN body END AS
 def json_extract(spark, sf):
     fields = P.json_fields(_response("doc_id"), P.PAYLOAD_FIELDS)
     return (
-        table(spark, sf, "documents")
+        texts(spark, sf, "documents")
         .select("doc_id", fields.alias("p"))
         .select(
             "doc_id",
@@ -320,7 +320,7 @@ def json_extract(spark, sf):
 )
 def payload_recover(spark, sf):
     return (
-        table(spark, sf, "documents")
+        texts(spark, sf, "documents")
         .select("doc_id", P.recover_payload(_response("doc_id")).alias("p"))
         .select("doc_id", "p.*")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
-from deskloom.catalog.base import LANGUAGE_CUES, query, quote, replies, table
+from deskloom.catalog.base import LANGUAGE_CUES, query, quote, replies, table, texts
 from deskloom.catalog.rule_queries import _CASES_SQL, _cases
 from deskloom.functions import routing as RT
 from deskloom.functions.intents import classify_by_cues
@@ -73,7 +73,7 @@ def match_sql(items: str, queries: str, k: int, name: str = "matches") -> str:
     + " SELECT grp, term, df, n, round(idf, 6) AS idf FROM idx_idf",
 )
 def tfidf_df(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     terms = V.explode_terms(docs, "doc_id", "lang", "text", STOP_WORDS)
     sizes = docs.groupBy(F.col("lang").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     return V.idf_table(terms, sizes).withColumn("idf", F.round("idf", 6))
@@ -120,7 +120,7 @@ passages AS (SELECT b.item_id AS item, c.intent AS grp, b.text FROM benchmark b
     + f" SELECT query, grp, item, score, rank, {S.zone('score')} AS zone FROM matches",
 )
 def topk_matches(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "lang", "text")
     guess = classify_by_cues(F.col("text"), LANGUAGE_CUES, "en")["intent"]
     passages = table(spark, sf, "benchmark").select("item_id", "text", guess.alias("lang"))
     index = V.build_index(docs, "doc_id", "lang", "text")

@@ -32,15 +32,12 @@ def classify_by_cues(text: Column, cues: Cues = CUES, other: str = OTHER) -> Col
         )
         for rank, (intent, words) in enumerate(cues.items())
     ]
-    best = F.array_max(F.array(*scored))
-    return F.transform(
-        F.array(best),
-        lambda b: F.struct(
-            F.when(b["hits"] > 0, b["intent"]).otherwise(other).alias("intent"),
-            b["hits"].alias("hits"),
-            cue_confidence(b["hits"]).alias("confidence"),
-        ),
-    )[0]
+    best = F.array_max(F.array(*scored))  # one shared subexpression in generated code
+    return F.struct(
+        F.when(best["hits"] > 0, best["intent"]).otherwise(other).alias("intent"),
+        best["hits"].alias("hits"),
+        cue_confidence(best["hits"]).alias("confidence"),
+    )
 
 
 def cue_confidence(hits: Column) -> Column:

@@ -154,24 +154,23 @@ def calibrate_judgement(
         | replies.asks_model(reply)
         | contains_any(said, ("reportaproblem", "iforgot"))
     )
-    excellent = link & clean & asks
-    brief = facts["char_length"] <= R.LIMITS.ideal_chars
 
     def score(value: Column) -> Column:
         number = F.coalesce(_number(value), F.lit(3.0))
         return F.greatest(F.lit(1.0), F.least(F.lit(5.0), number)).cast("int")
 
     def build(p: Column) -> Column:
+        clean, link, excellent = p["zero_liability_compliant"], p["has_dm_link"], p["excellent"]
         overall = F.when(clean, score(p["overall_score"])).otherwise(1)
         overall = F.when(~link, F.least(overall, F.lit(3))).otherwise(overall)
         overall = (
-            F.when(canned & touchy, F.least(overall, F.lit(2)))
-            .when(canned, F.least(overall, F.lit(3)))
+            F.when(p["canned"] & p["touchy"], F.least(overall, F.lit(2)))
+            .when(p["canned"], F.least(overall, F.lit(3)))
             .otherwise(overall)
         )
+        brief = p["char_length"] <= R.LIMITS.ideal_chars
         overall = F.when(excellent & brief, 5).when(excellent, 4).otherwise(overall)
-        diagnostic = score(p["diagnostic_probe"])
-        privacy = score(p["privacy_pivot"])
+        diagnostic, privacy = score(p["diagnostic_probe"]), score(p["privacy_pivot"])
         said_why = strip(F.coalesce(p["rationale"], F.lit("")))
         why = F.when(
             ~clean,
@@ -194,12 +193,20 @@ def calibrate_judgement(
             F.when(clean, 5).otherwise(1).alias("zero_liability"),
             overall.alias("overall_score"),
             F.when(excellent & (why == ""), praise).otherwise(why).alias("rationale"),
-            *[column.alias(name) for name, column in facts.items()],
+            *[p[name].alias(name) for name in facts],
         )
 
     fields = json_fields(raw, JUDGE_FIELDS)
     usable = fields.isNotNull()
     for name in JUDGE_FIELDS[:4]:
         usable = usable & (fields[name].isNull() | _number(fields[name]).isNotNull())
-    judged = F.transform(F.array(fields), build)[0]
+    # Scores and facts are bound once; the corrections then refer to them by name.
+    bound = F.struct(
+        *[fields[name].alias(name) for name in JUDGE_FIELDS],
+        *[column.alias(name) for name, column in facts.items()],
+        (link & clean & asks).alias("excellent"),
+        canned.alias("canned"),
+        touchy.alias("touchy"),
+    )
+    judged = F.transform(F.array(bound), build)[0]
     return F.when(usable, judged).otherwise(replies.judge_by_rules(customer, reply, intent))

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TTL_SECONDS = 3600
 
 
-def miss_seconds(seconds: np.ndarray, ttl: int) -> np.ndarray:
-    """Times that are misses: the first, then each first one ``ttl`` or more later."""
-    misses, at = [], 0
-    while at < len(seconds):
-        misses.append(seconds[at])
-        at = int(np.searchsorted(seconds, seconds[at] + ttl, side="left"))
-    return np.array(misses, dtype="int64")
+def miss_seconds(seconds: Column, ttl: int) -> Column:
+    """Of ascending times: the first, then each first one ``ttl`` or more after the last kept."""
+    nothing = F.array().cast("array<bigint>")
+    return F.aggregate(
+        seconds,
+        nothing,
+        lambda kept, at: F.when(
+            (F.size(kept) == 0) | (at >= F.get(kept, F.size(kept) - 1) + F.lit(ttl)),
+            F.concat(kept, F.array(at)),
+        ).otherwise(kept),
+    )
 
 
 def ttl_reuse(
@@ -33,16 +34,12 @@ def ttl_reuse(
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
     timed = events.withColumn("_sec", second)
     per_second = timed.groupBy(key, "_sec").agg(F.min(event_id).alias("_first"))
-    key_type = events.schema[key].dataType
-    schema = T.StructType(
-        [T.StructField(key, key_type), T.StructField("_sec", T.LongType())]
+    chain = F.array_sort(F.collect_list("_sec"))
+    missed = (
+        per_second.groupBy(key)
+        .agg(chain.alias("_times"))
+        .select(key, F.explode(miss_seconds(F.col("_times"), ttl)).alias("_sec"))
     )
-
-    def misses(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = miss_seconds(np.sort(pdf["_sec"].to_numpy()), ttl)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "_sec": found})
-
-    missed = per_second.select(key, "_sec").groupBy(key).applyInPandas(misses, schema)
     # The earliest event of a missed second computes the result; the others reuse it.
     first = per_second.join(missed, [key, "_sec"]).select(F.col("_first").alias("_miss_id"))
     return events.join(first, F.col(event_id) == F.col("_miss_id"), "left").select(
