@@ -25,7 +25,7 @@ def majority_class(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(
         F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias("majority"),
         F.max("n").alias("n"),
-        F.round(F.max("n") / F.sum("n"), 4).alias("share"),
+        F.round(F.try_divide(F.max("n"), F.sum("n")), 4).alias("share"),
     )
 
 
@@ -103,11 +103,11 @@ def macro_metrics(
     cut = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     rows = F.sum("support")
     return report.groupBy(*by).agg(
-        cut(F.sum(F.col("recall") * F.col("support")) / rows).alias("accuracy"),
+        cut(F.try_divide(F.sum(F.col("recall") * F.col("support")), rows)).alias("accuracy"),
         cut(F.avg("precision")).alias("macro_precision"),
         cut(F.avg("recall")).alias("macro_recall"),
         cut(F.avg("f1")).alias("macro_f1"),
-        cut(F.sum(F.col("f1") * F.col("support")) / rows).alias("weighted_f1"),
+        cut(F.try_divide(F.sum(F.col("f1") * F.col("support")), rows)).alias("weighted_f1"),
     )
 
 
@@ -159,7 +159,7 @@ def latency_stats(
     summary = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"),
         F.round(F.avg(value), 3).alias("mean_ms"),
-        F.round(F.count(F.lit(1)) / (F.sum(value) / 1000.0), 1).alias("items_per_sec"),
+        F.round(F.try_divide(F.count(F.lit(1)), F.sum(value) / 1000.0), 1).alias("items_per_sec"),
         *([] if exact else [F.percentile_approx(value, 0.95, 100000).alias("p95_ms")]),
     )
     if not exact or by:
@@ -226,9 +226,9 @@ def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
         )
     )
     total = F.col("total")
-    e2 = F.col("squares") - 2 * F.col("sa") * F.col("sb") / total
+    e2 = F.col("squares") - F.try_divide(2 * F.col("sa") * F.col("sb"), total)
     # Sum over thresholds of ca*(total-cb) + (total-ca)*cb, divided by the total.
-    e1 = F.col("csum") - 2 * F.col("cc") / total
+    e1 = F.col("csum") - F.try_divide(2 * F.col("cc"), total)
     kappa = lambda o, e: F.round(1 - F.try_divide(F.col(o), e), 4)
     both = expected.join(observed, F.lit(True))  # one row each
     return both.select(
@@ -257,13 +257,18 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         F.sum(w * y * y).alias("syy"),
     )
     n = F.col("n")
-    rho = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(
-        (n * F.col("sxx") - F.col("sx") * F.col("sx"))
-        * (n * F.col("syy") - F.col("sy") * F.col("sy"))
+    # NULL where a column is constant.
+    rho = F.try_divide(
+        n * F.col("sxy") - F.col("sx") * F.col("sy"),
+        F.sqrt(
+            (n * F.col("sxx") - F.col("sx") * F.col("sx"))
+            * (n * F.col("syy") - F.col("sy") * F.col("sy"))
+        ),
     )
+    t = F.col("rho") * F.sqrt(F.try_divide(n - 2, 1 - F.col("rho") * F.col("rho")))
     return sums.select(rho.alias("rho"), "n").select(
         F.round("rho", 4).alias("rho"),
-        F.round(F.col("rho") * F.sqrt((n - 2) / (1 - F.col("rho") * F.col("rho"))), 4).alias("t"),
+        F.round(t, 4).alias("t"),
         n.cast("long").alias("n"),
     )
 
