@@ -102,7 +102,7 @@ class LexicalIndex:
 
     postings: DataFrame  # grp, term, item, w
     vectors: DataFrame  # item, grp, terms
-    idf: DataFrame  # grp, term, df, n, idf, peak
+    idf: DataFrame  # grp, term, df, n, idf
     groups: DataFrame  # grp, n, padding items
 
 
@@ -123,9 +123,7 @@ def build_index(
     terms = materialize(explode_terms(df, item, group, text, stops), "index-terms")
     idf = materialize(idf_table(terms, groups.select("grp", "n")), "index-idf")
     vectors = materialize(weigh(terms, idf), "index-vectors")
-    peaks = flat(vectors).groupBy("grp", "term").agg(F.max("w").alias("peak"))
-    full = materialize(idf.join(peaks, ["grp", "term"]), "index-idf-peaks")
-    return LexicalIndex(flat(vectors), vectors, full, groups)
+    return LexicalIndex(flat(vectors), vectors, idf, groups)
 
 
 def query_vectors(
@@ -168,7 +166,10 @@ def lexical_matches(
     such terms cannot enter the list. They are looked up afterwards for the remaining
     candidates alone.
     """
-    vectors = query_vectors(queries, item, group, text, index, stops)
+    # Written, so that a small query set is broadcast and the postings stay unshuffled.
+    vectors = materialize(
+        query_vectors(queries, item, group, text, index, stops), "query-vectors"
+    )
     hot_terms = index.idf.filter(F.col("df") > hot_df)
     if hot_terms.limit(1).count() == 0:
         scores = _score(flat(vectors), index.postings)
@@ -190,24 +191,24 @@ def _score(query_terms: DataFrame, postings: DataFrame, extra: tuple[str, ...] =
 
 
 def _score_with_hot_terms(
-    queries: DataFrame, index: LexicalIndex, k: int, hot_df: int
+    vectors: DataFrame, index: LexicalIndex, k: int, hot_df: int
 ) -> DataFrame:
-    hot = F.col("df") > hot_df
-    facts = index.idf.select("grp", "term", "df", "peak")
-    terms = materialize(
-        flat(queries)
-        .join(facts, ["grp", "term"])
-        .withColumn("bound", F.col("w") * F.col("peak")),
-        "query-terms",
-    )
-    postings = index.postings.join(facts.select("grp", "term", "df"), ["grp", "term"])
-    cold_postings = postings.filter(~hot).drop("df")
+    terms = flat(vectors)
+    hot_terms = index.idf.filter(F.col("df") > hot_df).select("grp", "term", "df")
     blocks = F.ceil(F.col("df") / F.lit(hot_df)).cast("int")
-    hot_postings = postings.filter(hot).withColumn(
-        "block", F.pmod(F.xxhash64("item"), blocks).cast("int")
-    ).drop("df")
+    hot_postings = materialize(
+        index.postings.join(hot_terms, ["grp", "term"]).withColumn(
+            "block", F.pmod(F.xxhash64("item"), blocks).cast("int")
+        ),
+        "hot-postings",
+    )
+    peaks = hot_postings.groupBy("grp", "term").agg(
+        F.max("w").alias("peak"), F.first("df").alias("df")
+    )
+    hot_postings = hot_postings.drop("df")
 
-    cold = materialize(_score(terms.filter(~hot), cold_postings), "cold-scores")
+    cold_terms = terms.join(hot_terms.drop("df"), ["grp", "term"], "left_anti")
+    cold = materialize(_score(cold_terms, index.postings), "cold-scores")
     best = Window.partitionBy("query", "grp").orderBy(F.col("score").desc())
     floor_ = (
         cold.withColumn("_rn", F.row_number().over(best))
@@ -223,8 +224,8 @@ def _score_with_hot_terms(
     )
     needed = F.coalesce(F.col("floor"), F.lit(0.0)) - ROUNDING
     hot_query = materialize(
-        terms.filter(hot)
-        .withColumn("_upto", F.sum("bound").over(frequent_first))
+        terms.join(peaks, ["grp", "term"])
+        .withColumn("_upto", F.sum(F.col("w") * F.col("peak")).over(frequent_first))
         .join(floor_.withColumnRenamed("query", "item"), ["item", "grp"], "left")
         .withColumn("aside", F.col("_upto") < needed),
         "hot-query-terms",

@@ -281,8 +281,8 @@ def test_decide(spark):
     cases = spark.createDataFrame(
         [
             ("1", "My charger sparked and is smoking!", "u"),
-            ("2", "battery drains after the charge, dying cable", "@u"),
-            ("3", "battery drains after the charge, dying cable", "@v"),
+            ("2", "battery drains after the charge, cable", "@u"),
+            ("3", "battery drains after the charge, cable", "@v"),
             ("4", "zzz qqq", "u"),
             ("5", "password locked", "u"),
         ],
