@@ -1,18 +1,21 @@
-"""Sinks. Each write is one job; row counts are observed while writing."""
+"""Sinks. Row counts come from what was stored, so retried tasks cannot inflate them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.operators.metrics import counts_with_total
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> int:
-    """Write and return the number of rows written, without a second pass."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode(mode).save(path)
-    return seen.get["rows"]
+    """Write, then count the rows stored; the input is computed once.
+
+    A count while writing would need an ``Observation``, which leaves a session unable to
+    serialize the ML closures that refer to it (Spark 4.1).
+    """
+    df.write.format(fmt).mode(mode).save(path)
+    return df.sparkSession.read.schema(df.schema).format(fmt).load(path).count()
 
 
 def write_vault(vault: DataFrame, path: str, source: str, max_per_intent: int | None = None) -> None:

@@ -94,6 +94,10 @@ def main() -> int:
                 problem = None if rows else "no rows"
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            cause = getattr(error, "java_exception", None)
+            while cause is not None:
+                problem += f"\n     caused by {str(cause.toString())[:600]}"
+                cause = cause.getCause()
         took = time.time() - start
         kind = "sql " if name in oracles else "rows"
         print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {took:6.2f}s {name}", flush=True)
