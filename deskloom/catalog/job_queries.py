@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
 from deskloom.catalog.base import (
-    LANGUAGES,
     REPLIES_SQL,
     REQUESTS_SQL,
     TURNS_SQL,
@@ -24,16 +23,14 @@ from deskloom.catalog.base import (
     turns,
 )
 from deskloom.catalog.metric_queries import _macro_sql, _report_sql
-from deskloom.catalog.source_queries import MESSAGES_SQL, messages
+from deskloom.catalog.source_queries import messages
 from deskloom.catalog.vector_queries import index_sql, match_sql
 from deskloom.functions import replies as RP
 from deskloom.functions import rules as R
 from deskloom.functions.intents import classify_by_cues, cue_hits, first_cue_intent
 from deskloom.functions.text import fingerprint
 from deskloom.operators import learners as L
-from deskloom.operators.matching import keep_first
 from deskloom.operators.sampling import stratified_split
-from deskloom.operators import metrics as M
 from deskloom.plans import classify as C
 from deskloom.plans import evaluate as E
 from deskloom.plans.cases import extract_cases

@@ -6,22 +6,16 @@ from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
 from deskloom.catalog.base import (
-    CUSTOMER_PHRASES,
     REPLIES_SQL,
-    REQUESTS_SQL,
-    TURNS_SQL,
     query,
     quote,
-    replies,
-    requests,
     sql_pick,
     pick,
     table, texts,
     turns,
 )
 from deskloom.catalog.source_queries import MESSAGES_SQL, messages
-from deskloom.functions import rules as R
-from deskloom.functions.text import clean_message, dedup_key, fingerprint, strip
+from deskloom.functions.text import dedup_key, fingerprint
 from deskloom.operators import matching as MT
 from deskloom.operators import sampling as SM
 from deskloom.operators import threads as TH

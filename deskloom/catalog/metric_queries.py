@@ -8,7 +8,6 @@ from deskloom.catalog import sqltext as S
 from deskloom.catalog.base import LANGUAGES, LANGUAGE_CUES, pick, query, quote, replies, sql_pick, table, texts
 from deskloom.catalog.rule_queries import _CASES_SQL, _JUDGE, _cases
 from deskloom.functions.intents import classify_by_cues
-from deskloom.functions.replies import judge_by_rules
 from deskloom.operators import metrics as M
 from deskloom.operators.sampling import stratified_folds
 from deskloom.plans import evaluate as E

@@ -11,7 +11,6 @@ from deskloom.catalog.base import (
     REQUESTS_SQL,
     pick,
     query,
-    quote,
     replies,
     requests,
     sql_list,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
-from deskloom.catalog.base import LANGUAGE_CUES, query, quote, replies, table, texts
+from deskloom.catalog.base import LANGUAGE_CUES, query, quote, table, texts
 from deskloom.catalog.rule_queries import _CASES_SQL, _cases
 from deskloom.functions import routing as RT
 from deskloom.functions.intents import classify_by_cues

@@ -230,7 +230,8 @@ def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     # Sum over thresholds of ca*(total-cb) + (total-ca)*cb, divided by the total.
     e1 = F.col("csum") - F.try_divide(2 * F.col("cc"), total)
     kappa = lambda o, e: F.round(1 - F.try_divide(F.col(o), e), 4)
-    both = expected.join(observed, F.lit(True))  # one row each
+    one = F.lit(1).alias("_one")  # one row on each side
+    both = expected.select("*", one).join(observed.select("*", one), "_one")
     return both.select(
         kappa("o2", e2).alias("quadratic_kappa"),
         kappa("o1", e1).alias("linear_kappa"),
