@@ -42,14 +42,13 @@ def _sides(df: DataFrame, actual: str, predicted: str, by: Sequence[str]) -> Dat
     n, none = F.col("n"), F.lit(0).cast("long")
     pairs = df.groupBy(*by, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
     hits = F.when(F.col(actual) == F.col(predicted), n).otherwise(none)
-    seen = pairs.select(
-        *by, F.col(actual).alias("label"), n.alias("s"), none.alias("p"), hits.alias("h")
-    )
-    said = pairs.select(
-        *by, F.col(predicted).alias("label"), none.alias("s"), n.alias("p"), none.alias("h")
+    # Both sides of a pair from one pass over the input.
+    sides = F.array(
+        F.struct(F.col(actual).alias("label"), n.alias("s"), none.alias("p"), hits.alias("h")),
+        F.struct(F.col(predicted).alias("label"), none.alias("s"), n.alias("p"), none.alias("h")),
     )
     return (
-        seen.unionByName(said)
+        pairs.select(*by, F.inline(sides))
         .groupBy(*by, "label")
         .agg(F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
     )
@@ -189,11 +188,12 @@ def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     none = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("a").alias("label"), F.col("n").alias("na"), none.alias("nb")),
+        F.struct(F.col("b").alias("label"), none.alias("na"), F.col("n").alias("nb")),
+    )
     marginals = (
-        pairs.select(F.col("a").alias("label"), F.col("n").alias("na"), none.alias("nb"))
-        .unionByName(
-            pairs.select(F.col("b").alias("label"), none.alias("na"), F.col("n").alias("nb"))
-        )
+        pairs.select(F.inline(sides))
         .groupBy("label")
         .agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     )
