@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import decontaminate, quality, simhash, tokens, urls, warc
+from deskloom.llm import decontaminate, quality, simhash, substring, tokens, urls, warc
 from deskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated windows."""
+    untouched, affected = substring.deduplicated(table(spark, sf_dir, "documents"))
+    nothing = F.lit(0).cast("long").alias("n_removed")
+    return untouched.select("doc_id", "n_words", nothing, F.col("digest").alias("kept_sha256")).unionByName(
+        affected.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    )

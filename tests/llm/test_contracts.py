@@ -66,3 +66,8 @@ def test_op9(spark, rows):
 def test_op10(spark, rows):
     got = result(spark, "op10_decontaminate", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute.benchmark_hits(rows("documents", "doc_id", "text"), rows("benchmark", "item_id", "text"))
+
+
+def test_op3(spark, rows):
+    got = result(spark, "op3_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring_dedup(rows("documents", "doc_id", "text"))
