@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import decontaminate, quality, simhash, substring, tokens, urls, warc
+from deskloom.llm import decontaminate, licenses, mixing, quality, simhash, substring, tokens, toxicity, urls, warc
 from deskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,50 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return untouched.select("doc_id", "n_words", nothing, F.col("digest").alias("kept_sha256")).unionByName(
         affected.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
     )
+
+
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    word = F.transform("places", lambda p: p["word"])
+    base, more = F.transform("places", lambda p: p["label"]), F.transform("found", lambda p: p["label"])
+    best = F.array_max(F.transform("found", lambda p: p["share"]))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(word).alias("first_word"),
+        F.array_max(word).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, ["doc_id"]).select(
+        "row.doc_id",
+        F.coalesce(toxicity.fold(F.col("row.doc_id")) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+#: Domains of the labelled table and the wanted shares of tokens.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality = 1 THEN 'clean' END"
+WEIGHTS, ANCHOR = {"clean": 0.95, "poor": 0.04, "toxic": 0.01}, "clean"
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, domain posteriors, rate and copies of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows, classifier = mixing.mixed(docs, labels, F.expr(DOMAIN), WEIGHTS, ["doc_id"], anchor=ANCHOR)
+    p = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
+    times = mixing.copies(F.col("rate"), F.col("row.doc_id")).alias("copies")
+    return rows.select("row.doc_id", "n_tokens", *p, "rate", times)

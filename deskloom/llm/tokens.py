@@ -12,8 +12,10 @@ is in the Arrow IPC file format with columns
 All record batches but the last hold the same number of sequences, so sequence i is batch
 ``i // batch``, row ``i % batch``, read through a memory map without copying.
 
-The tokenizer runs once per distinct piece of text between ASCII white space: its normalizer
-and pre-tokenizer never join or look across white space, so the ids are those of whole texts.
+The library's normalizer, pre-tokenizer and model run once per distinct piece of text between
+ASCII white space. This encoder is for vocabularies whose normalizer lowers case and whose
+pre-tokenizer drops white space (as ``word_bpe_49k.json``): neither joins nor looks across white
+space, so the ids are those of whole texts; ``Encoder`` refuses other files.
 Null and empty texts hold the end id alone. Null ids come first. Repeated rows are all kept.
 """
 
@@ -48,18 +50,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.encode("A b.", add_special_tokens=False).tokens != ["a</w>", "b</w>", ".</w>"]:
+            raise ValueError(f"{path}: words must be lower-cased, apart from white space, with word ends")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
+        self.normal = self.tokenizer.normalizer.normalize_str
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.pieces: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        fresh = list({p for text in texts for p in text} - self.pieces.keys())
+        fresh = {p for text in texts for p in text} - self.pieces.keys()
         if len(self.pieces) + len(fresh) > REMEMBERED:
             self.pieces = {}
-            fresh = list({p for text in texts for p in text})
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.pieces.update((p, np.array(c.ids, self.dtype).tobytes()) for p, c in zip(part, coded))
+            fresh = {p for text in texts for p in text}
+        for piece in fresh:
+            self.pieces[piece] = self._ids(piece)
+
+    def _ids(self, piece: bytes) -> bytes:
+        """Ids of a piece without white space; special tokens go the library's whole way."""
+        if b"<|" in piece:
+            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+            return np.array(ids, self.dtype).tobytes()
+        # A final comma or stop behind an ASCII letter is always a piece of its own.
+        if len(piece) > 1 and piece[-1:] in (b",", b".") and piece[-2:-1].isalnum():
+            return self._known(piece[:-1]) + self._known(piece[-1:])
+        return self._known(piece)
+
+    def _known(self, piece: bytes) -> bytes:
+        piece = piece.lower()  # ASCII only; the normalizer lowers the rest
+        held = self.pieces.get(piece)
+        if held is None:
+            if piece.isalpha():  # ASCII letters: one token run, bytes as they are
+                runs = [piece.decode()]
+            else:
+                runs = [r for r, _ in self.split(self.normal(piece.decode()))]
+            held = np.array([t.id for r in runs for t in self.model.tokenize(r)], self.dtype).tobytes()
+            self.pieces[piece] = held
+        return held
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
