@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deskloom.llm import decontaminate, quality, simhash, tokens
+from deskloom.llm import decontaminate, mixing, quality, simhash, tokens
 from deskloom.llm.common import prepare, table, written
-from deskloom.llm.queries import END_ID, vocabulary
+from deskloom.llm.queries import ANCHOR, DOMAIN, END_ID, WEIGHTS, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rate says."""
+    labels = table(spark, sf_dir, "labels")
+    return mixing.resampled(docs, labels, F.expr(DOMAIN), WEIGHTS, anchor=ANCHOR)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, listed per document from the written files."""
     prepare(spark)
@@ -36,6 +43,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_dedup", simhash_dedup),
     ("decontamination", decontamination),
+    ("mix_to_targets", mix_to_targets),
     ("token_output", token_output),
 ]
 
