@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskloom.session import configure, materialize
+from deskloom.session import configure, scratch_path
 
 #: Rows and bytes of text that a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
@@ -104,7 +104,9 @@ def map_texts(
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, outlives executors."""
-    return materialize(df, f"llm-{label}")
+    path = scratch_path(df.sparkSession, f"llm-{label}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lists(offsets, values: pa.Array) -> pa.ListArray:

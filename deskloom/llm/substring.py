@@ -178,21 +178,28 @@ def _cut(width: int, masks: int):
     return run
 
 
-def _masks(hits: DataFrame, sources: DataFrame, width: int) -> DataFrame:
-    """(seed, body, mask) of every path of a branching seed."""
+def _to_open(hits: DataFrame) -> DataFrame:
+    """(id, print, open) of every text with a repeated seed; ``open`` holds the paths of
+    branching seeds whose one source to open lies in this text."""
     distinct = (
         hits.filter("branching")
         .groupBy("seed", "body")
         .agg(F.count("*").alias("total"), F.min(F.struct("id", "print", "at", "n")).alias("first"))
     )
-    by_text = distinct.groupBy("first.id", "first.print").agg(
-        F.collect_list(
-            F.struct("seed", "body", F.col("first.at").alias("at"), F.col("first.n").alias("n"), "total")
-        ).alias("open")
-    )
-    # Rows that repeat an id and a text would open a path again: one of them is enough.
+    path = F.struct("seed", "body", F.col("first.at").alias("at"), F.col("first.n").alias("n"), "total")
+    chosen = distinct.select("first.id", "first.print", path.alias("path"))
+    others = hits.select("id", "print", F.lit(None).cast(chosen.schema["path"].dataType).alias("path")).distinct()
+    return chosen.unionByName(others).groupBy("id", "print").agg(F.collect_list("path").alias("open"))
+
+
+def _masks(affected: DataFrame, width: int) -> DataFrame:
+    """(seed, body, mask) of every path of a branching seed.
+
+    A path found twice is repeated as a whole; its edges count for other paths only. Rows
+    that repeat an id and a text open their paths again, which are such paths already.
+    """
     opened = written(
-        sources.join(written(by_text, "open"), ["id", "print"])
+        affected.filter(F.size("open") > 0)
         .select("text", "open")
         .mapInArrow(_opened(width), "seed long, body long, total long, edge long, bit long"),
         "edges",
@@ -200,9 +207,10 @@ def _masks(hits: DataFrame, sources: DataFrame, width: int) -> DataFrame:
     common = written(
         opened.groupBy("seed", "edge").agg(F.sum("total").alias("n")).filter("n > 1").select("seed", "edge"), "common"
     )
-    return opened.join(common, ["seed", "edge"]).groupBy("seed", "body").agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit AS int))")).alias("mask")
-    )
+    bit = F.expr("shiftleft(1L, cast(bit AS int))")
+    single = opened.filter("total = 1").join(common, ["seed", "edge"]).select("seed", "body", bit.alias("bits"))
+    twice = opened.filter("total > 1").select("seed", "body", bit.alias("bits"))
+    return single.unionByName(twice).groupBy("seed", "body").agg(F.bit_or("bits").alias("mask"))
 
 
 def deduplicated(
@@ -238,9 +246,8 @@ def deduplicated(
         "seeds",
     )
     hits = written(places.join(seeds, "seed"), "hits")
-    touched = written(hits.select("id", "print").distinct(), "touched")
-    affected = written(source.join(touched, ["id", "print"], "left_semi"), "affected")
-    masks = written(_masks(hits, affected.select("id", "print", "text").dropDuplicates(["id", "print"]), width), "masks")
+    affected = written(source.join(written(_to_open(hits), "open"), ["id", "print"]), "affected")
+    masks = written(_masks(affected, width), "masks")
     whole = hits.filter("not branching").select(
         "id", "print", "at", (F.expr("shiftleft(1L, n)") - 1).alias("mask")
     )
@@ -250,7 +257,8 @@ def deduplicated(
     )
     row = F.struct("doc_id").alias("row")
     reduced = (
-        affected.join(cuts, ["id", "print"])
+        affected.select("doc_id", "id", "print", "text")
+        .join(cuts, ["id", "print"])
         .select(row, "text", "cuts")
         .mapInArrow(_cut(width, width - gram + 1), "row struct<doc_id: long>, n_words long, n_removed long, kept_text string")
         .select("row.doc_id", "n_words", "n_removed", "kept_text")
