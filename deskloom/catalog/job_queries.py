@@ -140,12 +140,6 @@ _DECISION = [
 ]
 
 
-def _flat_decision(df):
-    return df.withColumn("best_pair", F.get("matches", F.lit(0))["pair_id"]).withColumn(
-        "n_matches", F.coalesce(F.size("matches"), F.lit(0))
-    ).select(*_DECISION)
-
-
 DECIDED_SQL = f"WITH {decide_sql()} SELECT {', '.join(_DECISION)} FROM decided"
 
 
@@ -160,12 +154,10 @@ def decide_rows(spark, sf):
 @query(
     "prompt_table",
     f"""WITH {decide_sql()}, lines AS (SELECT m.query AS case_id,
-      string_agg('Precedent ' || m.rank || ': Customer: "' || v.customer_query || '" -> Apple: "' || v.agent_reply || '"',
-                 chr(10) ORDER BY m.rank) AS lines
+      string_agg(m.rank || '. Q: ' || v.customer_query || chr(10) || '   A: ' || v.agent_reply, chr(10) ORDER BY m.rank) AS lines
       FROM matches m JOIN vault v ON v.pair_id = m.item GROUP BY m.query)
-    SELECT d.case_id, 'Historical Apple Precedents for intent ' || d.intent || ':' || chr(10) || coalesce(lines, '') ||
-      chr(10) || chr(10) || 'New Customer Tweet: "' || d.customer_text || '"' || chr(10) || chr(10) ||
-      'Draft the official @AppleSupport tweet:' AS prompt,
+    SELECT d.case_id, 'Earlier answers, topic ' || d.intent || ':' || chr(10) || coalesce(lines, '') ||
+      chr(10) || chr(10) || 'Question: ' || d.customer_text AS prompt,
       {S.contains_any('lower(d.customer_text)', R.DRAFT_DEVICES)} AND {S.matches('lower(d.customer_text)', R.VERSION, False)} AS specified
     FROM decided d LEFT JOIN lines USING (case_id) WHERE d.decision <> 'HANDOFF'""",
 )
@@ -176,7 +168,7 @@ def prompt_table_rows(spark, sf):
     )
     text = F.col("text")
     prompts = prompt_table(decided, RP.names_device(text, R.DRAFT_DEVICES), RP.names_version(text))
-    acknowledged = F.contains("system_instruction", F.lit("Acknowledge the device/symptoms."))
+    acknowledged = F.contains("system_instruction", F.lit(R.BRAND.ask_nothing))
     return prompts.select("case_id", "prompt", acknowledged.alias("specified"))
 
 
@@ -236,38 +228,20 @@ def batch_stats(spark, sf):
 
 
 # Three systems over the answered questions; the derived golden intent is a label by thread.
-def _systems(spark, sf):
-    golden = materialize(
+def _golden(spark, sf):
+    return materialize(
         replies(spark, sf).select(
-            "case_id", F.col("customer_text").alias("text"), pick(R.TAXONOMY, F.col("conv_id")).alias("actual")
+            "case_id", F.col("customer_text").alias("text"), pick(R.TAXONOMY, F.col("conv_id")).alias("intent")
         ),
         "golden",
     )
-    user, no = F.lit("@user"), F.lit(False)
-    out = ["model", "case_id", "text", "actual", "predicted", "reply", "suppressed"]
-    trivial = (
-        L.majority_predict(golden, "actual")
-        .withColumn("model", F.lit("trivial"))
-        .withColumn("reply", RP.canned_reply(user))
-        .withColumn("suppressed", no)
-    )
-    simple = (
-        golden.withColumn("model", F.lit("simple"))
-        .withColumn("predicted", F.coalesce(first_cue_intent(F.col("text")), F.lit(R.OTHER)))
-        .withColumn("reply", RP.keyword_reply(F.col("text"), user))
-        .withColumn("suppressed", no)
-    )
+
+
+def _systems(spark, sf):
+    """The simple system classifies by the first cue, so that the twin can, too."""
     store = materialize(vault(spark, sf), "vault")
-    decided = decide(golden.select("case_id", "text", user.alias("handle")), store).select(
-        "case_id",
-        F.col("intent").alias("predicted"),
-        F.col("draft_reply").alias("reply"),
-        (F.col("confidence_zone") == "SAFETY_BLOCKED").alias("suppressed"),
-    )
-    proposed = golden.join(decided, "case_id").withColumn("model", F.lit("proposed"))
-    return E.score_replies(
-        reduce(lambda a, b: a.unionByName(b), [df.select(out) for df in (trivial, simple, proposed)])
-    )
+    by_cue = lambda text: F.coalesce(first_cue_intent(text), F.lit(R.OTHER))
+    return E.score_replies(E.system_replies(_golden(spark, sf), None, store, by_cue))
 
 
 _MARKS = S.rubric_columns("text", "reply")
@@ -289,8 +263,8 @@ systems AS (
   UNION ALL SELECT 'simple', case_id, text, actual, coalesce({S.first_cue('text', R.CUES)}, 'UNKNOWN'),
          '@user ' || CASE {' '.join(f"WHEN {S.contains_any('lower(text)', w)} THEN {quote(r)}" for w, r in R.KEYWORD_REPLIES)}
          ELSE {quote(R.KEYWORD_REPLY_ELSE)} END, false FROM golden
-  UNION ALL SELECT 'proposed', g.case_id, g.text, g.actual, d.intent, d.draft_reply, d.confidence_zone = 'SAFETY_BLOCKED'
-         FROM golden g JOIN decided d USING (case_id)),
+  UNION ALL SELECT 'proposed', g.case_id, g.text, g.actual, r.intent, CASE WHEN NOT r.is_hazard THEN r.filled END, r.is_hazard
+         FROM golden g JOIN replied r USING (case_id)),
 marks AS (SELECT *, {S.select_columns(_MARKS)} FROM systems),
 scored AS MATERIALIZED (SELECT model, case_id, actual, predicted, reply, suppressed,
   {', '.join(f"CASE WHEN suppressed THEN 5.0::DOUBLE ELSE {d} END AS {d}" for d in _MARKS)},
@@ -309,6 +283,19 @@ def benchmark_metrics(spark, sf):
     return E.benchmark_metrics(materialize(_systems(spark, sf), "systems"))
 
 
+@query("system_replies")
+def system_replies(spark, sf):
+    """The three systems with the fitted text model; its weights are not SQL."""
+    golden = _golden(spark, sf)
+    train = turns(spark, sf).filter("role <> 'assistant'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("case_id"),
+        F.concat(F.col("text"), F.lit(" again")).alias("text"),
+        pick(R.TAXONOMY, F.col("conv_id")).alias("intent"),
+    )
+    scored = E.score_replies(E.system_replies(golden, train, materialize(vault(spark, sf), "vault")))
+    return scored.select("model", "case_id", "actual", "predicted", "reply", "suppressed", "overall")
+
+
 @query(
     "rubric_means",
     f"""WITH {SYSTEMS_SQL} SELECT model, count(*) AS n, {', '.join(f'round(avg({d}), 2) AS {d}' for d in RP.DIMENSIONS)}
@@ -362,11 +349,12 @@ def _expand_sql() -> str:
     corpus AS MATERIALIZED (SELECT text, min(conv_id * 100 + turn) AS ord FROM turns
       WHERE length(text) BETWEEN 25 AND 250 AND text NOT IN (SELECT text FROM golden) GROUP BY text),
     {', '.join(parts)},
-    pools AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {t}' for t in taken)}),
+    have AS (SELECT intent, count(*) AS n FROM golden GROUP BY intent),
+    pools AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(f'SELECT * FROM {t}' for t in taken)})
+      WHERE pool NOT IN (SELECT intent FROM have WHERE n >= {_EXPAND_QUOTA})),
     cued AS {S.cue_columns('pools', 'ord', 'text', R.CUES)},
     scored AS MATERIALIZED (SELECT p.text, p.pool, c.intent, md5('42:' || p.ord) AS hash,
       CASE WHEN hits > 0 THEN 0.45::DOUBLE + hits * 0.15::DOUBLE ELSE 0.3 END AS conf FROM pools p JOIN cued c USING (ord)),
-    have AS (SELECT intent, count(*) AS n FROM golden GROUP BY intent),
     accepted AS MATERIALIZED (SELECT text, intent FROM (
       SELECT text, intent, row_number() OVER (PARTITION BY intent ORDER BY hash) AS rn FROM scored WHERE conf >= 0.8)
       LEFT JOIN have USING (intent) WHERE rn <= {_EXPAND_QUOTA} - coalesce(n, 0)),
@@ -374,7 +362,7 @@ def _expand_sql() -> str:
     queued AS (SELECT text, pool, hash, row_number() OVER (PARTITION BY pool ORDER BY hash) AS rank
       FROM scored WHERE conf >= 0.6 AND conf < 0.8),
     kept AS (SELECT text, hash, CASE WHEN length(text) % 4 = 0 THEN 'DISCARD' ELSE {S.first_cue('text', R.CUES)} END AS verified
-      FROM queued q LEFT JOIN counts c ON q.pool = c.intent WHERE rank <= 2 * ({_EXPAND_QUOTA} - coalesce(n, 0))),
+      FROM queued q LEFT JOIN have h ON q.pool = h.intent WHERE rank <= 2 * ({_EXPAND_QUOTA} - coalesce(n, 0))),
     verified AS (SELECT text, verified AS intent FROM (
       SELECT text, verified, row_number() OVER (PARTITION BY verified ORDER BY hash) AS rn FROM kept WHERE verified IN ({labels})) v
       LEFT JOIN counts c ON v.verified = c.intent WHERE rn <= {_EXPAND_QUOTA} - coalesce(n, 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.catalog import sqltext as S
-from deskloom.catalog.base import LANGUAGES, LANGUAGE_CUES, pick, query, quote, replies, sql_pick, table, texts
+from deskloom.catalog.base import LANGUAGES, LANGUAGE_CUES, pick, query, quote, replies, sql_list, sql_pick, table, texts
 from deskloom.catalog.rule_queries import _CASES_SQL, _JUDGE, _cases
 from deskloom.functions.intents import classify_by_cues
 from deskloom.operators import metrics as M
@@ -108,9 +108,9 @@ _COLUMNS = (*LANGUAGES, "none")
 
 @query(
     "confusion_matrix",
-    f"WITH {PREDICTED_SQL} SELECT actual, "
+    f"WITH {PREDICTED_SQL} SELECT l.actual, "
     + ", ".join(f"count(*) FILTER (predicted = {quote(c)}) AS {c}" for c in _COLUMNS)
-    + " FROM predicted GROUP BY actual",
+    + f" FROM (SELECT unnest({sql_list(_COLUMNS)}) AS actual) l LEFT JOIN predicted p ON l.actual = p.actual GROUP BY l.actual",
 )
 def confusion_matrix(spark, sf):
     return M.confusion_matrix(predicted(spark, sf), "actual", "predicted", _COLUMNS)
@@ -134,6 +134,16 @@ def heldout_eval(spark, sf):
     return report.join(named, "label", "left").na.fill(0, [f"as_{c}" for c in LANGUAGES])
 
 
+@query(
+    "latency_by_type",
+    """SELECT event_type, count(*) AS items, round(avg(value), 3) AS mean_ms,
+    round(count(*) / (sum(value) / 1000.0), 1) AS items_per_sec,
+    round(quantile_cont(value, 0.95), 3) AS p95_ms FROM events GROUP BY event_type""",
+)
+def latency_by_type(spark, sf):
+    return M.latency_stats(table(spark, sf, "events"), "value", ["event_type"])
+
+
 @query(
     "latency_stats",
     """SELECT count(*) AS items, round(avg(value), 3) AS mean_ms,

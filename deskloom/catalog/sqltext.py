@@ -112,15 +112,15 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
         return f"{quote(before + chr(39))} || {word(p)} || {quote(chr(39) + after)}"
 
     rules = [
-        (f"{body} = ''", "SAFE_PASS", None, quote("Clean empty message, no hazard detected."), False),
+        (f"{body} = ''", "SAFE_PASS", None, quote("Empty message."), False),
         (
             matches(body, R.LEGAL),
             "LEGAL_PR_RISK",
             "LEGAL_PR",
             reason(
-                "Customer cited legal or regulatory keywords (",
+                "Legal or press wording (",
                 R.LEGAL,
-                "). Public AI reply blocked; escalated to Corporate & Legal Relations.",
+                "): no public answer, the legal team takes over.",
             ),
             False,
         ),
@@ -129,9 +129,9 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "SECURITY_FRAUD_RISK",
             "SECURITY_FRAUD",
             reason(
-                "Potential account compromise or unauthorized charge (",
+                "Possible fraud or stolen account (",
                 R.FRAUD,
-                "). Auto-reply suppressed; routed to Senior Fraud & Account Specialists.",
+                "): no automatic answer, the fraud team takes over.",
             ),
             False,
         ),
@@ -140,9 +140,9 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "REPEAT_CONTACT_HIGH_FRUSTRATION",
             "REPEAT_CHURN",
             reason(
-                "Customer expressed severe churn or repeat failed attempts (",
+                "Repeated contact or threat to leave (",
                 R.CHURN,
-                "). Routed to Tier-2 Retention Recovery Specialist.",
+                "): the retention team takes over.",
             ),
             False,
         ),
@@ -151,8 +151,7 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "SAFE_SLANG_NEGATION_CLEARED",
             None,
             quote(
-                "Contextual negation of hazard detected ('no smoke' / 'worried but did not')."
-                " Safe to continue normal triage."
+                "The danger is denied; handled as usual."
             ),
             True,
         ),
@@ -161,10 +160,9 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "SAFETY_HAZARD_DETECTED",
             "SAFETY_HAZARD",
             reason(
-                "Physical hardware safety hazard detected (",
+                "Dangerous device behaviour (",
                 R.HAZARD,
-                "). Automated reply blocked to prevent corporate liability; "
-                "escalated to Hardware Safety Specialists.",
+                "): no automatic answer, the device safety team takes over.",
             ),
             False,
         ),
@@ -173,9 +171,9 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "SAFE_SLANG_NEGATION_CLEARED",
             None,
             reason(
-                "Keyword ",
+                "The word ",
                 R.AMBIGUOUS,
-                " identified as colloquial praise/slang. Safe to continue normal triage.",
+                " is used as slang; handled as usual.",
             ),
             True,
         ),
@@ -186,7 +184,7 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
                 f"{matches(body, R.AMBIGUOUS)} AND NOT contains(upper({verdict}), 'YES')",
                 "SAFE_SEMANTIC_VERIFIED",
                 None,
-                reason("Semantic verifier confirmed ", R.AMBIGUOUS, " is metaphorical/non-hazardous."),
+                reason("The verifier takes ", R.AMBIGUOUS, " for a figure of speech."),
                 True,
             )
         )
@@ -196,14 +194,14 @@ def safety_columns(x: str, verdict: str | None = None) -> str:
             "SAFETY_HAZARD_DETECTED",
             "SAFETY_HAZARD",
             reason(
-                "Thermal/hazard keyword ",
+                "Danger word ",
                 R.AMBIGUOUS,
-                " detected. Escalated to Hardware Safety Specialists.",
+                " without any sign of slang: the device safety team takes over.",
             ),
             False,
         )
     )
-    otherwise = ("SAFE_PASS", None, quote("No safety, legal, or severe churn risk detected."), False)
+    otherwise = ("SAFE_PASS", None, quote("No safety rule fired."), False)
 
     def case(values, last) -> str:
         whens = " ".join(f"WHEN {rule[0]} THEN {value}" for rule, value in zip(rules, values))
@@ -284,13 +282,12 @@ def route_columns(intent: str, conf: str, sim: str, zone_name: str) -> str:
             )
             + " AS rule_code",
             case(
-                f"'Intent UNKNOWN (conf ' || {two(conf)} || ') and top similarity is low (' || {two(sim)} || "
-                "'). Auto-reply suppressed to avoid hallucination; routed to Triage Queue.'",
-                f"'High confidence intent ''' || {intent} || ''' (' || {two(conf)} || ') with verified "
-                f"historical twin (similarity ' || {two(sim)} || '). Standard triage auto-reply approved.'",
-                f"'Moderate confidence intent ''' || {intent} || ''' (' || {two(conf)} || ') or stylistic "
-                f"twin (' || {zone_name} || ', sim ' || {two(sim)} || '). Draft generated for 1-click human "
-                "agent review.'",
+                f"'No clear intent (confidence ' || {two(conf)} || ') and no close precedent (similarity ' || {two(sim)} || "
+                "'): a person decides.'",
+                f"'Clear intent ''' || {intent} || ''' (' || {two(conf)} || ') and a close precedent "
+                f"(similarity ' || {two(sim)} || '): answered automatically.'",
+                f"'Likely intent ''' || {intent} || ''' (' || {two(conf)} || '), precedent (' || {zone_name} || "
+                f"', similarity ' || {two(sim)} || '): a draft to review.'",
             )
             + " AS stated_reason",
         ]

@@ -315,7 +315,7 @@ def json_extract(spark, sf):
            (CASE WHEN valid THEN coalesce(stated, 0.85)
                 ELSE greatest(0.0, least(1.0, coalesce(stated, 0.40))) END)::DOUBLE AS confidence,
            CASE WHEN valid THEN coalesce(reasoning, '')
-                ELSE coalesce(reasoning, 'Recovered from schema validation fallback') END AS reasoning,
+                ELSE coalesce(reasoning, 'taken from an invalid answer') END AS reasoning,
            'INQUIRY' AS requested_action, 'INFORMATIONAL' AS issue_state FROM v""",
 )
 def payload_recover(spark, sf):
@@ -370,16 +370,21 @@ def coerce_labels(spark, sf):
     "batch_labels",
     f"""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
     b AS (SELECT doc_id, pos // 10 AS batch, pos % 10 + 1 AS item FROM n)
-    SELECT doc_id, CASE WHEN batch % 4 = 3 THEN 'DISCARD' WHEN item = 1 THEN 'BATTERY_DRAIN'
+    SELECT doc_id, CASE WHEN batch % 4 >= 2 THEN 'DISCARD' WHEN item = 1 THEN 'BATTERY_DRAIN'
            WHEN item = 2 THEN 'UPDATE_FAILURE' ELSE 'DISCARD' END AS verified FROM b""",
 )
 def batch_label_answers(spark, sf):
     docs = batches(table(spark, sf, "documents").select("doc_id"), "doc_id", 10)
-    # One answer per batch; every fourth one is not JSON.
-    answer = F.when(F.col("batch") % 4 == 3, "sorry, cannot do that").otherwise(
-        '[{"id": 1, "intent": "battery_drain "}, {"id": 2, "intent": "UNKNOWN"}, '
-        '{"id": 2, "intent": "Update_Failure"}, {"id": 3, "intent": "NOPE"}, '
-        '{"id": 11, "intent": "UNKNOWN"}, {"id": "x", "intent": "UNKNOWN"}]'
+    # One answer per batch; of four one is not JSON and one has an id that is no number.
+    good = (
+        '[{"id": 1, "intent": "battery_drain "}, {"id": "2", "intent": "UNKNOWN"}, '
+        '{"id": 2, "intent": "Update_Failure"}, {"id": 3, "intent": "NOPE"}, {"id": 11, "intent": "UNKNOWN"}'
+    )
+    part = F.col("batch") % 4
+    answer = (
+        F.when(part == 3, "sorry, cannot do that")
+        .when(part == 2, good + ', {"id": "x", "intent": "UNKNOWN"}]')
+        .otherwise(good + "]")
     )
     answers = docs.select("batch").distinct().withColumn("response", answer)
     return batch_labels(docs, answers, ["batch"]).select("doc_id", "verified")

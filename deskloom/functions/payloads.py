@@ -85,7 +85,7 @@ def recover_payload(raw: Column, labels: Sequence[str] = R.PAYLOAD_INTENTS) -> C
             return F.when(valid, value).otherwise(F.upper(value)).alias(name)
 
         clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(stated, F.lit(0.40))))
-        recovered = F.coalesce(p["reasoning"], F.lit("Recovered from schema validation fallback"))
+        recovered = F.coalesce(p["reasoning"], F.lit("taken from an invalid answer"))
         return F.struct(
             F.when(known, named).otherwise(R.OTHER).alias("primary_intent"),
             text("requested_action", "INQUIRY"),
@@ -112,7 +112,7 @@ def escalate_high_risk(text: Column, payload: Column, pattern: str | None = None
         F.lit("HIGH").alias("urgency"),
         F.lit(0.99).alias("confidence"),
         F.lit(
-            "High-risk safety or legal term detected; mandatory escalation to human."
+            "A high-risk term: a person must answer."
         ).alias("reasoning"),
     )
     return F.when(F.rlike(F.lower(text), F.lit(pattern)), fixed).otherwise(payload)
@@ -175,13 +175,12 @@ def calibrate_judgement(
         why = F.when(
             ~clean,
             F.concat(
-                F.lit("Severe liability violation: contains unauthorized promissory guarantee. "),
+                F.lit("Makes a promise. "),
                 said_why,
             ),
         ).otherwise(said_why)
         praise = F.lit(
-            "High-quality Apple support response with diagnostic probe, official link, "
-            "and non-promissory tone."
+            "Asks what is needed, links the private channel, promises nothing."
         )
         return F.struct(
             F.when(excellent, F.greatest(diagnostic, F.lit(4)))

@@ -155,24 +155,24 @@ def judge_by_rules(customer: Column, reply: Column, intent: Column) -> Column:
     verdict = (
         F.when(
             ~clean,
-            _verdict(1, "Severe brand compliance violation: contains unauthorized promissory guarantee."),
+            _verdict(1, "Promises something that nobody may promise."),
         )
-        .when(~short, _verdict(2, "Exceeds Twitter 280 character limit."))
+        .when(~short, _verdict(2, "Longer than a post may be."))
         .when(
             misplaced,
             _verdict(
                 2,
-                "Generic canned template inappropriately requests device details for a billing dispute.",
+                "Asks for the device in a question about money.",
             ),
         )
         .when(
             probed & private,
             _verdict(
                 F.when(link & (facts["char_length"] <= R.LIMITS.ideal_chars), 5).otherwise(4),
-                "Well-structured response adhering to Apple brand and diagnostic guidelines.",
+                "Asks what is needed and moves to a private channel.",
             ),
         )
-        .otherwise(_verdict(3, "Mediocre response missing diagnostic probe or official DM link."))
+        .otherwise(_verdict(3, "Asks too little or stays in public."))
     )
     return F.struct(
         F.when(probed, 5).otherwise(1).alias("diagnostic_probe"),

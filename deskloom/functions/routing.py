@@ -49,11 +49,11 @@ def route(intent: Column, confidence: Column, similarity: Column, zone_name: Col
                 "HANDOFF",
                 "NORMAL_P3",
                 "LOW_CONFIDENCE_UNRELIABLE_TWIN",
-                "Intent UNKNOWN (conf ",
+                "No clear intent (confidence ",
                 _two(confidence),
-                ") and top similarity is low (",
+                ") and no close precedent (similarity ",
                 _two(similarity),
-                "). Auto-reply suppressed to avoid hallucination; routed to Triage Queue.",
+                "): a person decides.",
             ),
         )
         .when(
@@ -62,13 +62,13 @@ def route(intent: Column, confidence: Column, similarity: Column, zone_name: Col
                 "AUTO_REPLY",
                 "NORMAL_P3",
                 "RULE_AUTO_ROUTINE_TRIAGE",
-                "High confidence intent '",
+                "Clear intent '",
                 intent,
                 "' (",
                 _two(confidence),
-                ") with verified historical twin (similarity ",
+                ") and a close precedent (similarity ",
                 _two(similarity),
-                "). Standard triage auto-reply approved.",
+                "): answered automatically.",
             ),
         )
         .otherwise(
@@ -76,15 +76,15 @@ def route(intent: Column, confidence: Column, similarity: Column, zone_name: Col
                 "ASSISTED_REPLY",
                 "PRIORITY_P2",
                 "RULE_ASSISTED_MODERATE_AMBIGUITY",
-                "Moderate confidence intent '",
+                "Likely intent '",
                 intent,
                 "' (",
                 _two(confidence),
-                ") or stylistic twin (",
+                "), precedent (",
                 zone_name,
-                ", sim ",
+                ", similarity ",
                 _two(similarity),
-                "). Draft generated for 1-click human agent review.",
+                "): a draft to review.",
             )
         )
     )

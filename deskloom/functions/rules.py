@@ -260,19 +260,30 @@ class Brand:
     dm_link: str = DM_LINK
     help_link: str = HELP_LINK
     keywords: tuple[str, ...] = field(default=PAIR_KEYWORDS)
+    #: Wording for a generator; decides no result of this library.
+    instruction: str = (
+        "Write one short public answer in the brand's name. Be kind and to the point, send the customer to a "
+        "private message with {dm_link}, promise no repair, refund or outcome, and stay below 240 characters. "
+    )
+    ask_nothing: str = "Device and system version are known; don't ask for them."
+    ask_device: str = "Ask for the device model and the system version."
+    judge_instruction: str = (
+        "Rate the answer from 1 to 5 on each of diagnostic_probe, privacy_pivot, zero_liability and overall_score, "
+        "and give a one-sentence rationale. Return one JSON object with these five fields."
+    )
 
 
 BRAND = Brand()
 
 
 def any_case(pattern: str) -> str:
-    """The pattern as a Java regex: any case, Unicode boundaries, digits and spaces."""
-    return "(?iU)" + pattern
+    """The pattern as a Java regex: any case, Unicode boundaries, digits and spaces, lines end at \\n only."""
+    return "(?idU)" + pattern
 
 
 def same_case(pattern: str) -> str:
-    """The pattern as a Java regex: case kept, Unicode boundaries, digits and spaces."""
-    return "(?U)" + pattern
+    """The pattern as a Java regex: case kept, Unicode boundaries, digits and spaces, lines end at \\n only."""
+    return "(?dU)" + pattern
 
 
 def high_risk_pattern(terms: tuple[str, ...] = HIGH_RISK) -> str:

@@ -51,21 +51,30 @@ def split_by_reuse(
 
 
 def without_seen(df: DataFrame, *seen: DataFrame, key: str = "text") -> DataFrame:
-    """Rows whose key occurs in none of the seen tables."""
+    """Rows whose key occurs in none of the seen tables.
+
+    Keys are compared by digest: short rows of the seen tables move, not their texts.
+    """
+    digest = F.sha2(F.col(key).cast("string").cast("binary"), 256)
+    columns = df.columns
+    marked = df.withColumn("_digest", digest)
     for other in seen:
-        df = df.join(other.select(key).distinct(), key, "left_anti")
-    return df
+        marked = marked.join(other.select(digest.alias("_digest")).distinct(), "_digest", "left_anti")
+    return marked.select(*columns)
 
 
 def drop_leaked(
-    train: DataFrame, held_out: DataFrame, text: str = "text", minimum: int = 50
+    train: DataFrame, held_out: DataFrame, text: str = "text", minimum: int = 0
 ) -> DataFrame:
-    """Training rows whose text is not in the held-out set.
+    """Training rows whose text is not in the held-out set (a null text is in none).
 
-    If fewer than ``minimum`` would remain, all rows stay.
+    The join is on a digest, so no text is shuffled as a key. With ``minimum`` above 0, all
+    rows stay, leaked ones too, if fewer than that would remain; off by default.
     """
-    held = held_out.select(F.col(text).alias("_held")).distinct()
-    marked = train.join(held, F.col(text) == F.col("_held"), "left")
+    held = held_out.select(F.sha2(F.col(text).cast("binary"), 256).alias("_held")).filter("_held is not null").distinct()
+    marked = train.join(held, F.sha2(F.col(text).cast("binary"), 256) == F.col("_held"), "left")
+    if minimum <= 0:
+        return marked.filter("_held is null").select(*train.columns)
     enough = (
         marked.filter("_held is null")
         .limit(minimum)

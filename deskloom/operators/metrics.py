@@ -7,6 +7,7 @@ tasks, and the statistics are computed from those counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,40 +114,58 @@ def macro_metrics(
 def confusion_matrix(
     df: DataFrame, actual: str, predicted: str, labels: Sequence[str]
 ) -> DataFrame:
-    """One row per actual label, one column per predicted label, in list order."""
+    """One row per listed label, one column per listed label, in list order.
+
+    Rows whose actual label is not listed are left out; labels that never occur count 0.
+    """
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(i, str(x)) for i, x in enumerate(labels)], "_position int, _label string")
+    counted = df.groupBy(F.col(actual).cast("string").alias("_label")).agg(
+        *[F.count_if(F.col(predicted) == x).alias(x) for x in labels]
+    )
     return (
-        df.groupBy(actual).pivot(predicted, list(labels)).count().na.fill(0, subset=list(labels))
+        listed.join(counted, "_label", "left")
+        .na.fill(0, subset=list(labels))
+        .orderBy("_position")
+        .select(F.col("_label").alias(actual), *labels)
     )
 
 
-def percentiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: (point, value).
+def percentiles(
+    df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact percentiles with linear interpolation: (by..., point, value).
 
-    Works on ranks of distinct values, so no task holds the column.
+    Works on ranks of distinct values, so no task holds the column or a group of it.
     """
-    ranks = value_ranks(df, value)
-    total = ranks.agg(F.sum("n").alias("total"))
+    by = list(by)
+    ranks = value_ranks(df, value, by)
+    total = ranks.groupBy(*by).agg(F.sum("n").alias("total"))
     wanted = (
         total.select(
-            "total", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point")
+            *by, "total", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point")
         )
         .withColumn("_at", F.col("point") * (F.col("total") - 1))
         .select(
+            *[F.col(g).alias(f"_w{i}") for i, g in enumerate(by)],
             "point",
             F.col("_at"),
             F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"),
         )
     )
-    # A handful of wanted ranks against the rank intervals.
+    # A handful of wanted ranks (per group) against the rank intervals.
     inside = (F.col("_rank") >= F.col("rows_before")) & (
         F.col("_rank") < F.col("rows_before") + F.col("n")
     )
+    for i, g in enumerate(by):
+        inside = F.col(g).eqNullSafe(F.col(f"_w{i}")) & inside
     weight = F.when(F.floor("_at") == F.ceil("_at"), F.lit(1.0)).otherwise(
         1.0 - F.abs(F.col("_at") - F.col("_rank"))
     )
+    few = wanted if by else F.broadcast(wanted)
     return (
-        ranks.join(F.broadcast(wanted), inside)
-        .groupBy("point")
+        ranks.join(few, inside)
+        .groupBy(*by, "point")
         .agg(F.sum(F.col(value) * weight).alias("value"))
     )
 
@@ -154,17 +173,27 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame
 def latency_stats(
     df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
-    """Mean, P95 and items per second of a column of milliseconds."""
+    """Mean, P95 and items per second of a column of milliseconds, per group if ``by`` is given.
+
+    ``exact=False`` gives an approximate P95 in one pass, under the name ``p95_approx_ms``.
+    """
+    by = list(by)
     summary = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"),
         F.round(F.avg(value), 3).alias("mean_ms"),
         F.round(F.try_divide(F.count(F.lit(1)), F.sum(value) / 1000.0), 1).alias("items_per_sec"),
-        *([] if exact else [F.percentile_approx(value, 0.95, 100000).alias("p95_ms")]),
+        *([] if exact else [F.percentile_approx(value, 0.95, 100000).alias("p95_approx_ms")]),
     )
-    if not exact or by:
+    if not exact:
         return summary
-    p95 = percentiles(df, value, [0.95]).select(F.round("value", 3).alias("p95_ms"))
-    return summary.withColumn("p95_ms", p95.scalar())
+    p95 = percentiles(df, value, [0.95], by)
+    if not by:
+        return summary.withColumn("p95_ms", p95.select(F.round("value", 3).alias("p95_ms")).scalar())
+    named = p95.select(*[F.col(g).alias(f"_p{i}") for i, g in enumerate(by)], F.round("value", 3).alias("p95_ms"))
+    same = reduce(
+        lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_p{i}")) for i, g in enumerate(by)]
+    )
+    return summary.join(named, same, "left").select(*summary.columns, "p95_ms")
 
 
 def agreement_rates(df: DataFrame, a: str, b: str) -> DataFrame:

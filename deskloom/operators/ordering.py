@@ -126,32 +126,41 @@ def top_n_per_group(
     return df.withColumn(name, F.row_number().over(last)).filter(F.col(name) <= n)
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """One row per distinct value: count, rows before it, and average rank.
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct value (and group): count, rows before it, and average rank.
 
     Equal values are merged first, then the distinct values are range-partitioned and
     written, so that partition totals and local running counts refer to the same split.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
+    by = list(by)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("n")
     )
     split = materialize(
-        counted.repartitionByRange(value).withColumn("_part", F.spark_partition_id()),
+        counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()),
         "value-ranks",
     )
-    before_part = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before_part = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        split.groupBy("_part")
+        split.groupBy(*by, "_part")
         .agg(F.sum("n").alias("_total"))
-        .select("_part", F.coalesce(F.sum("_total").over(before_part), F.lit(0)).alias("_base"))
+        .select(
+            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(by)],
+            F.col("_part").alias("_total_part"),
+            F.coalesce(F.sum("_total").over(before_part), F.lit(0)).alias("_base"),
+        )
     )
     before = (
-        Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
+    same = F.col("_part") == F.col("_total_part")
+    for i, g in enumerate(by):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return (
         split.withColumn("_local", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(totals, "_part")
+        .join(totals, same)
         .select(
+            *by,
             value,
             "n",
             (F.col("_base") + F.col("_local")).alias("rows_before"),

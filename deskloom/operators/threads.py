@@ -39,6 +39,8 @@ def thread_roots(messages: DataFrame, id_col: str = "msg_id", parent_col: str =
         if remaining == 0 or remaining == left:
             break
         left = remaining
+    else:
+        raise RuntimeError(f"a chain is deeper than 2 ** {MAX_ROUNDS} messages")
     roots = [part.select("id", "ptr") for part in resolved]
     if remaining:
         roots.append(_cycle_roots(active, remaining))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.functions.payloads import calibrate_judgement
@@ -16,13 +16,15 @@ from deskloom.functions.replies import (
     keyword_reply,
     rubric,
 )
+from deskloom.functions.routing import best_template, zone
 from deskloom.functions.rules import TAXONOMY
+from deskloom.functions.text import fill_template, fingerprint
 from deskloom.operators import metrics as M
 from deskloom.operators.learners import fit_text_model, majority_predict, predict_text
-from deskloom.operators.matching import drop_leaked
+from deskloom.operators.matching import drop_leaked, fall_back_group
 from deskloom.operators.ordering import top_n_per_group
 from deskloom.operators.sampling import stratified_folds
-from deskloom.plans.decide import decide
+from deskloom.plans.decide import retrieve, triage_cases
 from deskloom.session import materialize
 
 TIERS = ("baseline_1_trivial", "baseline_2_simple", "proposed_production")
@@ -50,12 +52,40 @@ def sample_replies(scored: DataFrame, order: str, n: int = 3) -> DataFrame:
     return top_n_per_group(spoken, ["model"], [F.col(order)], n, name="sample")
 
 
-def system_replies(golden: DataFrame, train: DataFrame, vault: DataFrame) -> DataFrame:
+Classifier = Callable[[Column], Column]
+
+
+def template_replies(
+    golden: DataFrame, vault: DataFrame, classify: Classifier | None = None, k: int = 2
+) -> DataFrame:
+    """(case_id, predicted, reply, suppressed): every case is classified, hazards get no
+    reply, all others the filled template of their best precedent, whatever their route."""
+    cases = golden.select("case_id", "text", F.lit("@user").alias("handle"))
+    triaged = materialize(
+        triage_cases(cases, classify).withColumn("query_key", fingerprint(F.col("text"))), "triaged"
+    )
+    hazard = F.col("safety.is_hazard")
+    targeted = materialize(fall_back_group(triaged.filter(~hazard), vault.select("intent")), "targeted")
+    queries = targeted.groupBy("query_key", "target").agg(F.min("text").alias("text"))
+    found = retrieve(queries, vault, k).select("query_key", "target", "matches", "top_similarity")
+    zoned = targeted.join(found, ["query_key", "target"], "left").withColumn(
+        "_zone", zone(F.coalesce("top_similarity", F.lit(0.0)))
+    )
+    template = best_template(F.col("_zone"), F.get("matches", F.lit(0))["agent_reply"])
+    spoken = zoned.select("case_id", fill_template(template, F.col("handle")).alias("reply"))
+    return triaged.join(spoken, "case_id", "left").select(
+        "case_id", F.col("intent").alias("predicted"), "reply", hazard.alias("suppressed")
+    )
+
+
+def system_replies(
+    golden: DataFrame, train: DataFrame | None, vault: DataFrame, simple: Classifier | None = None
+) -> DataFrame:
     """Predictions and replies of the three systems over a golden set.
 
     ``golden`` and ``train`` are (case_id, text, intent). Trivial: majority label, canned
-    reply. Simple: TF-IDF with logistic regression, keyword reply. Proposed: decision
-    plan with its template replies.
+    reply. Simple: TF-IDF with logistic regression fitted on ``train`` (or the label column
+    function ``simple``), keyword reply. Proposed: cue classifier, safety, template replies.
     """
     user, no = F.lit("@user"), F.lit(False)
     out = ["model", "case_id", "text", "actual", "predicted", "reply", "suppressed"]
@@ -66,25 +96,22 @@ def system_replies(golden: DataFrame, train: DataFrame, vault: DataFrame) -> Dat
         .withColumn("reply", canned_reply(user))
         .withColumn("suppressed", no)
     )
-    labels = list(TAXONOMY)
-    fit_on = drop_leaked(train, golden).withColumn(
-        "_label", F.array_position(F.array(*map(F.lit, labels)), F.col("intent")) - 1
-    )
-    model = fit_text_model(fit_on, "case_id", "text", "_label", labels)
-    simple = (
-        predict_text(model, gold, "case_id", "text")
-        .withColumn("model", F.lit("simple"))
+    if simple is not None:
+        guessed = gold.withColumn("predicted", simple(F.col("text")))
+    else:
+        labels = list(TAXONOMY)
+        fit_on = drop_leaked(train, golden).withColumn(
+            "_label", F.array_position(F.array(*map(F.lit, labels)), F.col("intent")) - 1
+        )
+        model = fit_text_model(fit_on, "case_id", "text", "_label", labels)
+        guessed = predict_text(model, gold, "case_id", "text")
+    plain = (
+        guessed.withColumn("model", F.lit("simple"))
         .withColumn("reply", keyword_reply(F.col("text"), user))
         .withColumn("suppressed", no)
     )
-    decided = decide(gold.select("case_id", "text", user.alias("handle")), vault, k=2).select(
-        "case_id",
-        F.col("intent").alias("predicted"),
-        F.col("draft_reply").alias("reply"),
-        (F.col("confidence_zone") == "SAFETY_BLOCKED").alias("suppressed"),
-    )
-    proposed = gold.join(decided, "case_id").withColumn("model", F.lit("proposed"))
-    return trivial.select(out).unionByName(simple.select(out)).unionByName(proposed.select(out))
+    proposed = gold.join(template_replies(gold, vault), "case_id").withColumn("model", F.lit("proposed"))
+    return trivial.select(out).unionByName(plain.select(out)).unionByName(proposed.select(out))
 
 
 def judge_ratings(ratings: DataFrame, responses: DataFrame | None = None) -> DataFrame:

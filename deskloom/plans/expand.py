@@ -32,12 +32,16 @@ def batch_labels(
     """Label of every batch item from the batch's JSON answer; DISCARD where unusable.
 
     ``items`` has ``keys`` and ``item`` (1-based); ``answers`` has ``keys`` and ``response``.
-    The last valid entry for an item counts.
+    The last valid entry for an item counts. One id that is no number voids the whole
+    answer; an entry without id labels nothing.
     """
-    parsed = answers.select(*keys, F.posexplode(batch_label_items(F.col("response"))).alias("pos", "e"))
+    entries = batch_label_items(F.col("response"))
+    broken = F.exists("_entries", lambda e: e["id"].isNotNull() & e["id"].try_cast("double").isNull())
+    sound = answers.withColumn("_entries", entries).filter(~broken)
+    parsed = sound.select(*keys, F.posexplode("_entries").alias("pos", "e"))
     intent = F.upper(strip(F.col("e.intent")))
     usable = parsed.select(
-        *keys, F.col("e.id").try_cast("int").alias("item"), "pos", intent.alias("intent")
+        *keys, F.col("e.id").try_cast("double").cast("int").alias("item"), "pos", intent.alias("intent")
     ).filter(F.col("intent").isin(*labels))
     last = usable.groupBy(*keys, "item").agg(F.max_by("intent", "pos").alias("_label"))
     return items.join(last, [*keys, "item"], "left").withColumn(
@@ -75,11 +79,14 @@ def expand_dataset(
     ``golden`` is (text, intent); ``corpus`` is (text, ``order``). ``score`` maps a text to
     a struct (intent, confidence). Confident texts are accepted as their predicted label in
     a fixed random order; those in the middle band are labelled by ``verify`` (text to
-    label) and fill what is left, at most twice the need of each mined pool.
+    label) and fill what is left. Of a pool at most twice its need before scoring is
+    verified, and the pool of a label that ``golden`` already fills is left out.
     """
     pools = mine_pools(candidate_texts(corpus, golden), "text", order, cues, pool_size)
+    have = label_counts(golden, "intent")
+    full = have.filter(F.col("n") >= quota).select("intent")
     scored = materialize(
-        pools.withColumn("_s", score(F.col("text"))).select(
+        pools.join(full, "intent", "left_anti").withColumn("_s", score(F.col("text"))).select(
             "text",
             F.col("intent").alias("pool"),
             F.col("_s.intent").alias("intent"),
@@ -88,7 +95,6 @@ def expand_dataset(
         ),
         "scored-pools",
     )
-    have = label_counts(golden, "intent")
     accepted = fill_quota(
         scored.filter("tier = 'ACCEPT'"), "intent", [F.col("_hash")], have, quota
     )
@@ -97,7 +103,7 @@ def expand_dataset(
         counts = label_counts(
             golden.select("intent").unionByName(accepted.select("intent")), "intent"
         )
-        needed = counts.select(F.col("intent"), (quota - F.col("n")).alias("needed"))
+        needed = have.select("intent", (quota - F.col("n")).alias("needed"))
         all_pools = scored.select(F.col("pool").alias("intent")).distinct()
         needed = all_pools.join(needed, "intent", "left").select(
             "intent", F.coalesce("needed", F.lit(quota)).alias("needed")
