@@ -429,7 +429,8 @@ def cross_validation(spark, sf):
 # Streams over the same tables, run to the end of what is there.
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+    limited = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    return limited.parquet(f"{sf}/{name}*.parquet")
 
 
 @query("stream_decide", DECIDED_SQL)
@@ -452,37 +453,42 @@ def stream_decide(spark, sf):
     return counted.withColumn("best_pair", F.get("matches", F.lit(0))["pair_id"]).select(*_DECISION)
 
 
-@query("stream_dedup")
+_STREAM_MISSES = """WITH RECURSIVE e AS (SELECT event_id, user_id || '/' || event_type AS key,
+                                  CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+    misses AS (SELECT key, min(sec) AS sec FROM e GROUP BY key
+               UNION ALL
+               SELECT m.key, (SELECT min(e.sec) FROM e WHERE e.key = m.key AND e.sec >= m.sec + 3600) AS sec
+               FROM misses m WHERE m.sec IS NOT NULL),
+    first AS (SELECT min(e.event_id) AS event_id FROM e JOIN misses m ON e.key = m.key AND e.sec = m.sec
+              GROUP BY e.key, e.sec)"""
+
+
+def _rocksdb(spark):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+@query("stream_dedup", f"{_STREAM_MISSES} SELECT event_id FROM first")
 def stream_dedup(spark, sf):
+    _rocksdb(spark)
     events = _stream(spark, sf, "events").select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat_ws("/", "user_id", "event_type").alias("text"),
+        "event_id", "ts", F.concat_ws("/", "user_id", "event_type").alias("text")
     )
     out = scratch_path(spark, "stream-dedup")
     flows.run_available(
-        flows.dedup_stream(events, "text", "ts"), out, scratch_path(spark, "stream-state")
+        flows.dedup_stream(events, "text", "ts", "event_id"), out, scratch_path(spark, "stream-state")
     )
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_id")
 
 
 @query(
     "stream_reuse",
-    """WITH RECURSIVE e AS (SELECT event_id, user_id || '/' || event_type AS key,
-                                  CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
-    misses AS (SELECT key, min(sec) AS sec FROM e GROUP BY key
-               UNION ALL
-               SELECT m.key, (SELECT min(e.sec) FROM e WHERE e.key = m.key AND e.sec >= m.sec + 3600) AS sec
-               FROM misses m WHERE m.sec IS NOT NULL),
-    first AS (SELECT min(e.event_id) AS event_id FROM e JOIN misses m ON e.key = m.key AND e.sec = m.sec
-              GROUP BY e.key, e.sec)
-    SELECT key, event_id, event_id NOT IN (SELECT event_id FROM first) AS hit FROM e""",
+    f"{_STREAM_MISSES} SELECT key, event_id, event_id NOT IN (SELECT event_id FROM first) AS hit FROM e",
 )
 def stream_reuse(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    _rocksdb(spark)
     events = _stream(spark, sf, "events").select(
         "event_id", "ts", F.concat_ws("/", "user_id", "event_type").alias("key")
     )

@@ -188,7 +188,7 @@ def cap_per_group(spark, sf):
 )
 def pair_ids(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", dedup_key(F.col("text")).alias("k"))
-    return SM.pair_ids(MT.keep_first(docs, "k", ["doc_id"]).select("doc_id"), "doc_id", width=512)
+    return SM.pair_ids(MT.keep_first(docs, "k", ["doc_id"]).select("doc_id"), "doc_id")
 
 
 @query(
@@ -261,11 +261,11 @@ def quota_fill(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY verified ORDER BY hash) <= 60""",
 )
 def verified_merge(spark, sf):
-    from deskloom.operators.ordering import hash_bucket, number_rows
+    from deskloom.operators.ordering import number_rows
 
     docs = table(spark, sf, "documents")
     hashed = docs.select("doc_id", F.col("lang").alias("intent"), SM.seeded_hash(F.col("doc_id")).alias("hash"))
-    ranked = number_rows(hashed, ["hash"], hash_bucket(F.col("hash")), ["intent"], name="rank")
+    ranked = number_rows(hashed, ["hash"], ["intent"], name="rank")
     answer = (
         F.when(F.col("doc_id") % 3 == 0, "DISCARD").when(F.col("doc_id") % 3 == 1, F.col("intent")).otherwise("en")
     )

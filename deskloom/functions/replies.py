@@ -184,6 +184,18 @@ def judge_by_rules(customer: Column, reply: Column, intent: Column) -> Column:
     )
 
 
+def judge_prompt(customer: Column, reply: Column, intent: Column, brand: R.Brand = R.BRAND) -> Column:
+    """Question put to an external judge about one reply."""
+    return F.concat(
+        F.lit(brand.judge_instruction + "\nTopic: "),
+        intent,
+        F.lit("\nQuestion: "),
+        customer,
+        F.lit("\nAnswer: "),
+        reply,
+    )
+
+
 def _verdict(overall: int | Column, rationale: str) -> Column:
     score = overall if isinstance(overall, Column) else F.lit(overall)
     return F.struct(score.alias("overall"), F.lit(rationale).alias("rationale"))

@@ -127,11 +127,11 @@ def context_prompt(turns: Column, clean_text: Column) -> Column:
     )
     context = F.when(
         F.size(turns) > 1,
-        F.concat(F.lit("Preceding Conversation:\n"), F.array_join(lines, "\n"), F.lit("\n\n")),
+        F.concat(F.lit("Said before:\n"), F.array_join(lines, "\n"), F.lit("\n\n")),
     ).otherwise(F.lit(""))
     return F.concat(
         context,
-        F.lit('Incoming Customer Message:\n"'),
+        F.lit("Message to label:\n"),
         clean_text,
-        F.lit('"\n\nClassify according to the rules and return JSON:'),
+        F.lit("\n\nAnswer with one JSON object."),
     )

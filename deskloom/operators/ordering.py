@@ -1,8 +1,8 @@
 """Order-dependent work without ever sorting one whole group in one task.
 
 A group (an intent, a label, a thread) may hold a third of all rows, so numbering,
-neighbours and ranks are computed in two levels: inside small buckets that follow the
-order, and across the bucket totals, which are few.
+neighbours and ranks are computed in two levels: inside ranges of about equal size that
+follow the order, and across the range totals, which are few.
 """
 
 from __future__ import annotations
@@ -20,35 +20,35 @@ def int_bucket(order: Column, width: int = 65536) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
-def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
-    """Bucket of a hex hash used as order column: 16**digits even parts, order kept."""
-    return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("long")
+def in_parts(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Rows dealt out by ranges of (group, order), with ``_part``, the number of the range.
+
+    Ranges come from a sample, so they hold about as many rows each whatever the values are:
+    sparse ids, time stamps and hashes alike. The table is written, so that range totals and
+    rows read later refer to the same ranges.
+    """
+    keys = [*group, *order]
+    return materialize(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "parts")
 
 
 def number_rows(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    bucket: Column,
-    group: Sequence[str] = (),
-    name: str = "rn",
+    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "rn"
 ) -> DataFrame:
-    """Exact 1-based row number per group (or overall), sorted bucket by bucket.
+    """Exact 1-based row number per group (or overall), sorted range by range.
 
-    ``bucket`` must not decrease along ``order``. Only the bucket counts are ordered
-    as a whole; each is one row for up to a bucket full of input rows.
+    Only the range counts are ordered as a whole: one row per range and group in it.
     """
     group = list(group)
-    placed = df.withColumn("_bucket", bucket)
-    counts = placed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group) if group else Window.partitionBy()
-    before = before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = in_parts(df, order, group)
+    counts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_bucket").alias("_offset_bucket"),
+        F.col("_part").alias("_offset_part"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
-    local = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    same = F.col("_bucket") == F.col("_offset_bucket")
+    local = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    same = F.col("_part") == F.col("_offset_part")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return (
@@ -60,41 +60,34 @@ def number_rows(
 
 
 def with_next(
-    df: DataFrame,
-    group: str,
-    order: str,
-    columns: Sequence[str],
-    width: int = 4096,
-    prefix: str = "next_",
+    df: DataFrame, group: str, order: str, columns: Sequence[str], prefix: str = "next_"
 ) -> DataFrame:
     """Each row with columns of the following row of its group.
 
-    ``order`` is a unique integer within the group. Rows are paired inside buckets; the
-    last row of a bucket takes the first row of the next bucket that exists, found among
-    the bucket heads, of which there is one per ``width`` positions.
+    ``order`` is unique within the group. Rows are paired inside ranges; the last row of a
+    group in a range takes the group's first row of a later range, found among these first
+    rows, of which there is one per range and group.
     """
     columns = list(columns)
-    placed = df.withColumn("_bucket", int_bucket(F.col(order), width))
-    inside = Window.partitionBy(group, "_bucket").orderBy(order)
+    placed = in_parts(df, [order], [group])
+    inside = Window.partitionBy(group, "_part").orderBy(order)
     here = F.struct(*[F.col(c) for c in columns])
     paired = placed.select(
         "*",
         F.lead(here).over(inside).alias("_next"),
         F.row_number().over(inside).alias("_pos"),
     )
-    heads = paired.filter("_pos = 1").select(
-        group, F.col("_bucket").alias("_head_bucket"), here.alias("_head")
-    )
-    across = Window.partitionBy(group).orderBy("_head_bucket")
+    heads = placed.groupBy(group, "_part").agg(F.min_by(here, order).alias("_head"))
+    across = Window.partitionBy(group).orderBy("_part")
     follow = heads.select(
         F.col(group).alias("_g"),
-        F.col("_head_bucket").alias("_b"),
+        F.col("_part").alias("_b"),
         F.lead("_head").over(across).alias("_follow"),
     ).filter(F.col("_follow").isNotNull())
     joined = paired.join(
         follow,
-        (F.col(group) == F.col("_g"))
-        & (F.col("_bucket") == F.col("_b"))
+        F.col(group).eqNullSafe(F.col("_g"))
+        & (F.col("_part") == F.col("_b"))
         & F.col("_next").isNull(),
         "left",
     )

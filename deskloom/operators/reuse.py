@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TTL_SECONDS = 3600
 
 
-def miss_seconds(seconds: Column, ttl: int) -> Column:
-    """Of ascending times: the first, then each first one ``ttl`` or more after the last kept."""
-    nothing = F.array().cast("array<bigint>")
-    return F.aggregate(
-        seconds,
-        nothing,
-        lambda kept, at: F.when(
-            (F.size(kept) == 0) | (at >= F.get(kept, F.size(kept) - 1) + F.lit(ttl)),
-            F.concat(kept, F.array(at)),
-        ).otherwise(kept),
-    )
+def miss_places(seconds: np.ndarray, stored: int | None, ttl: int) -> tuple[list[int], int | None]:
+    """(places of the misses among ascending times, stored time afterwards).
+
+    A time before ``stored`` is a hit if it is less than ``ttl`` earlier; else it is a miss
+    whose result isn't kept, as a later one is there already.
+    """
+    places, at, n = [], 0, len(seconds)
+    if stored is not None:
+        late = int(np.searchsorted(seconds, stored - ttl, side="right"))
+        places.extend(range(late))
+        at = int(np.searchsorted(seconds, stored + ttl, side="left"))
+    while at < n:
+        stored = int(seconds[at])
+        places.append(at)
+        at = int(np.searchsorted(seconds, stored + ttl, side="left"))
+    return places, stored
+
+
+def _misses(ttl: int):
+    """Ids of the events that compute a result, from rows sorted by (key hash, key, second)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stored = None, None
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            seconds = batch.column(1).to_numpy(zero_copy_only=False)
+            found, begin = [], 0
+            while begin < len(keys):
+                key, end = keys[begin], begin
+                while end < len(keys) and keys[end] == key:
+                    end += 1
+                if key != last:
+                    last, stored = key, None
+                places, stored = miss_places(seconds[begin:end], stored, ttl)
+                found.extend(begin + p for p in places)
+                begin = end
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(found, pa.int64()))], names=["_miss_id"])
+
+    return run
 
 
 def ttl_reuse(
@@ -27,23 +60,20 @@ def ttl_reuse(
     """Events with ``hit``: true iff a result of the same key is younger than ``ttl``.
 
     A result is stored at a miss and reads do not extend it. Which misses follow depends
-    on earlier misses, so a key is one chain; but only its distinct seconds matter, and
-    within a slice of ``ttl`` seconds at most one of them is a miss. Copies of a second are
-    merged before the shuffle, so a key's group is bounded by clock time, not by rows.
+    on earlier misses, so a key is one chain; but only its distinct seconds matter. Copies of
+    a second are merged before the shuffle, and a chain is read as a stream that remembers one
+    number: no array, and rows bounded by clock time. A null key or time is always a miss.
     """
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    timed = events.withColumn("_sec", second)
-    per_second = timed.groupBy(key, "_sec").agg(F.min(event_id).alias("_first"))
-    chain = F.array_sort(F.collect_list("_sec"))
-    missed = (
-        per_second.groupBy(key)
-        .agg(chain.alias("_times"))
-        .select(key, F.explode(miss_seconds(F.col("_times"), ttl)).alias("_sec"))
-    )
+    timed = events.select(F.col(key).cast("string").alias("_key"), second.alias("_sec"), F.col(event_id).alias("_id"))
+    per_second = timed.dropna(subset=["_key", "_sec"]).groupBy("_key", "_sec").agg(F.min("_id").alias("_first"))
+    chains = per_second.repartition("_key").sortWithinPartitions("_key", "_sec").select("_key", "_sec", "_first")
+    id_type = events.schema[event_id].dataType
     # The earliest event of a missed second computes the result; the others reuse it.
-    first = per_second.join(missed, [key, "_sec"]).select(F.col("_first").alias("_miss_id"))
+    first = chains.mapInArrow(_misses(ttl), T.StructType([T.StructField("_miss_id", id_type)]))
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
     return events.join(first, F.col(event_id) == F.col("_miss_id"), "left").select(
-        *events.columns, F.col("_miss_id").isNull().alias("hit")
+        *events.columns, (F.col("_miss_id").isNull() & known).alias("hit")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from deskloom.functions.intents import Cues, matching_intents
 from deskloom.functions.rules import CUES, LIMITS
 from deskloom.operators.matching import keep_first
-from deskloom.operators.ordering import hash_bucket, int_bucket, number_rows, top_n_per_group
+from deskloom.operators.ordering import number_rows, top_n_per_group
 from deskloom.session import materialize
 
 SEED = 42
@@ -24,9 +24,7 @@ def seeded_hash(id_col: Column, seed: int = SEED) -> Column:
 
 def _numbered(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     hashed = df.withColumn("_hash", seeded_hash(F.col(id_col), seed))
-    return number_rows(
-        hashed, ["_hash"], hash_bucket(F.col("_hash")), [label], name="_rn"
-    ).drop("_hash")
+    return number_rows(hashed, ["_hash"], [label], name="_rn").drop("_hash")
 
 
 def stratified_split(
@@ -53,22 +51,17 @@ def stratified_folds(
     )
 
 
-def pair_ids(df: DataFrame, order: str, name: str = "pair_id", width: int = 65536) -> DataFrame:
-    """Sequential ids ``pair_00001`` along a unique integer column."""
-    numbered = number_rows(df, [order], int_bucket(F.col(order), width), name="_rn")
+def pair_ids(df: DataFrame, order: str, name: str = "pair_id") -> DataFrame:
+    """Sequential ids ``pair_00001`` along a unique column."""
+    numbered = number_rows(df, [order], name="_rn")
     number = F.col("_rn").cast("string")
     padded = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
     return numbered.select(*df.columns, F.concat(F.lit("pair_"), padded).alias(name))
 
 
-def content_id(*parts: Column) -> Column:
-    """Id that depends on the content alone, for runs that must not renumber."""
-    return F.concat(F.lit("pair_"), F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 16))
-
-
-def batches(df: DataFrame, order: str, size: int, group: Sequence[str] = (), width: int = 65536) -> DataFrame:
+def batches(df: DataFrame, order: str, size: int, group: Sequence[str] = ()) -> DataFrame:
     """Rows with ``batch`` and ``item`` numbers: consecutive runs of ``size`` rows."""
-    numbered = number_rows(df, [order], int_bucket(F.col(order), width), group, name="_rn")
+    numbered = number_rows(df, [order], group, name="_rn")
     return numbered.select(
         *df.columns,
         F.floor((F.col("_rn") - 1) / size).cast("long").alias("batch"),
@@ -146,11 +139,6 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def discarded_to_null(label: Column, labels: Sequence[str]) -> Column:
-    """Label if listed, else NULL; used before a quota fill drops unusable answers."""
-    return F.when(label.isin(*labels), label)
-
-
 def by_priority(priorities: Mapping[str, int], source: Column) -> Column:
     """Position of a source tag in the fill order."""
     column = F.lit(len(priorities))

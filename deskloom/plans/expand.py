@@ -13,7 +13,7 @@ from deskloom.functions.probabilities import triage
 from deskloom.functions.rules import CUES, LIMITS, TAXONOMY
 from deskloom.functions.text import strip
 from deskloom.operators.matching import tagged_union, without_seen
-from deskloom.operators.ordering import number_rows, hash_bucket
+from deskloom.operators.ordering import number_rows
 from deskloom.operators.sampling import fill_quota, label_counts, mine_pools, seeded_hash
 from deskloom.session import materialize
 
@@ -111,7 +111,6 @@ def expand_dataset(
         ranked = number_rows(
             scored.filter("tier = 'QUEUE'").select("text", "_hash", F.col("pool").alias("intent")),
             ["_hash"],
-            hash_bucket(F.col("_hash")),
             ["intent"],
             name="rank",
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from deskloom.functions.text import fingerprint
-from deskloom.operators.reuse import TTL_SECONDS
+from deskloom.operators.reuse import TTL_SECONDS, miss_places
 from deskloom.operators.vectors import LexicalIndex, build_index
-from deskloom.plans.decide import decide, triage_cases
-
-
-def triage_stream(cases: DataFrame) -> DataFrame:
-    """Stateless part of a decision on a stream: safety and intent per case."""
-    return triage_cases(cases)
+from deskloom.plans.decide import decide
 
 
 def decide_stream(
@@ -47,22 +43,20 @@ def decide_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def dedup_stream(
-    requests: DataFrame, text: str, ts: str, horizon: str = "1 hour"
-) -> DataFrame:
-    """First request per normalised text within the horizon."""
-    keyed = requests.withColumn("text_key", fingerprint(F.col(text)))
-    return keyed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["text_key"])
-
+class LastMiss(StatefulProcessor):
+    """Remembers, per key, the event time of the last miss; one number.
 
-class ReuseProcessor(StatefulProcessor):
-    """Remembers, per key, when the stored result was computed (event time)."""
+    A micro-batch's rows of a key are put in time order here; the source's rate limit bounds
+    them. The number is forgotten when the key has been silent for ``forget`` of wall-clock
+    time, which must exceed the ttl and the lateness of events.
+    """
 
-    def __init__(self, key: str, ts: str, event_id: str, ttl: int) -> None:
-        self.key, self.ts, self.event_id, self.ttl = key, ts, event_id, ttl
+    def __init__(self, key: str, second: str, event_id: str, ttl: int, forget: int, only_misses: bool) -> None:
+        self.key, self.second, self.event_id = key, second, event_id
+        self.ttl, self.forget, self.only_misses = ttl, forget, only_misses
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored_at = handle.getValueState("stored_at", "sec long")
+        self.stored_at = handle.getValueState("stored_at", "sec long", self.forget * 1000)
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object
@@ -70,50 +64,80 @@ class ReuseProcessor(StatefulProcessor):
         chunks = [chunk for chunk in rows if len(chunk)]
         if not chunks:
             return
-        stored = self.stored_at.get()[0] if self.stored_at.exists() else None
-        # Time order inside a micro-batch is not given; a key's rows are put in order here.
-        # The source's rate limit bounds a micro-batch.
-        frame = pd.concat(chunks, ignore_index=True).sort_values([self.ts, self.event_id])
-        hits = []
-        for sec in frame[self.ts].to_numpy():
-            hit = stored is not None and sec < stored + self.ttl
-            hits.append(hit)
-            if not hit:
-                stored = int(sec)
-        self.stored_at.update((stored,))
-        yield pd.DataFrame(
-            {self.key: key[0], self.event_id: frame[self.event_id].to_numpy(), "hit": hits}
-        )
+        frame = pd.concat(chunks, ignore_index=True)
+        hit = np.zeros(len(frame), bool)
+        timed = frame[self.second].notna().to_numpy()
+        if key[0] is not None and timed.any():  # null keys and times are misses, never stored
+            frame = frame.sort_values([self.second, self.event_id], ignore_index=True)
+            seconds = frame[self.second].dropna().to_numpy().astype("int64")
+            distinct, first = np.unique(seconds, return_index=True)
+            stored = self.stored_at.get()[0] if self.stored_at.exists() else None
+            places, stored = miss_places(distinct, stored, self.ttl)
+            hit[: len(seconds)] = True
+            hit[first[places]] = False
+            self.stored_at.update((stored,))
+        frame["hit"] = hit
+        if self.only_misses:
+            frame = frame[~frame["hit"]]
+        frame[self.key] = key[0]
+        yield frame
 
     def close(self) -> None:
         pass
 
 
+#: Seconds of wall-clock silence after which a key's state is forgotten.
+FORGET = 7 * 86400
+
+
+def _by_last_miss(
+    events: DataFrame, key: str, ts: str, event_id: str, ttl: int, forget: int, only_misses: bool
+) -> DataFrame:
+    second = F.unix_seconds(F.col(ts).cast("timestamp")).alias("event_sec")
+    timed = events.select(key, event_id, second)
+    schema = T.StructType([*timed.schema.fields, T.StructField("hit", T.BooleanType())])
+    return timed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=LastMiss(key, "event_sec", event_id, ttl, forget, only_misses),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+
+
+def dedup_stream(
+    requests: DataFrame,
+    text: str,
+    ts: str,
+    request_id: str,
+    horizon: int = TTL_SECONDS,
+    forget: int = FORGET,
+) -> DataFrame:
+    """(text_key, request id) of the requests that stay: those without a kept request of the
+    same normalised text less than ``horizon`` seconds before, in event time.
+
+    The result doesn't depend on how the requests fall into micro-batches as long as these
+    follow the event time; a late request is compared with the last kept one.
+    """
+    keyed = requests.withColumn("text_key", fingerprint(F.col(text)))
+    return _by_last_miss(keyed, "text_key", ts, request_id, horizon, forget, True).select("text_key", request_id)
+
+
 def reuse_stream(
-    events: DataFrame, key: str, ts: str, event_id: str, ttl: int = TTL_SECONDS
+    events: DataFrame, key: str, ts: str, event_id: str, ttl: int = TTL_SECONDS, forget: int = FORGET
 ) -> DataFrame:
     """(key, event id, hit) of a stream: reuse with a time-to-live fixed at the miss.
 
     State is one number per key. Needs the RocksDB state store.
     """
-    schema = T.StructType(
-        [
-            T.StructField(key, events.schema[key].dataType),
-            T.StructField(event_id, events.schema[event_id].dataType),
-            T.StructField("hit", T.BooleanType()),
-        ]
-    )
-    timed = events.select(key, event_id, F.unix_seconds(F.col(ts).cast("timestamp")).alias("event_sec"))
-    return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=ReuseProcessor(key, "event_sec", event_id, ttl),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    return _by_last_miss(events, key, ts, event_id, ttl, forget, False).select(key, event_id, "hit")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything that is there, append to a Parquet folder, and stop."""
+    """Process everything that is there, append to a Parquet folder, and stop.
+
+    State with a time-to-live asks for another batch for ever; batches without data are off.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = (
         df.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)

@@ -19,8 +19,10 @@ from deskloom.operators.reuse import reuse_summary, ttl_reuse
 from deskloom.plans.classify import batch_stats, classify_batch, score_new
 from deskloom.plans.cases import extract_cases
 from deskloom.plans.decide import decide
+from deskloom.plans.expand import batch_labels
 from deskloom.plans.vault import build_vault_from_cases
 from deskloom.sources import readers
+from deskloom.streaming import flows
 
 
 def components(edges):
@@ -82,14 +84,14 @@ def test_number_rows_and_next_match_plain_windows(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), i * rng.randint(1, 3) + i * 5) for i in range(200)]
     df = spark.createDataFrame(sorted(set(rows)), "g string, k long").repartition(5)
-    numbered = O.number_rows(df, ["k"], O.int_bucket(F.col("k"), 16), ["g"]).collect()
+    numbered = O.number_rows(df, ["k"], ["g"]).collect()
     seen = defaultdict(list)
     for g, k in sorted(set(rows)):
         seen[g].append(k)
     assert {(r.g, r.k): r.rn for r in numbered} == {
         (g, k): i + 1 for g, ks in seen.items() for i, k in enumerate(ks)
     }
-    nexts = O.with_next(df, "g", "k", ["k"], width=16).collect()
+    nexts = O.with_next(df, "g", "k", ["k"]).collect()
     assert {(r.g, r.k): r.next_k for r in nexts} == {
         (g, k): (ks[i + 1] if i + 1 < len(ks) else None) for g, ks in seen.items() for i, k in enumerate(ks)
     }
@@ -342,3 +344,65 @@ def test_text_model_learns(spark):
     got = {r.id: r for r in L.predict_text(model, asked, "id", "text").collect()}
     assert (got[1].predicted, got[2].predicted) == ("odd", "even")
     assert got[1].confidence > 0.6 and 3 in got
+
+
+def test_ttl_reuse_nulls_are_misses(spark):
+    rows = [(1, None, 0), (2, None, 1), (3, "k", None), (4, "k", 5), (5, "k", 6)]
+    df = spark.createDataFrame(rows, "id long, key string, t long").select(
+        "id", "key", F.timestamp_seconds("t").alias("ts")
+    )
+    got = {r.id: r.hit for r in ttl_reuse(df, "key", "ts", "id").collect()}
+    assert got == {1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_numbering_with_sparse_ids(spark):
+    rows = [(i % 3, 10**12 + i * 7_777_777_777) for i in range(500)]
+    df = spark.createDataFrame(rows, "g long, k long").repartition(4)
+    got = sorted(tuple(r) for r in O.number_rows(df, ["k"], ["g"]).collect())
+    seen: dict[int, int] = {}
+    for g, k, rn in sorted(got, key=lambda r: (r[0], r[1])):
+        seen[g] = seen.get(g, 0) + 1
+        assert rn == seen[g]
+    following = {(r.g, r.k): r.next_k for r in O.with_next(df, "g", "k", ["k"]).collect()}
+    for g in range(3):
+        keys = sorted(k for h, k in rows if h == g)
+        assert [following[g, k] for k in keys] == [*keys[1:], None]
+
+
+def test_latency_by_group(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 7.0)], "m string, v double")
+    got = {r.m: r.p95_ms for r in M.latency_stats(df, "v", ["m"]).collect()}
+    assert got == {"a": 95.0, "b": 7.0}
+
+
+def test_confusion_matrix_lists_every_label(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "a"), ("z", "a")], "actual string, predicted string")
+    got = [tuple(r) for r in M.confusion_matrix(df, "actual", "predicted", ["a", "b", "c"]).collect()]
+    assert got == [("a", 1, 1, 0), ("b", 0, 0, 0), ("c", 0, 0, 0)]
+
+
+def test_one_bad_id_voids_a_batch_answer(spark):
+    items = spark.createDataFrame([(b, i) for b in (1, 2) for i in (1, 2)], "batch int, item int")
+    answers = spark.createDataFrame(
+        [(1, '[{"id": "1", "intent": "UNKNOWN"}, {"intent": "UNKNOWN"}]'), (2, '[{"id": 1, "intent": "UNKNOWN"}, {"id": "x"}]')],
+        "batch int, response string",
+    )
+    got = {(r.batch, r.item): r.verified for r in batch_labels(items, answers, ["batch"]).collect()}
+    assert got == {(1, 1): "UNKNOWN", (1, 2): "DISCARD", (2, 1): "DISCARD", (2, 2): "DISCARD"}
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_dedup_stream_keeps_what_lies_outside_the_horizon(spark, tmp_path, files):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    rows = [(i, t, key) for i, (t, key) in enumerate([(0, "A"), (5, " a"), (3599, "a"), (3600, "a"), (3700, "b"), (7000, "a"), (7200, "a"), (7300, "b"), (None, "a")])]
+    step = -(-len(rows) // files)
+    source = f"{tmp_path}/in"
+    for at in range(0, len(rows), step):
+        part = spark.createDataFrame(rows[at : at + step], "id long, t long, text string")
+        part.select("id", F.timestamp_seconds("t").alias("ts"), "text").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long, ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    flows.run_available(flows.dedup_stream(stream, "text", "ts", "id"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 3, 4, 6, 7, 8]

@@ -120,9 +120,9 @@ def test_context_prompt(spark):
         "array(named_struct('author_id','a','text','one'), named_struct('author_id','b','text','two'))"
     )
     assert one(spark, X.context_prompt(turns, F.lit("two"))).startswith(
-        "Preceding Conversation:\n- a: one\n\nIncoming"
+        "Said before:\n- a: one\n\nMessage to label"
     )
-    assert one(spark, X.context_prompt(F.slice(turns, 1, 1), F.lit("x"))).startswith("Incoming")
+    assert one(spark, X.context_prompt(F.slice(turns, 1, 1), F.lit("x"))).startswith("Message to label")
 
 
 @pytest.mark.parametrize(
