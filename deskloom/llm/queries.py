@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import decontaminate, licenses, mixing, quality, simhash, substring, tokens, toxicity, urls, warc
+from deskloom.llm import decontaminate, licenses, mixing, quality, simhash, substring, tokens, toxicity, twins, urls, warc
 from deskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op1_warc")
+@query("op1_warc", twins.OP1)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     read = warc.archived(table(spark, sf_dir, "pages"))
@@ -62,7 +62,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_url_filter")
+@query("op6_url_filter", twins.op6(RULES))
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(table(spark, sf_dir, "pages"), RULES, ["page_id"]).select(
@@ -84,7 +84,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_decontaminate")
+@query("op10_decontaminate", twins.OP10)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark matches of every document."""
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -104,7 +104,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", twins.OP3)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated windows."""
     untouched, affected = substring.deduplicated(table(spark, sf_dir, "documents"))
@@ -114,7 +114,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_licenses")
+@query("op4_licenses", twins.op4())
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
