@@ -157,6 +157,17 @@ TURNS_SQL = f"""turns AS (
   FROM conversations)"""
 
 
+#: Turns that a conversation may have; more are an error, not another conversation's number.
+MOST_TURNS = 10_000_000
+
+
+def turn_number() -> Column:
+    """One integer per (conv_id, turn)."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    number = conv * F.lit(MOST_TURNS).cast("long") + turn
+    return F.when((turn >= 0) & (turn < MOST_TURNS), number).otherwise(F.raise_error(F.lit("turn out of range")))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, customer_text, agent_text): every customer turn with the answer to it."""
     from deskloom.operators.threads import with_next
@@ -165,7 +176,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = turns(spark, sf_dir).select("conv_id", "turn", brand, "text")
     paired = with_next(said, "conv_id", "turn", ["brand", "text"])
     return paired.filter(~F.col("brand") & F.col("next_brand")).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("case_id"),
+        turn_number().alias("case_id"),
         F.col("conv_id"),
         F.col("text").alias("customer_text"),
         F.col("next_text").alias("agent_text"),
@@ -178,7 +189,7 @@ adjacent AS (
          lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 replies AS (
-  SELECT conv_id * 100 + turn AS case_id, conv_id, text AS customer_text, next_text AS agent_text
+  SELECT conv_id * {MOST_TURNS} + turn AS case_id, conv_id, text AS customer_text, next_text AS agent_text
   FROM adjacent WHERE role <> 'assistant' AND next_role = 'assistant')"""
 
 

@@ -12,6 +12,7 @@ from deskloom.catalog.base import (
     REPLIES_SQL,
     REQUESTS_SQL,
     TURNS_SQL,
+    MOST_TURNS,
     pick,
     query,
     quote,
@@ -19,7 +20,9 @@ from deskloom.catalog.base import (
     requests,
     sql_list,
     sql_pick,
-    table, texts,
+    table,
+    texts,
+    turn_number,
     turns,
 )
 from deskloom.catalog.metric_queries import _macro_sql, _report_sql
@@ -346,7 +349,7 @@ def _expand_sql() -> str:
     labels = ", ".join(quote(v) for v in R.TAXONOMY)
     return f"""WITH {TURNS_SQL},
     golden AS MATERIALIZED (SELECT text, {sql_pick(R.TAXONOMY, 'item_id')} AS intent FROM benchmark),
-    corpus AS MATERIALIZED (SELECT text, min(conv_id * 100 + turn) AS ord FROM turns
+    corpus AS MATERIALIZED (SELECT text, min(conv_id * {MOST_TURNS} + turn) AS ord FROM turns
       WHERE length(text) BETWEEN 25 AND 250 AND text NOT IN (SELECT text FROM golden) GROUP BY text),
     {', '.join(parts)},
     have AS (SELECT intent, count(*) AS n FROM golden GROUP BY intent),
@@ -373,7 +376,7 @@ def _expand_sql() -> str:
 @query("expand_dataset", _expand_sql())
 def expand_dataset_rows(spark, sf):
     golden = table(spark, sf, "benchmark").select("text", pick(R.TAXONOMY, F.col("item_id")).alias("intent"))
-    corpus = turns(spark, sf).select("text", (F.col("conv_id") * 100 + F.col("turn")).alias("ord"))
+    corpus = turns(spark, sf).select("text", turn_number().alias("ord"))
     return expand_dataset(
         golden, corpus, _expand_score, _expand_verify, pool_size=_EXPAND_POOL, quota=_EXPAND_QUOTA
     )

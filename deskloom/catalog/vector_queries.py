@@ -124,8 +124,8 @@ def topk_matches(spark, sf):
     guess = classify_by_cues(F.col("text"), LANGUAGE_CUES, "en")["intent"]
     passages = table(spark, sf, "benchmark").select("item_id", "text", guess.alias("lang"))
     index = V.build_index(docs, "doc_id", "lang", "text")
-    # A small bound sends the frequent terms of the test data down the pruned path.
-    found = V.lexical_matches(passages, index, "item_id", "lang", "text", hot_df=100)
+    # Small blocks, so that the test data has several.
+    found = V.lexical_matches(passages, index, "item_id", "lang", "text", block=100)
     return found.withColumn("zone", RT.zone(F.col("score")))
 
 

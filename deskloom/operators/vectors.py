@@ -1,8 +1,7 @@
 """TF-IDF per group, lexical similarity search, dense similarity search.
 
-The lexical index is relational: one row per (group, term, item). A query meets only the
-items that share a term with it, and of those only the ones that can still reach its top
-list; see ``lexical_matches``.
+The lexical index is relational; search multiplies blocks of query vectors with blocks of
+item vectors of the same group and keeps k rows per query; see ``lexical_matches``.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,10 +138,8 @@ def query_vectors(
     return weigh(explode_terms(df, item, group, text, stops), index.idf)
 
 
-# A term held by more items than this is "hot": its posting list is read in blocks, and
-# only for queries whose top list it can still change.
-HOT_DF = 20_000
-ROUNDING = 1e-4  # scores are ranked with 4 digits
+#: Rows of a block, and pairs of postings of a term above which it goes through a matrix product.
+BLOCK, DENSE_PAIRS = 1024, 1 << 14
 
 
 def lexical_matches(
@@ -151,7 +149,7 @@ def lexical_matches(
     group: str,
     text: str,
     k: int = 3,
-    hot_df: int = HOT_DF,
+    block: int = BLOCK,
     stops: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Exact top-k items per query by cosine: (query, grp, item, score, rank).
@@ -159,115 +157,122 @@ def lexical_matches(
     Every query gets k rows when its group has k items: lowest item ids pad the list with
     score 0. Ties go to the lower item id.
 
-    Posting lists of hot terms would pair nearly every query with nearly every item. So
-    cold terms are scored first; the k-th best cold score is a lower bound of what a
-    candidate must reach. Hot terms, most frequent first, are set aside while the sum of
-    their largest possible contributions stays below that bound: an item that shares only
-    such terms cannot enter the list. They are looked up afterwards for the remaining
-    candidates alone.
+    Queries and items of a group are cut into blocks of about ``block`` rows. A block pair
+    is one sparse product in one task and returns k rows per query, so neither pairs nor
+    scores of pairs are ever rows of a table, and a group or a term of any size is spread
+    over block pairs. One plan serves all sizes.
     """
-    # Written, so that a small query set is broadcast and the postings stay unshuffled.
     vectors = materialize(
         query_vectors(queries, item, group, text, index, stops), "query-vectors"
     )
-    hot_terms = index.idf.filter(F.col("df") > hot_df)
-    if hot_terms.limit(1).count() == 0:
-        scores = _score(flat(vectors), index.postings)
-    else:
-        scores = _score_with_hot_terms(vectors, index, k, hot_df)
     asked = queries.select(F.col(item).alias("query"), F.col(group).alias("grp"))
-    return _rank(scores, asked, index, k)
+    return _rank(_block_matches(vectors, index.vectors, k, block), asked, index, k)
 
 
-def _score(query_terms: DataFrame, postings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    left = query_terms.select(
-        F.col("item").alias("query"), "grp", "term", F.col("w").alias("wq"), *extra
-    )
-    return (
-        left.join(postings, ["grp", "term", *extra])
-        .groupBy("query", "grp", "item")
-        .agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    )
-
+def _block_matches(queries: DataFrame, items: DataFrame, k: int, block: int) -> DataFrame:
+    """(query, grp, item, score): the best k of every query in every item block."""
 
-def _score_with_hot_terms(
-    vectors: DataFrame, index: LexicalIndex, k: int, hot_df: int
-) -> DataFrame:
-    terms = flat(vectors)
-    hot_terms = index.idf.filter(F.col("df") > hot_df).select("grp", "term", "df")
-    blocks = F.ceil(F.col("df") / F.lit(hot_df)).cast("int")
-    hot_postings = materialize(
-        index.postings.join(hot_terms, ["grp", "term"]).withColumn(
-            "block", F.pmod(F.xxhash64("item"), blocks).cast("int")
-        ),
-        "hot-postings",
-    )
-    peaks = hot_postings.groupBy("grp", "term").agg(
-        F.max("w").alias("peak"), F.first("df").alias("df")
-    )
-    hot_postings = hot_postings.drop("df")
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        count = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name)
+        return df.groupBy("grp").agg(count)
 
-    cold_terms = terms.join(hot_terms.drop("df"), ["grp", "term"], "left_anti")
-    cold = materialize(_score(cold_terms, index.postings), "cold-scores")
-    best = Window.partitionBy("query", "grp").orderBy(F.col("score").desc())
-    floor_ = (
-        cold.withColumn("_rn", F.row_number().over(best))
-        .filter(F.col("_rn") <= k)
-        .groupBy("query", "grp")
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
-    )
-    # Hot terms of one query are few; the running sum stays inside the query.
-    frequent_first = (
-        Window.partitionBy("item", "grp")
-        .orderBy(F.col("df").desc(), "term")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    needed = F.coalesce(F.col("floor"), F.lit(0.0)) - ROUNDING
-    hot_query = materialize(
-        terms.join(peaks, ["grp", "term"])
-        .withColumn("_upto", F.sum(F.col("w") * F.col("peak")).over(frequent_first))
-        .join(floor_.withColumnRenamed("query", "item"), ["item", "grp"], "left")
-        .withColumn("aside", F.col("_upto") < needed),
-        "hot-query-terms",
+    shape = materialize(blocks(queries, "_qn").join(blocks(items, "_in"), "grp"), "block-shape")
+    hashed = F.transform("terms", lambda t: F.struct(F.xxhash64(t["term"]).alias("term"), t["w"].alias("w")))
+    left = queries.join(shape, "grp").select(
+        "grp",
+        F.pmod(F.xxhash64("item"), F.col("_qn")).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("ib"),
+        F.col("item").alias("query"),
+        hashed.alias("terms"),
     )
-    opened = hot_query.filter("not aside").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), blocks - 1))
+    right = items.join(shape, "grp").select(
+        "grp",
+        F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)).alias("qb"),
+        F.pmod(F.xxhash64("item"), F.col("_in")).cast("int").alias("ib"),
+        "item",
+        hashed.alias("terms"),
     )
-    opened_scores = _score(opened, hot_postings, ("block",))
-    reached = (
-        cold.unionByName(opened_scores)
-        .groupBy("query", "grp", "item")
-        .agg(F.sum("score").alias("score"))
+    schema = T.StructType(
+        [
+            T.StructField("grp", left.schema["grp"].dataType),
+            T.StructField("query", left.schema["query"].dataType),
+            T.StructField("item", right.schema["item"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
-    aside = (
-        hot_query.filter("aside")
-        .groupBy(F.col("item").alias("query"), "grp")
-        .agg(
-            F.max("_upto").alias("_aside_bound"),
-            F.first("floor").alias("_floor"),
-            F.collect_list(F.struct("term", F.col("w").alias("wq"))).alias("_terms"),
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["grp", "query", "item", "score"]
+        b = b.sort_by("item")
+        score = np.round(_sparse_product(_entries(a), _entries(b), len(a), len(b)), 4)
+        n = min(k, score.shape[1])
+        # Items are in id order and the sort is stable: the lower id comes first among equals.
+        top = np.argsort(-score, axis=1, kind="stable")[:, :n]
+        value = np.take_along_axis(score, top, axis=1)
+        row, place = np.nonzero(value > 0)
+        column = top[row, place]
+        return pa.Table.from_arrays(
+            [a["grp"].take(row), a["query"].take(row), b["item"].take(column), pa.array(value[row, place])], names=names
         )
-    )
-    candidates = materialize(
-        reached.join(aside, ["query", "grp"], "left").filter(
-            F.col("_terms").isNull()
-            | (F.col("score") + F.col("_aside_bound") >= F.col("_floor") - ROUNDING)
-        ),
-        "candidates",
-    )
-    lookups = candidates.filter("_terms is not null").select(
-        "query", "grp", "item", F.inline("_terms")
-    )
-    rest = (
-        lookups.join(hot_postings.drop("block"), ["grp", "term", "item"])
-        .select("query", "grp", "item", (F.col("wq") * F.col("w")).alias("score"))
-    )
-    return (
-        candidates.select("query", "grp", "item", "score")
-        .unionByName(rest)
-        .groupBy("query", "grp", "item")
-        .agg(F.sum("score").alias("score"))
-    )
+
+    keys = ["grp", "qb", "ib"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the vectors of a block."""
+    vectors = table["terms"].combine_chunks()
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    rows = np.repeat(np.arange(len(vectors)), np.diff(vectors.offsets.to_numpy()))
+    flat_terms = vectors.flatten()
+    return rows, flat_terms.field("term").to_numpy(), flat_terms.field("w").to_numpy()
+
+
+def _sparse_product(
+    a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: int, n_b: int, chunk: int = 1 << 22
+) -> np.ndarray:
+    """Dense n_a by n_b matrix of the products of sparse rows.
+
+    Terms with many pairs go through dense matrix products, the others through their pairs,
+    ``chunk`` at a time.
+    """
+    out = np.zeros((n_a, n_b))
+    if not len(a[0]) or not len(b[0]):
+        return out
+    names, code = np.unique(np.concatenate((a[1], b[1])), return_inverse=True)
+    code_a, code_b = code[: len(a[0])], code[len(a[0]) :]
+    count_b = np.bincount(code_b, minlength=len(names))
+    pairs = np.bincount(code_a, minlength=len(names)) * count_b
+    many = np.flatnonzero(pairs > DENSE_PAIRS)
+    for at in range(0, len(many), 512):
+        place = np.full(len(names), -1)
+        place[many[at : at + 512]] = np.arange(len(many[at : at + 512]))
+        sides = []
+        for (row, _, weight), codes, n in ((a, code_a, n_a), (b, code_b, n_b)):
+            column = place[codes]
+            dense = np.zeros((n, 512))
+            dense[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    few = (pairs[code_a] > 0) & (pairs[code_a] <= DENSE_PAIRS)
+    row_a, few_code, weight_a = a[0][few], code_a[few], a[2][few]
+    order = np.argsort(code_b, kind="stable")
+    row_b, weight_b = b[0][order], b[2][order]
+    first_b = np.cumsum(count_b) - count_b
+    size = count_b[few_code]
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + chunk, side="right")))
+        reps = size[begin:end]
+        entry = np.repeat(np.arange(begin, end), reps)
+        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        other = first_b[few_code[entry]] + nth
+        cell = row_a[entry] * n_b + row_b[other]
+        out += np.bincount(cell, weights=weight_a[entry] * weight_b[other], minlength=n_a * n_b).reshape(n_a, n_b)
+        begin = end
+    return out
 
 
 def _rank(scores: DataFrame, asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
@@ -343,8 +348,9 @@ def dense_matches(
         right = right.sort_values("item", ignore_index=True)
         a = np.stack(left["qvec"].to_numpy()).astype("float64")
         b = np.stack(right["ivec"].to_numpy()).astype("float64")
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        for side in (a, b):  # a zero vector scores 0 with everything
+            norm = np.linalg.norm(side, axis=1, keepdims=True)
+            np.divide(side, norm, out=side, where=norm > 0)
         score = np.round(a @ b.T, 4)
         if skip_same_id:
             score[left["query"].to_numpy()[:, None] == right["item"].to_numpy()[None, :]] = -np.inf

@@ -15,7 +15,7 @@ from deskloom.functions.rules import BRAND, Brand, OTHER, SAFE_TRIAGE, Zones
 from deskloom.functions.safety import assess_safety, escalation_priority
 from deskloom.functions.text import at_handle, clean_draft, fingerprint, strip
 from deskloom.operators.matching import fall_back_group, keep_first
-from deskloom.operators.vectors import HOT_DF, LexicalIndex, build_index, lexical_matches
+from deskloom.operators.vectors import LexicalIndex, build_index, lexical_matches
 from deskloom.session import materialize
 
 
@@ -55,7 +55,6 @@ def retrieve(
     vault: DataFrame,
     k: int = 3,
     index: LexicalIndex | None = None,
-    hot_df: int = HOT_DF,
 ) -> DataFrame:
     """Best precedents per query: (query_key, target, matches, top_similarity).
 
@@ -65,7 +64,7 @@ def retrieve(
     index = index or build_index(
         vault.select("pair_id", "intent", "customer_query"), "pair_id", "intent", "customer_query", k
     )
-    found = lexical_matches(queries, index, "query_key", "target", "text", k, hot_df)
+    found = lexical_matches(queries, index, "query_key", "target", "text", k)
     pairs = vault.select(
         F.col("pair_id").alias("item"), "case_id", "customer_query", "agent_reply"
     )
@@ -98,7 +97,6 @@ def decide(
     zones: Zones = LEXICAL,
     brand: Brand = BRAND,
     k: int = 3,
-    hot_df: int = HOT_DF,
 ) -> DataFrame:
     """One decision row per case (case_id, text, handle).
 
@@ -121,7 +119,7 @@ def decide(
         "_k",
         ["text"],
     ).drop("_k")
-    found = retrieve(queries, vault, k, index, hot_df)
+    found = retrieve(queries, vault, k, index)
     searched = targeted.join(found, ["query_key", "target"], "left")
     if drafts is not None:
         searched = searched.join(

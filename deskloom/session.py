@@ -62,9 +62,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/deskloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/deskloom/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written below the shared folder; the number of paths.
+
+    For the end of a run: results that are still read from these tables must be written first.
+    """
+    hadoop, cleared = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        cleared += bool(path.getFileSystem(hadoop).delete(path, True))
+    return cleared
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -6,11 +6,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from deskloom.session import local_session  # noqa: E402
+from deskloom.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8)
     yield session
+    clear_scratch(session)
     session.stop()

@@ -164,8 +164,8 @@ def brute_scores(items, queries, k):
     return out
 
 
-@pytest.mark.parametrize("hot_df", [1_000_000, 40, 12, 3])
-def test_lexical_matches_are_exact_whatever_is_set_aside(spark, hot_df):
+@pytest.mark.parametrize("block", [1024, 40, 12, 3])
+def test_lexical_matches_are_exact_whatever_the_blocks(spark, block):
     rng = random.Random(11)
     # Skewed vocabulary: a few words are nearly everywhere.
     vocabulary = [f"w{i}" for i in range(60)]
@@ -177,7 +177,7 @@ def test_lexical_matches_are_exact_whatever_is_set_aside(spark, hot_df):
     idf = spark.createDataFrame(items, "id long, g string, t string").repartition(4)
     qdf = spark.createDataFrame(queries, "id long, g string, t string").repartition(3)
     index = V.build_index(idf, "id", "g", "t")
-    rows = V.lexical_matches(qdf, index, "id", "g", "t", 3, hot_df).collect()
+    rows = V.lexical_matches(qdf, index, "id", "g", "t", 3, block).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query, r["rank"])):
         got[r.query].append((r.item, r.score))
