@@ -187,7 +187,7 @@ def vault_metadata(spark, sf):
 def case_sink(spark, sf):
     path = scratch_path(spark, "case-sink")
     written = writers.write_counted(requests(spark, sf).select("request_id", "text"), path)
-    stored = spark.read.schema("request_id long, text string").json(path)
+    stored = spark.read.parquet(path)
     return stored.agg(F.lit(written).alias("written"), F.sum(F.length("text")).alias("chars"))
 
 

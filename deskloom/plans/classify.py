@@ -12,6 +12,7 @@ from deskloom.functions.rules import LIMITS, TAXONOMY
 from deskloom.functions.text import fingerprint
 from deskloom.operators.matching import keep_first
 from deskloom.operators.sampling import batches
+from deskloom.session import materialize
 
 
 def validate_requests(df: DataFrame, text: str = "text") -> DataFrame:
@@ -63,6 +64,7 @@ def classify_batch(
     ``prior`` is (text_key, detail), one row per key. The result table is unique by key;
     copies of a text sit on the request side of the join, where skew is split.
     """
+    prior = materialize(prior.select("text_key", "detail"), "prior")  # read by two branches
     fresh = score_new(requests, prior.select("text_key"), score, order, labels)
     known = prior.select("text_key", "detail", F.lit(True).alias("cached")).unionByName(
         fresh.select("text_key", "detail", F.lit(False).alias("cached"))

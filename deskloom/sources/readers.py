@@ -44,15 +44,18 @@ RATINGS = (
 )
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
+def read_messages(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
     """Message graph from CSV: trimmed ids, empty ids as NULL.
 
+    A file with newlines inside quotes can't be split, so it is one task; give many files, or
+    say ``quoted_newlines=False`` where texts have none.
+
     One pass; both the edges and the texts come from the same scan.
     """
     raw = (
         spark.read.schema(MESSAGES)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", quoted_newlines)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

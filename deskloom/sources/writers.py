@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from deskloom.operators.metrics import counts_with_total
 
 
-def write_counted(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> int:
+def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
     """Write, then count the rows stored; the input is computed once.
 
+    Of Parquet files only the footers are read for the count.
+
     A count while writing would need an ``Observation``, which leaves a session unable to
     serialize the ML closures that refer to it (Spark 4.1).
     """
