@@ -74,7 +74,7 @@ def match_sql(items: str, queries: str, k: int, name: str = "matches") -> str:
 )
 def tfidf_df(spark, sf):
     docs = texts(spark, sf, "documents")
-    terms = V.explode_terms(docs, "doc_id", "lang", "text", STOP_WORDS)
+    terms = V.document_frequencies(docs, "doc_id", "lang", "text", STOP_WORDS)
     sizes = docs.groupBy(F.col("lang").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     return V.idf_table(terms, sizes).withColumn("idf", F.round("idf", 6))
 
@@ -104,7 +104,9 @@ def tfidf_weights(spark, sf):
 def similar_pairs(spark, sf):
     pairs = materialize(_cases(spark, sf).select("case_id", "intent", "customer_text"), "pairs")
     index = V.build_index(pairs, "case_id", "intent", "customer_text")
-    return V.lexical_matches(pairs, index, "case_id", "intent", "customer_text")
+    return V.lexical_matches(
+        pairs, index, "case_id", "intent", "customer_text", vectors=index.vectors
+    )
 
 
 _PASSAGES = f"""cued AS {S.cue_columns('benchmark', 'item_id', 'text', LANGUAGE_CUES, 'en')},

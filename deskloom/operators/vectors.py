@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskloom.functions.rules import STOP_WORDS
-from deskloom.session import materialize
+from deskloom.session import materialize, spread
 
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -33,10 +33,32 @@ def explode_terms(
     df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str = TOKEN
 ) -> DataFrame:
     """(item, grp, term, tf) of every text; bigrams are formed after stop words went."""
-    tokens = df.select(
-        F.col(item).alias("item"),
-        F.col(group).alias("grp"),
-        tokens_of(F.col(text), stops, token).alias("tokens"),
+    return (
+        _grams(df, item, group, text, stops, token)
+        .select("item", "grp", F.explode("grams").alias("term"))
+        .groupBy("item", "grp", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def document_frequencies(
+    df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str = TOKEN
+) -> DataFrame:
+    """(grp, term, df): each text counts a term once, so one aggregate with partial sums does."""
+    return (
+        _grams(df, item, group, text, stops, token)
+        .select("grp", F.explode(F.array_distinct("grams")).alias("term"))
+        .groupBy("grp", "term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+
+
+def _grams(
+    df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str
+) -> DataFrame:
+    """(item, grp, grams): words and pairs of words of every text."""
+    tokens = spread(df.select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(text).alias("text"))).select(
+        "item", "grp", tokens_of(F.col("text"), stops, token).alias("tokens")
     )
     following = F.slice(F.col("tokens"), F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0)))
     grams = F.concat(
@@ -46,19 +68,16 @@ def explode_terms(
             lambda g: g.isNotNull(),
         ),
     )
-    return (
-        tokens.select("item", "grp", F.explode(grams).alias("term"))
-        .groupBy("item", "grp", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return tokens.select("item", "grp", grams.alias("grams"))
 
 
-def idf_table(terms: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(grp, term, df, idf) with idf = ln((1+n)/(1+df)) + 1; ``sizes`` is (grp, n)."""
+def idf_table(frequencies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grp, term, df, n, idf) with idf = ln((1+n)/(1+df)) + 1.
+
+    ``frequencies`` is (grp, term, df), ``sizes`` is (grp, n).
+    """
     return (
-        terms.groupBy("grp", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .join(sizes, "grp")
+        frequencies.join(sizes, "grp")
         .select(
             "grp",
             "term",
@@ -121,7 +140,8 @@ def build_index(
     sizes = ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     groups = materialize(sizes.join(padding, "grp"), "index-groups")
     terms = materialize(explode_terms(df, item, group, text, stops), "index-terms")
-    idf = materialize(idf_table(terms, groups.select("grp", "n")), "index-idf")
+    counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = materialize(idf_table(counted, groups.select("grp", "n")), "index-idf")
     vectors = materialize(weigh(terms, idf), "index-vectors")
     return LexicalIndex(flat(vectors), vectors, idf, groups)
 
@@ -151,6 +171,7 @@ def lexical_matches(
     k: int = 3,
     block: int = BLOCK,
     stops: Sequence[str] = STOP_WORDS,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-k items per query by cosine: (query, grp, item, score, rank).
 
@@ -160,11 +181,13 @@ def lexical_matches(
     Queries and items of a group are cut into blocks of about ``block`` rows. A block pair
     is one sparse product in one task and returns k rows per query, so neither pairs nor
     scores of pairs are ever rows of a table, and a group or a term of any size is spread
-    over block pairs. One plan serves all sizes.
+    over block pairs. One plan serves all sizes. ``vectors`` are the weighed queries, if they
+    are known already (an index searched with its own items: ``index.vectors``).
     """
-    vectors = materialize(
-        query_vectors(queries, item, group, text, index, stops), "query-vectors"
-    )
+    if vectors is None:
+        vectors = materialize(
+            query_vectors(queries, item, group, text, index, stops), "query-vectors"
+        )
     asked = queries.select(F.col(item).alias("query"), F.col(group).alias("grp"))
     return _rank(_block_matches(vectors, index.vectors, k, block), asked, index, k)
 
@@ -172,6 +195,8 @@ def lexical_matches(
 def _block_matches(queries: DataFrame, items: DataFrame, k: int, block: int) -> DataFrame:
     """(query, grp, item, score): the best k of every query in every item block."""
 
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # may be the items
+
     def blocks(df: DataFrame, name: str) -> DataFrame:
         count = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name)
         return df.groupBy("grp").agg(count)
