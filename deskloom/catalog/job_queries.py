@@ -429,6 +429,14 @@ def cross_validation(spark, sf):
     return E.summarise_folds(predictions, labels)
 
 
+@query("text_cross_validation")
+def text_cross_validation(spark, sf):
+    """Folds of the fitted text model over the labelled documents."""
+    labels = ("low", "high")
+    predictions = E.cross_validate(_quality(spark, sf), "doc_id", "text", "quality", labels, max_iter=20)
+    return E.summarise_folds(predictions, labels)
+
+
 # Streams over the same tables, run to the end of what is there.
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema

@@ -198,14 +198,20 @@ def summarise_folds(
 
 
 def cross_validate(
-    df: DataFrame, item: str, text: str, label: str, labels: Sequence[str], folds: int = 5
+    df: DataFrame,
+    item: str,
+    text: str,
+    label: str,
+    labels: Sequence[str],
+    folds: int = 5,
+    max_iter: int = 1000,
 ) -> DataFrame:
     """(fold, actual, predicted) of a text model fitted once per fold on the other folds."""
     dealt = materialize(stratified_folds(df, label, item, folds), "folds")
     parts = []
     for fold in range(folds):
         model = fit_text_model(
-            dealt.filter(F.col("fold") != fold), item, text, label, labels
+            dealt.filter(F.col("fold") != fold), item, text, label, labels, max_iter=max_iter
         )
         held = dealt.filter(F.col("fold") == fold)
         parts.append(predict_text(model, held, item, text))
@@ -213,7 +219,8 @@ def cross_validate(
     for part in parts[1:]:
         combined = combined.unionByName(part)
     names = F.array(*map(F.lit, labels))
-    return combined.select("fold", names[F.col(label)].alias("actual"), "predicted")
+    predictions = combined.select("fold", names[F.col(label)].alias("actual"), "predicted")
+    return materialize(predictions, "fold-predictions")  # summaries read it more than once
 
 
 def expectation_check(predictions: DataFrame) -> DataFrame:
