@@ -1,18 +1,22 @@
 """Mixing to target weights with soft membership.
 
 A classifier fitted on a labelled table gives every document posteriors over domains. Rates r_d
-(expected copies) then solve a nonnegative least-squares problem by projected gradient:
+(expected copies) then meet the targets and move as little as they can:
 
     min  1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / (N S_k)  +  1/2 ridge sum_d n_d (r_d - 1)^2 / N
 
-with n_d tokens, posteriors p_dk, S_k = sum_d n_d p_dk, N = sum_d n_d and targets T_k. In the
-metric n_d / N the steepness is at most 1 + ridge, so the step 1 / (1 + ridge) always descends.
-A step needs K sums over the corpus, one aggregate with partial sums; the rates are not stored
-but are an expression of the K residuals of each earlier step, so nothing per document moves.
+over r >= 0, with n_d tokens, posteriors p_dk, S_k = sum_d n_d p_dk, N = sum_d n_d and targets
+T_k. The minimum is r_d = max(0, 1 + sum_k m_k p_dk), the projection of a combination of the K
+posteriors, with K multipliers m that solve sum_d r_d n_d p_dk + ridge S_k m_k = T_k. These
+steps follow the gradient, K sums over the corpus, scaled by the K by K sums of n_d p_dk p_dl
+over the documents with r_d > 0; one that doesn't descend is halved. A step is one aggregate
+with partial sums; the rates are not stored but an expression of m, so nothing per document
+moves. They end when the expected tokens of every domain are within ``CLOSE`` of their own target.
 
 Empty and null texts have no tokens, the posteriors of an empty text, and a rate like others.
 Repeated rows get equal rates. Without labels there is one posterior for all, the even one.
-A target for an absent domain can't be met and is left unmet.
+A target for an absent domain can't be met and is left unmet; where posteriors are too mixed for
+a target, the least squares distance is what remains.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from deskloom.llm.common import map_texts, written
 
 #: Labelled rows learned from at most, text bytes of one, words of the vocabulary.
 LEARNED, LEARNED_BYTES, VOCABULARY = 8000, 16384, 50_000
-RIDGE, STEPS, CLOSE = 0.02, 30, 1e-4
+#: Ridge (too small to move a total from its target), steps at most, distance from a target relative to it.
+RIDGE, STEPS, CLOSE = 1e-6, 30, 1e-3
 
 _SHAPES = 4
 
@@ -136,13 +141,10 @@ def memberships(docs: DataFrame, classifier: Classifier, keep: Sequence[str], te
     return map_texts(docs, text, keep, fields, make)
 
 
-def _rate(residuals: Sequence[Sequence[float]], ridge: float) -> Column:
-    """Rate after the given steps: r <- max(0, r - (p . e + ridge (r - 1)) / (1 + ridge))."""
-    step, rate = 1 / (1 + ridge), F.lit(1.0)
-    for each in residuals:
-        pull = sum((F.col("p")[k] * float(e) for k, e in enumerate(each)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * ridge) + F.lit(step * ridge) - pull * step)
-    return rate
+def _rate(multipliers: Sequence[float]) -> Column:
+    """max(0, 1 + m . p)."""
+    push = sum((F.col("p")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.lit(1.0) + push)
 
 
 def fit_rates(
@@ -155,29 +157,51 @@ def fit_rates(
 ) -> tuple[Column, dict[str, float]]:
     """(rate column over ``members``, expected tokens by domain). ``weights``: wanted shares of
     tokens. The wanted total is that which leaves ``anchor`` as it is, else the present total."""
-    k = range(len(domains))
-
-    def totals(rate: Column) -> list[float]:
-        sums = [F.sum(rate * F.col("n_tokens") * F.col("p")[i]) for i in k]
-        return [float(x or 0) for x in members.agg(*sums).first()]
-
-    present = np.array(totals(F.lit(1.0)))
-    total = present.sum()
+    size = len(domains)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def sums(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens by domain, sums of n p p' where the rate is positive, sum of n r^2."""
+        rate, n, p = F.col("rate"), F.col("n_tokens"), [F.col("p")[i] for i in range(size)]
+        some = F.when(rate > 0, n).otherwise(0)
+        each = [F.sum(rate * n * x) for x in p] + [F.sum(some * p[i] * p[j]) for i, j in pairs] + [F.sum(n * rate * rate)]
+        found = [float(x or 0) for x in members.withColumn("rate", _rate(multipliers)).agg(*each).first()]
+        gram = np.zeros((size, size))
+        for (i, j), x in zip(pairs, found[size:]):
+            gram[i, j] = gram[j, i] = x
+        return np.array(found[:size]), gram, found[-1]
+
+    m = np.zeros(size)
+    now, gram, squares = sums(m)
+    present, total = now, now.sum()
     if total <= 0:
         return F.lit(1.0), dict.fromkeys(domains, 0.0)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else present / total
     place = list(domains).index(anchor) if anchor in domains else None
     wanted = share * (present[place] / share[place] if place is not None and share[place] else total)
-    residuals: list[list[float]] = []
-    now = present
+    scale = np.maximum(present, 1e-12 * total)
+    reached = CLOSE * np.maximum(wanted, 1e-6 * total)
+
+    def height(m: np.ndarray, squares: float) -> float:
+        return squares / 2 - wanted @ m + ridge * (scale * m) @ m / 2
+
     for _ in range(steps):
-        residuals.append(((now - wanted) / np.maximum(present, 1e-12 * total)).tolist())
-        following = np.array(totals(_rate(residuals, ridge)))
-        moved, now = np.abs(following - now).max() / total, following
-        if moved < CLOSE:
+        if (np.abs(now - wanted) <= reached).all():
+            break
+        pull = now - wanted + ridge * scale * m
+        if np.abs(pull).max() <= 1e-9 * total:  # the least distance there is
             break
-    return _rate(residuals, ridge), dict(zip(domains, now.tolist()))
+        step = np.linalg.solve(gram + np.diag(ridge * scale), -pull)
+        before, length = height(m, squares), 1.0
+        while True:
+            trial = m + length * step
+            now, following, squares = sums(trial)
+            if height(trial, squares) <= before + 1e-4 * length * (pull @ step) + 1e-12 * total or length < 1e-3:
+                break
+            length /= 2
+        m, gram = trial, following
+    return _rate(m), dict(zip(domains, now.tolist()))
 
 
 def copies(rate: Column, key: Column) -> Column:
