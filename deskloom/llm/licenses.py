@@ -1,11 +1,15 @@
 """License scan: an exact set-similarity join of text blocks against license templates.
 
-A block is a line, cut into overlapping pieces where it is longer than ``BLOCK`` words. Tokens
-are ordered by their frequency in the whole corpus, rarest first. A template of t tokens needs
-``o = ceil(share * t)`` of them in a block, so one of its first t - o + 1 must be there (prefix
-filter); blocks with fewer than o template tokens go (length filter); and from the first common
-token on, both sides must have enough tokens left (positional filter). What remains is counted
-exactly. All pairs at or above the share are found.
+A block is a line, cut into overlapping pieces where it is longer than ``BLOCK`` words, or, since
+notices are wrapped, a stretch of the whole word sequence: the template's own number of words over
+the share, wherever it starts. Stretches that hold no more of a template than a line block they
+overlap are not listed, and of stretches that overlap each other only the best is.
+
+Tokens are ordered by their frequency in the whole corpus, rarest first. A template of t tokens
+needs ``o = ceil(share * t)`` of them in a block, so one of its first t - o + 1 must be there
+(prefix filter); blocks with fewer than o template tokens go (length filter); and from the first
+common token on, both sides must have enough tokens left (positional filter). What remains is
+counted exactly. All pairs at or above the share are found.
 
 The first pass counts the templates' tokens over all texts, the second joins; only the template
 index is broadcast, and templates above ``MOST_TEMPLATE_BYTES`` are refused.
@@ -57,6 +61,7 @@ class Template:
     label: str
     tokens: tuple[int, ...]  # ranks, rarest first
     needed: int
+    stretch: int  # words of a stretch
 
 
 @dataclass(frozen=True)
@@ -94,14 +99,15 @@ def frequencies(docs: DataFrame, text: str, templates: Sequence[tuple[str, str]]
 def build_index(templates: Sequence[tuple[str, str]], frequency: Mapping[bytes, int], share: float = SHARE) -> Index:
     ranks = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     built, prefixes = [], {}
-    for (label, _), tokens in zip(templates, _vocabulary(templates)):
+    for (label, text), tokens in zip(templates, _vocabulary(templates)):
         if not tokens:
             continue
         ordered = tuple(sorted(ranks[w] for w in tokens))
         needed = math.ceil(share * len(ordered) - 1e-9)
         for position in range(len(ordered) - needed + 1):
             prefixes.setdefault(ordered[position], []).append((len(built), position))
-        built.append(Template(label, ordered, needed))
+        stretch = math.ceil(len(alnum_words(text.encode())) / share - 1e-9) if share > 0 else BLOCK
+        built.append(Template(label, ordered, needed, stretch))
     return Index(ranks, built, prefixes)
 
 
@@ -140,6 +146,62 @@ def blocks(text: bytes):
         at += len(words)
 
 
+def stretches(template: Template, at: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, last word, common tokens) of the stretches that hold enough of a template.
+
+    ``at``: (place, rank) of the template's tokens in a text, in order. Every stretch that begins
+    and ends with one is seen, in time linear in ``at``; of an overlapping run the best stays.
+    """
+    inside: Counter[int] = Counter()
+    out: list[tuple[int, int, int]] = []
+    begin = run_end = 0
+    for place, rank in at:
+        inside[rank] += 1
+        while at[begin][0] <= place - template.stretch or inside[at[begin][1]] > 1:
+            gone = at[begin][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            begin += 1
+        if len(inside) < template.needed:
+            continue
+        found = (at[begin][0], place, len(inside))
+        if out and found[0] <= run_end:
+            if found[2] > out[-1][2]:
+                out[-1] = found
+        else:
+            out.append(found)
+        run_end = place
+    return out
+
+
+def text_matches(index: Index, text: bytes, words: Sequence[bytes]) -> list[tuple[int, int, float]]:
+    """(first word, template, containment) of every line block and stretch at or above the share."""
+    out, lined = [], {}
+    for begin, block in blocks(text):
+        if index.prefixes.keys().isdisjoint(map(index.ranks.get, block)):
+            continue
+        for number, share in block_matches(index, block):
+            out.append((begin, number, share))
+            lined.setdefault(number, []).append((begin, begin + len(block), share))
+    spots: dict[int, list[int]] = {}  # places by rank
+    for place, word in enumerate(words):
+        if word in index.ranks:
+            spots.setdefault(index.ranks[word], []).append(place)
+    candidates = {number for rank in spots for number, _ in index.prefixes.get(rank, ())}
+    for number in sorted(candidates):
+        template = index.templates[number]
+        held = [rank for rank in template.tokens if rank in spots]
+        if len(held) < template.needed:
+            continue
+        at = sorted((place, rank) for rank in held for place in spots[rank])
+        for first, last, common in stretches(template, at):
+            share = common / len(template.tokens)
+            if all(share > s or last < a or first >= b for a, b, s in lined.get(number, ())):
+                out.append((first, number, share))
+    return sorted(out)
+
+
 def places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand consecutively."""
     line = b" " + b" ".join(words) + b" "
@@ -201,9 +263,7 @@ def scan(
                 place.extend(places(words, wanted))
                 place_at.append(len(place))
                 if not rare.isdisjoint(words):
-                    for at, block in blocks(t):
-                        if not rare.isdisjoint(block):
-                            found.extend((at, held.templates[k].label, k, s) for k, s in block_matches(held, block))
+                    found.extend((at, held.templates[k].label, k, s) for at, k, s in text_matches(held, t, words))
                 found_at.append(len(found))
             return [
                 pa.array(sizes, pa.int64()),

@@ -199,6 +199,48 @@ def test_license_join_is_exact(spark):
         assert {(f["label"], f["share"]) for f in r["found"]} == wanted
 
 
+@pytest.mark.parametrize("width,mark", [(70, ""), (80, " * "), (72, "# ")])
+def test_wrapped_notices(spark, width, mark):
+    """A notice is found however its lines are cut, also where it begins within a line."""
+    import textwrap
+
+    rows, wanted = [], []
+    for label, text in licenses.TEMPLATES:
+        lines = textwrap.wrap(f"{' '.join(['pad'] * 11)} {text} {' '.join(['pad'] * 30)}", width - len(mark))
+        rows.append((len(rows), "\n".join(mark + line for line in lines)))
+        wanted.append({label})
+    long = " ".join(f"clause{i}" for i in range(300))
+    rows.append((len(rows), long))
+    wanted.append({"long"})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(df, ["doc_id"], templates=[*licenses.TEMPLATES, ("long", long)], phrases={}).select("row.doc_id", "found")
+    got = {r["doc_id"]: {f["label"] for f in r["found"] if f["share"] == 1} for r in found.collect()}
+    assert [got[i] - {"reserved"} or got[i] for i in range(len(rows))] == wanted
+
+
+def test_stretches_match_brute_force():
+    import random
+
+    rng = random.Random(4)
+    templates = [("x", "a b c d e f g h i j"), ("y", "a c e k l m n o p"), ("z", "b b d n")]
+    index = licenses.build_index(templates, {w: 1 for _, t in templates for w in t.encode().split()})
+    for _ in range(400):
+        words = [rng.choice("abcdefghijklmnopqr") for _ in range(rng.randint(0, 60))]
+        text = "".join(w + rng.choice("\n\n ") for w in words).encode()
+        best = {}
+        for number, (_, t) in enumerate(templates):
+            tokens, size = set(t.split()), index.templates[number].stretch
+            held = [set(words[i : i + size]) for i in range(len(words))]
+            held += [{w.decode() for w in block} for _, block in licenses.blocks(text)]
+            most = max((len(h & tokens) / len(tokens) for h in held), default=0)
+            if most >= licenses.SHARE:
+                best[number] = most
+        got = {}
+        for _, number, share in licenses.text_matches(index, text, [w.encode() for w in words]):
+            got[number] = max(got.get(number, 0), share)
+        assert got == best
+
+
 def test_toxicity_and_mixing(spark, docs):
     rude = [(100 + i, f"{OTHER} nastyword{i % 3} {PROSE[i * 7 : i * 7 + 90]} nastyword{(i + 1) % 3}") for i in range(90)]
     nice = [(400 + i, f"{PROSE[i * 5 : i * 5 + 200]} {OTHER[i * 3 : i * 3 + 200]}") for i in range(120)]
