@@ -120,6 +120,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     word = F.transform("places", lambda p: p["word"])
     base, more = F.transform("places", lambda p: p["label"]), F.transform("found", lambda p: p["label"])
+    named = F.transform(F.filter("places", lambda p: ~p["other"]), lambda p: p["label"])
     best = F.array_max(F.transform("found", lambda p: p["share"]))
     return found.select(
         "row.doc_id",
@@ -128,7 +129,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(word).alias("first_word"),
         F.array_max(word).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(named, more)), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
 

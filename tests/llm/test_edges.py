@@ -218,6 +218,25 @@ def test_wrapped_notices(spark, width, mark):
     assert [got[i] - {"reserved"} or got[i] for i in range(len(rows))] == wanted
 
 
+def test_creative_commons_labels(spark, tmp_path):
+    """The registered query gives a CC line its own label only; the phrase counts stay."""
+    from deskloom.llm.queries import QUERIES
+
+    wanted = {
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "Licensed under CC\nBY-NC 4.0.": "cc-by-nc",
+        "Licensed under the Mozilla License, Version 2.0.": "",
+        "CC BY": "cc-by",
+    }
+    df = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op4_licenses"](spark, f"file://{tmp_path}").collect()}
+    assert [got[i]["labels"] for i in range(len(wanted))] == list(wanted.values())
+    assert [got[i]["base_labels"] for i in range(len(wanted))] == ["cc-by" if "CC" in t else "" for t in wanted]
+
+
 def test_stretches_match_brute_force():
     import random
 
