@@ -4,7 +4,9 @@ Base counts of every whole text are computed in the row. Each (lang, source) gro
 KLL quantile sketches of three measures; the sketches of a language's sources merge to its
 own, and those to one for the corpus, so a group below ``LEAST_ROWS`` rows uses the next wider
 one. A text is kept if it passes the base rule and each measure stays below its fence:
-``median + REACH * max(quartile distance, least distance)``.
+``high + REACH * max(high - median, tie)`` with the group's quantile ``HIGH``. That quantile has to
+lie below the poor texts of a group; the tie only matters where it equals the median. ``FEW``
+symbols or repeated lines are no outlier, however short the text.
 
 Sketches are partial aggregates, so a hot source costs one small state per task. The fences
 are one row per group and join back by null-safe keys.
@@ -26,9 +28,11 @@ from deskloom.llm.common import written
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rows that a group needs for fences of its own; size of a sketch's levels.
 LEAST_ROWS, SKETCH_K = 200, 400
-REACH = 3.0
-#: Measure: least distance between median and fence, over REACH.
-MEASURES = {"symbol_rate": 0.1, "dup_line_rate": 0.15, "word_length": 0.5}
+HIGH, REACH, FEW = 0.8, 8.0, 2
+#: Measure: distance from the median that counts where the upper quantile is tied with it.
+MEASURES = {"symbol_rate": 0.01, "dup_line_rate": 0.01, "word_length": 0.05}
+#: Measure: the count it comes from.
+COUNTED = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines"}
 
 _SPACES = " \t\n\x0b\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -122,9 +126,9 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def _fence(sketch: Column, least: float, reach: float) -> Column:
-    low, middle, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-    return middle + reach * F.greatest(high - middle, middle - low, F.lit(least))
+def _fence(sketch: Column, tie: float, reach: float) -> Column:
+    middle, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, HIGH))
+    return high + reach * F.greatest(high - middle, F.lit(tie))
 
 
 def fences(measured: DataFrame, lang: str, source: str, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -175,7 +179,8 @@ def judged(
     same = F.col("r_lang").eqNullSafe(F.col("g_lang")) & F.col("r_source").eqNullSafe(F.col("g_source"))
     below = ~F.col("base_failed")
     for name in MEASURES:
-        below = below & F.coalesce(F.col(name) <= F.col(f"{name}_fence"), F.lit(True))
+        inside = F.coalesce(F.col(name) <= F.col(f"{name}_fence"), F.lit(True))
+        below = below & (inside | (F.col(COUNTED[name]) <= FEW) if name in COUNTED else inside)
     return measured.join(limits, same, "left").select("row", *COUNTS, "base_failed", below.alias("kept"))
 
 

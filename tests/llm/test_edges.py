@@ -76,6 +76,27 @@ def test_fences_follow_the_group(spark):
     assert kept == {r[0] for r in rows}
 
 
+def test_fences_follow_the_spread(spark):
+    """Outliers of a narrow source go, the same values stay in a wide one, poor texts don't lift a fence."""
+
+    def body(letters: float, symbols: int) -> str:
+        words = [f"{i:03d}{'x' * int(letters + (i % 10) / 10)}" for i in range(100)]
+        return " ".join(words) + " " + "#" * symbols
+
+    rows, wanted = [], set()
+    for source, wide in (("narrow", 0.2), ("wide", 2.0)):
+        for i in range(300):
+            rows.append((len(rows), body(3 + wide * (i % 20) / 20, (i % 3) * (wide > 1) * 9), "en", source))
+            wanted.add(rows[-1][0])
+        for letters, symbols in ((4.4, 0), (3.1, 20)):
+            rows.append((len(rows), body(letters, symbols), "en", source))
+            wanted |= {rows[-1][0]} if wide > 1 else set()
+        rows += [(len(rows) + i, body(3, 300), "en", source) for i in range(36)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r[0] for r in quality.judged(df, ["doc_id"]).filter("kept").select("row.doc_id").collect()}
+    assert kept == wanted
+
+
 def test_simhash(docs):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
