@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import decontaminate, licenses, mixing, quality, simhash, substring, tokens, toxicity, twins, urls, warc
+from deskloom.llm import (
+    decontaminate,
+    infill,
+    licenses,
+    mixing,
+    quality,
+    simhash,
+    substring,
+    tokens,
+    toxicity,
+    twins,
+    urls,
+    warc,
+)
 from deskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +173,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
     times = mixing.copies(F.col("rate"), F.col("row.doc_id")).alias("copies")
     return rows.select("row.doc_id", "n_tokens", *p, "rate", times)
+
+
+@query("op11_infill", twins.OP11)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its form for filling in the middle, and restored from it."""
+    made = infill.transform(table(spark, sf_dir, "documents"), ["doc_id"])
+    return made.select(
+        "row.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

@@ -164,3 +164,19 @@ def token_rows(docs, path, end_id):
         out[d] = (start, len(ids), zlib.crc32(raw))
         start += len(ids)
     return out
+
+
+def infill(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output sha256, restored sha256) of a text."""
+    text = text or ""
+    digest = hashlib.sha256(f"1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    out, form = text, "plain"
+    if text and not any(m in text for m in ("<P>", "<S>", "<M>")) and h3 % 100 < 90:
+        form = "spm" if h4 % 100 < 20 else "psm"
+        out = f"<S>{suffix}<P>{prefix}<M>{middle}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    chars = (None, None) if form == "plain" else (len(prefix), len(middle))
+    return n, form, *chars, hashlib.sha256(out.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
