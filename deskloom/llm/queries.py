@@ -17,6 +17,7 @@ from deskloom.llm import (
     substring,
     tokens,
     toxicity,
+    turns,
     twins,
     urls,
     warc,
@@ -188,3 +189,23 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op13_turns", twins.OP13)
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, its faults counted, and repaired at least cost."""
+    whole = table(spark, sf_dir, "conversations")
+    made = turns.repair(turns.damaged(whole))
+    ids = whole.select("conv_id").distinct()
+    counts = [c for c in made.conversations.columns if c not in ("conv_id", "n_rows", "audit")]
+
+    def left(df: DataFrame, other: DataFrame) -> DataFrame:
+        own = other.withColumnRenamed("conv_id", "own_id")
+        return df.join(own, F.col("conv_id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
+
+    return left(left(ids, made.conversations), turns.digests(made.turns)).select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )

@@ -105,3 +105,51 @@ p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, su
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
     WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+_CRC_STEP = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+_CRC = f"""xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda s: unicode(s)::BIGINT)),
+  lambda c, b: {_CRC_STEP}), 4294967295)"""
+_BLANKS = r"[\x20\x09-\x0D]"
+# States, moves and insertions of the grammar; a row's edits are joined to the states before it.
+OP13 = rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT *, {_CRC} % 20 AS h FROM c),
+rows_ AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM rows_),
+f AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier, left(role, 1) AS sign,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+  regexp_extract(text, '(?s)([^\x20\x09-\x0D]){_BLANKS}*$', 1) AS last FROM n),
+g AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated'
+  ELSE 'none' END AS fault FROM f),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (earlier IS NOT NULL AND earlier || sign NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS size FROM g GROUP BY conv_id),
+move(p, sign, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins(p, q, cost, audit, made) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+  (2, 3, 2, 'I', chr(10) || 'assistant:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+op AS (SELECT conv_id, pos, p, q, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cost, 'K' AS audit, chr(10) || role || ':' || text AS made
+    FROM g JOIN move USING (sign) WHERE fault IN ('none', 'truncated')
+  UNION ALL SELECT conv_id, pos, p, q, CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'R',
+    chr(10) || CASE move.sign WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text
+    FROM g, move WHERE fault IN ('none', 'truncated') AND move.sign <> 's'
+  UNION ALL SELECT conv_id, pos, p, p, 3, 'D', '' FROM g, range(4) AS s(p)),
+cell AS (SELECT conv_id, pos, ins.p, op.q, min({{'cost': ins.cost + op.cost, 'audit': ins.audit || op.audit, 'made': ins.made || op.made}}) AS best
+  FROM op JOIN ins ON ins.q = op.p GROUP BY ALL),
+parse(conv_id, pos, q, best) AS (SELECT conv_id, 0, 0, {{'cost': 0, 'audit': '', 'made': ''}} FROM stats
+  UNION ALL SELECT s.conv_id, s.pos + 1, c.q, min({{'cost': s.best.cost + c.best.cost, 'audit': s.best.audit || c.best.audit, 'made': s.best.made || c.best.made}})
+    FROM parse s JOIN cell c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND c.pos = s.pos + 1 AND c.p = s.q GROUP BY s.conv_id, s.pos, c.q),
+done AS (SELECT s.conv_id, min({{'cost': s.best.cost + e.cost, 'audit': s.best.audit || e.audit, 'made': s.best.made || e.made}}) AS best
+  FROM parse s JOIN stats t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.pos = t.size
+  JOIN (VALUES (0, 0, '', ''), (1, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 'I', chr(10) || 'assistant:'),
+    (3, 0, '', '')) AS e(q, cost, audit, made) USING (q) GROUP BY s.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(substring(best.made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN stats ON ids.conv_id IS NOT DISTINCT FROM stats.conv_id
+LEFT JOIN done ON ids.conv_id IS NOT DISTINCT FROM done.conv_id"""

@@ -180,3 +180,84 @@ def infill(doc_id, text):
         out = f"<S>{suffix}<P>{prefix}<M>{middle}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{middle}"
     chars = (None, None) if form == "plain" else (len(prefix), len(middle))
     return n, form, *chars, hashlib.sha256(out.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def damage(rows):
+    """rows (conv_id, turn, role, text) after the damage of the contract."""
+    for conv, turn, role, text in rows:
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        h = zlib.crc32(name.encode()) % 20
+        role, text = (" " if x is None else x for x in (role, text))
+        if h:
+            role = "user" if h == 4 else role
+            text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+            yield from [(conv, turn, role, text)] * (2 if h == 3 else 1)
+
+
+def turn_faults(turns):
+    """Fault of every (role, text), in order."""
+    seen, out = set(), []
+    for role, text in turns:
+        signs = SPACED.findall(text)
+        if not signs:
+            out.append("blank")
+        elif (role, text) in seen:
+            out.append("duplicate")
+        else:
+            out.append("none" if signs[-1][-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def repaired(turns, faults):
+    """Least (cost, audit) of all repairs, and its lines, by trying every edit of every turn."""
+    moves = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    names = {"u": "user", "a": "assistant"}
+    held = {}
+
+    def best(i, state, inserted=0):
+        if (i, state, inserted) in held:
+            return held[i, state, inserted]
+        options = []
+        if i == len(turns):
+            if state in (0, 3):
+                options.append((0, "", []))
+        else:
+            role, text = turns[i]
+            c, a, lines = best(i + 1, state)
+            options.append((c + 3, "D" + a, lines))
+            if faults[i] in ("none", "truncated"):
+                more = faults[i] == "truncated"
+                for to, cost, letter in [(role, 0, "K"), ("user", 2, "R"), ("assistant", 2, "R")]:
+                    if (state, to[:1]) in moves:
+                        c, a, lines = best(i + 1, moves[state, to[:1]])
+                        options.append((c + cost + more, letter + a, [f"{to}:{text}", *lines]))
+        if inserted < 3:
+            for sign, name in names.items():
+                if (state, sign) in moves:
+                    c, a, lines = best(i, moves[state, sign], inserted + 1)
+                    options.append((c + 2, "I" + a, [f"{name}:", *lines]))
+        held[i, state, inserted] = min(options, default=(10**9, "", []))
+        return held[i, state, inserted]
+
+    return best(0, 0)
+
+
+def conversations(rows, all_ids):
+    """rows (conv_id, turn, role, text), damaged -> conv_id: the columns of the contract."""
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r[1:])
+    out = {}
+    for conv in all_ids:
+        held = sorted(by.get(conv, []), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns = [r[1:] for r in held]
+        faults = turn_faults(turns)
+        signs = [role[:1] for role, _ in turns]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(signs, signs[1:]))
+        known = [r[0] for r in held if r[0] is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        cost, audit, lines = repaired(turns, faults)
+        counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+        out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
