@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deskloom.llm import (
     decontaminate,
     infill,
+    jaccard,
     licenses,
     mixing,
     quality,
@@ -191,6 +192,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_jaccard", twins.OP12)
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by shingle sets."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op13_turns", twins.OP13)
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged, its faults counted, and repaired at least cost."""

@@ -107,6 +107,24 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
     WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
 
+# Pairs that share a shingle of their prefix by name; links to components by least neighbours.
+OP12 = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM d),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
+token AS (SELECT id, n, unnest(s) AS token FROM c),
+often AS (SELECT token, count(*) AS df FROM token GROUP BY token),
+ranked AS (SELECT id, n, token, df, row_number() OVER (PARTITION BY id ORDER BY df, token) AS place FROM token JOIN often USING (token)),
+prefix AS (SELECT id, n, token FROM ranked WHERE df > 1 AND place <= n - (85 * n + 99) // 100 + 1),
+pair AS (SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b USING (token) WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+link AS (SELECT x, y FROM pair JOIN c a ON a.id = x JOIN c b ON b.id = y
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 85 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT id AS x, id AS y FROM c UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+least AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, len(s.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN least USING (id)"""
+
 _CRC_STEP = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
 _CRC = f"""xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda s: unicode(s)::BIGINT)),
   lambda c, b: {_CRC_STEP}), 4294967295)"""

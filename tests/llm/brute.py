@@ -261,3 +261,31 @@ def conversations(rows, all_ids):
         counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
         out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
     return out
+
+
+def shingle_sets(rows, size=4):
+    """rows (key, text) -> key: set of shingles"""
+    out = {}
+    for k, text in rows:
+        words = SPACED.findall(ascii_lower(text or ""))
+        out[k] = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return out
+
+
+def jaccard_components(sets, percent=85):
+    """sets {key: set} -> {key: least key reachable}"""
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = [k for k in sets if sets[k]]
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if percent * max(len(sets[a]), len(sets[b])) <= 100 * min(len(sets[a]), len(sets[b])):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
