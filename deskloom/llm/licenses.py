@@ -6,7 +6,7 @@ the share, wherever it starts. Stretches that hold no more of a template than a
 overlap are not listed, and of stretches that overlap each other only the best is.
 
 Tokens are ordered by their frequency in the whole corpus, rarest first. A template of t tokens
-needs ``o = ceil(share * t)`` of them in a block (all, if t is at most ``WHOLE``), so one of its first t - o + 1 must be there
+needs ``o = ceil(share * t)`` of them in a block, so one of its first t - o + 1 must be there
 (prefix filter); blocks with fewer than o template tokens go (length filter); and from the first
 common token on, both sides must have enough tokens left (positional filter). What remains is
 counted exactly. All pairs at or above the share are found.
@@ -32,11 +32,10 @@ from pyspark.sql import types as T
 
 from deskloom.llm.common import alnum_words, lists, map_texts
 
-#: Words of a block and between the starts of two pieces of a longer line; least containment.
-BLOCK, STEP, SHARE = 128, 64, 0.85
+#: Words of a block and between the starts of two pieces of a longer line; least containment, which
+#: tells apart names that differ in one token of up to nine.
+BLOCK, STEP, SHARE = 128, 64, 0.9
 MOST_TEMPLATE_BYTES = 16 << 20
-#: Templates of so many tokens or fewer must be held whole: they name the license by one token.
-WHOLE = 8
 
 # They decide results.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -56,8 +55,6 @@ TEMPLATES = (
     ("cc0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
     ("reserved", "All rights reserved."),
 )
-#: Words that make the phrase before them the name of another license.
-OTHERWISE = {"cc by": ("nc", "nd", "sa")}
 
 
 @dataclass(frozen=True)
@@ -107,7 +104,7 @@ def build_index(templates: Sequence[tuple[str, str]], frequency: Mapping[bytes,
         if not tokens:
             continue
         ordered = tuple(sorted(ranks[w] for w in tokens))
-        needed = len(ordered) if len(ordered) <= WHOLE else math.ceil(share * len(ordered) - 1e-9)
+        needed = math.ceil(share * len(ordered) - 1e-9)
         for position in range(len(ordered) - needed + 1):
             prefixes.setdefault(ordered[position], []).append((len(built), position))
         stretch = math.ceil(len(alnum_words(text.encode())) / share - 1e-9) if share > 0 else BLOCK
@@ -206,24 +203,20 @@ def text_matches(index: Index, text: bytes, words: Sequence[bytes]) -> list[tupl
     return sorted(out)
 
 
-def places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tuple[int, str, bool]]:
-    """(first word, label, other) of every place where a phrase's words stand consecutively;
-    other: a word of ``OTHERWISE`` follows."""
+def places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tuple[int, str]]:
+    """(first word, label) of every place where a phrase's words stand consecutively."""
     line = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in phrases.items():
         wanted = b" " + phrase + b" "
-        others = tuple(w.encode() + b" " for w in OTHERWISE.get(phrase.decode(), ()))
         at = line.find(wanted)
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label, line.startswith(others, at + len(wanted))))
+            found.append((line.count(b" ", 0, at), label))
             at = line.find(wanted, at + 1)
     return sorted(found)
 
 
-PLACE = T.StructType(
-    [T.StructField("word", T.LongType()), T.StructField("label", T.StringType()), T.StructField("other", T.BooleanType())]
-)
+PLACE = T.StructType([T.StructField("word", T.LongType()), T.StructField("label", T.StringType())])
 FOUND = T.StructType(
     [
         T.StructField("word", T.LongType()),
@@ -235,7 +228,7 @@ FOUND = T.StructType(
 
 
 def _struct(rows: list[tuple], kind: T.StructType) -> pa.StructArray:
-    types = {"long": pa.int64(), "string": pa.string(), "integer": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    types = {"long": pa.int64(), "string": pa.string(), "integer": pa.int32(), "double": pa.float64()}
     columns = list(zip(*rows)) or [()] * len(kind.fields)
     return pa.StructArray.from_arrays(
         [pa.array(c, types[f.dataType.typeName()]) for c, f in zip(columns, kind.fields)], names=kind.names
@@ -252,8 +245,7 @@ def scan(
 ) -> DataFrame:
     """(row struct of ``keep``, n_words, places, found) of every row.
 
-    places: (word, label, other) of the phrases, other where the next word makes it the name of
-    another license; found: (word, label, template, share) of every pair of
+    places: (word, label) of the phrases; found: (word, label, template, share) of every pair of
     a block and a template at or above ``share``, ``word`` being the block's first word.
     """
     index = build_index(templates, frequencies(docs, text, templates), share)

@@ -77,7 +77,8 @@ class Encoder:
         return self._known(piece)
 
     def _known(self, piece: bytes) -> bytes:
-        piece = piece.lower()  # ASCII only; the normalizer lowers the rest
+        # Other pieces are composed before their case is lowered, which the normalizer does.
+        piece = piece.lower() if piece.isascii() else piece
         held = self.pieces.get(piece)
         if held is None:
             if piece.isalpha():  # ASCII letters: one token run, bytes as they are

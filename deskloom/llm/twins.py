@@ -32,16 +32,17 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 
 def op4() -> str:
+    rows = [(label, alnum_words(text.encode())) for label, text in licenses.TEMPLATES]
     templates = ", ".join(
-        f"({i}, {quote(label)}, [{', '.join(quote(w.decode()) for w in sorted(set(alnum_words(text.encode()))))}])"
-        for i, (label, text) in enumerate(licenses.TEMPLATES)
+        f"({i}, {quote(label)}, [{', '.join(quote(w.decode()) for w in sorted(set(words)))}], {len(words)})"
+        for i, (label, words) in enumerate(rows)
     )
     phrases = ", ".join(
         f"([{', '.join(quote(w) for w in phrase.split())}], {quote(label)})" for phrase, label in licenses.PHRASES.items()
     )
     line = _ALNUM.replace("text", "line")
     return rf"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
-phrase(p, label) AS (VALUES {phrases}), template(k, label, tokens) AS (VALUES {templates}),
+phrase(p, label) AS (VALUES {phrases}), template(k, label, tokens, n) AS (VALUES {templates}),
 spot AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS pos
   FROM d, phrase WHERE len(w) >= len(p)),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM spot GROUP BY doc_id),
@@ -49,8 +50,13 @@ line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS lin
 words AS (SELECT doc_id, {line} AS lw FROM line),
 part AS (SELECT doc_id, lw, unnest(range(0, greatest(1, len(lw) - {licenses.STEP}), {licenses.STEP})) AS a FROM words),
 block AS (SELECT doc_id, list_distinct(lw[a + 1:a + {licenses.BLOCK}]) AS tokens FROM part),
-pair AS (SELECT doc_id, label, len(list_intersect(b.tokens, t.tokens)) AS common, len(t.tokens) AS size FROM block b, template t),
-found AS (SELECT doc_id, label, common::DOUBLE / size AS share FROM pair WHERE common >= ceil({licenses.SHARE} * size - 1e-9)),
+goal AS (SELECT *, ceil({licenses.SHARE} * len(tokens) - 1e-9) AS needed, ceil(n / {licenses.SHARE} - 1e-9)::BIGINT AS stretch FROM template),
+near AS (SELECT doc_id, w, label, tokens, needed, stretch FROM d, goal WHERE len(list_intersect(list_distinct(w), tokens)) >= needed),
+run AS (SELECT doc_id, label, tokens, needed, w[i:i + stretch - 1] AS words
+  FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(tokens, w[i]))) AS i FROM near)),
+pair AS (SELECT doc_id, label, len(list_intersect(b.tokens, t.tokens)) AS common, len(t.tokens) AS size, needed FROM block b, goal t
+  UNION ALL SELECT doc_id, label, len(list_intersect(list_distinct(words), tokens)), len(tokens), needed FROM run),
+found AS (SELECT doc_id, label, common::DOUBLE / size AS share FROM pair WHERE common >= needed),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 base_label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spot GROUP BY doc_id),
 any_label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
