@@ -77,8 +77,10 @@ class Encoder:
         return self._known(piece)
 
     def _known(self, piece: bytes) -> bytes:
-        # Other pieces are composed before their case is lowered, which the normalizer does.
-        piece = piece.lower() if piece.isascii() else piece
+        # An ASCII letter may compose with a mark of U+0300 to U+037F, and with no other character,
+        # to a letter that its other case lacks: there the normalizer lowers the case after composing.
+        if b"\xcc" not in piece and b"\xcd" not in piece:
+            piece = piece.lower()
         held = self.pieces.get(piece)
         if held is None:
             if piece.isalpha():  # ASCII letters: one token run, bytes as they are

@@ -440,6 +440,15 @@ def test_tokens(spark, docs, tmp_path):
     assert tokens.tokenized(docs.limit(0), vocabulary(), END_ID).count() == 0
 
 
+def test_letters_compose_with_few_marks():
+    import string
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    joined = {m for m in marks for x in string.ascii_letters if len(unicodedata.normalize("NFC", x + m)) == 1}
+    assert joined and all("\u0300" <= m <= "\u037f" for m in joined)
+
+
 def test_ids_are_those_of_whole_texts():
     """Strings of letters, marks, digits and spaces of many kinds, against the library itself."""
     import random
