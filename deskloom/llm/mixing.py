@@ -3,20 +3,26 @@
 A classifier fitted on a labelled table gives every document posteriors over domains. Rates r_d
 (expected copies) then meet the targets and move as little as they can:
 
-    min  1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / (N S_k)  +  1/2 ridge sum_d n_d (r_d - 1)^2 / N
+    min  1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / T_k  +  1/2 ridge sum_d n_d (r_d - 1)^2
 
-over r >= 0, with n_d tokens, posteriors p_dk, S_k = sum_d n_d p_dk, N = sum_d n_d and targets
-T_k. The minimum is r_d = max(0, 1 + sum_k m_k p_dk), the projection of a combination of the K
-posteriors, with K multipliers m that solve sum_d r_d n_d p_dk + ridge S_k m_k = T_k. These
-steps follow the gradient, K sums over the corpus, scaled by the K by K sums of n_d p_dk p_dl
-over the documents with r_d > 0; one that doesn't descend is halved. A step is one aggregate
-with partial sums; the rates are not stored but an expression of m, so nothing per document
-moves. They end when the expected tokens of every domain are within ``CLOSE`` of their own target.
+over 0 <= r_d <= ``MOST``, with n_d tokens, posteriors p_dk and targets T_k, by projected
+gradient steps on the rates (Nesterov's, restarted where the step turns back):
+
+    r_d <- clip(y_d - step * (sum_k p_dk (t_k - T_k) / T_k + ridge (y_d - 1)), 0, MOST)
+
+with t_k the expected tokens under y. The gradient is divided by n_d, so documents with equal
+posteriors have equal rates: posteriors are rounded to multiples of 1 / ``GRAIN``, documents with
+equal ones are merged (one aggregate with partial sums), and a step is an aggregate over the
+merged table. A step's K residuals are all that reaches the driver; rates are replayed from the
+residuals of the steps, so nothing per document is stored or moved.
+
+Residuals are divided by the targets: a domain whose posteriors are tiny everywhere pulls no more
+than its tokens, and its own documents get at most ``MOST`` copies. What remains unmet is reported
+(``Rates.expected`` against ``Rates.wanted``).
 
 Empty and null texts have no tokens, the posteriors of an empty text, and a rate like others.
-Repeated rows get equal rates. Without labels there is one posterior for all, the even one.
-A target for an absent domain can't be met and is left unmet; where posteriors are too mixed for
-a target, the least squares distance is what remains.
+Repeated rows get equal rates. Without labels there is one posterior for all, the even one; with
+no tokens at all every rate is 1. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +43,10 @@ from deskloom.llm.common import map_texts, written
 
 #: Labelled rows learned from at most, text bytes of one, words of the vocabulary.
 LEARNED, LEARNED_BYTES, VOCABULARY = 8000, 16384, 50_000
-#: Ridge (too small to move a total from its target), steps at most, distance from a target relative to it.
-RIDGE, STEPS, CLOSE = 1e-6, 30, 1e-3
+#: Ridge (moves a reachable total by less than itself, relative to it), greatest rate, grain of the posteriors.
+RIDGE, MOST, GRAIN = 1e-3, 8.0, 1024
+#: Steps at most; root mean square move of a rate by a step (by tokens) at which they end.
+STEPS, STILL = 200, 1e-5
 
 _SHAPES = 4
 
@@ -141,10 +150,66 @@ def memberships(docs: DataFrame, classifier: Classifier, keep: Sequence[str], te
     return map_texts(docs, text, keep, fields, make)
 
 
-def _rate(multipliers: Sequence[float]) -> Column:
-    """max(0, 1 + m . p)."""
-    push = sum((F.col("p")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.lit(1.0) + push)
+@dataclass(frozen=True)
+class Rates:
+    """Steps of a fit, from which the rate of any posterior is replayed."""
+
+    pulls: np.ndarray  # residuals over targets, a row per step
+    momenta: np.ndarray
+    step: float
+    ridge: float
+    most: float
+    wanted: dict[str, float]
+    expected: dict[str, float]
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """Rates of posteriors, one row each."""
+        return replay(rounded(p), self.pulls, self.momenta, self.step, self.ridge, self.most)[0]
+
+    def column(self, p: Column) -> Column:
+        rate = F.pandas_udf(lambda x: pd.Series(self.of(np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1)))), "double")
+        return rate(p)
+
+
+def rounded(p: np.ndarray) -> np.ndarray:
+    """Posteriors in multiples of 1 / GRAIN; they need not add up to 1."""
+    return np.floor(p * GRAIN + 0.5) / GRAIN
+
+
+def replay(
+    p: np.ndarray, pulls: np.ndarray, momenta: np.ndarray, step: float, ridge: float, most: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(rates after the steps, rates before the last one)."""
+    rate = before = np.ones(len(p))
+    for pull, momentum in zip(pulls, momenta):
+        ahead = rate + momentum * (rate - before)
+        before, rate = rate, np.clip(ahead - step * (p @ pull + ridge * (ahead - 1)), 0, most)
+    return rate, before
+
+
+def _totals(merged: DataFrame, size: int, pulls: np.ndarray, momenta: np.ndarray, step: float, ridge: float, most: float):
+    """(tokens by domain under the rates, and under those before, tokens times squared move,
+    tokens times (look-ahead - rate) times move): sums over the merged table."""
+    shape = np.array(pulls).reshape(-1, size), np.array(momenta)
+
+    def run(batches):
+        total = np.zeros(2 * size + 2)
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            p = batch.column(1).flatten().to_numpy().reshape(-1, size) / GRAIN
+            rate, before = replay(p, *shape, step, ridge, most)
+            older = replay(p, shape[0][:-1], shape[1][:-1], step, ridge, most)[1] if len(shape[0]) else before
+            ahead = before + (shape[1][-1] * (before - older) if len(shape[0]) else 0)
+            total[:size] += (n * rate) @ p
+            total[size:-2] += (n * before) @ p
+            total[-2] += n @ (rate - before) ** 2
+            total[-1] += n @ ((ahead - rate) * (rate - before))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"x{i}" for i in range(len(total))])
+
+    schema = ", ".join(f"x{i} double" for i in range(2 * size + 2))
+    sums = merged.select("n", "p").mapInArrow(run, schema).agg(*[F.sum(f"x{i}") for i in range(2 * size + 2)]).first()
+    found = np.array([float(x or 0) for x in sums])
+    return found[:size], found[size:-2], found[-2], found[-1]
 
 
 def fit_rates(
@@ -153,55 +218,47 @@ def fit_rates(
     weights: Mapping[str, float],
     anchor: str | None = None,
     ridge: float = RIDGE,
+    most: float = MOST,
     steps: int = STEPS,
-) -> tuple[Column, dict[str, float]]:
-    """(rate column over ``members``, expected tokens by domain). ``weights``: wanted shares of
-    tokens. The wanted total is that which leaves ``anchor`` as it is, else the present total."""
+) -> Rates:
+    """``weights``: wanted shares of tokens; a domain without one is wanted nowhere. The wanted
+    total is that which leaves ``anchor`` as it is, else the present total."""
     size = len(domains)
+    grains = F.transform("p", lambda x: F.floor(x * GRAIN + 0.5).cast("int"))
+    merged = members.select(grains.alias("p"), "n_tokens").groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n"))
+    merged = written(merged.filter("n > 0").withColumn("p", F.col("p").cast("array<double>")), "memberships-merged")
+    p = [F.col("p")[i] / GRAIN for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-
-    def sums(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens by domain, sums of n p p' where the rate is positive, sum of n r^2."""
-        rate, n, p = F.col("rate"), F.col("n_tokens"), [F.col("p")[i] for i in range(size)]
-        some = F.when(rate > 0, n).otherwise(0)
-        each = [F.sum(rate * n * x) for x in p] + [F.sum(some * p[i] * p[j]) for i, j in pairs] + [F.sum(n * rate * rate)]
-        found = [float(x or 0) for x in members.withColumn("rate", _rate(multipliers)).agg(*each).first()]
-        gram = np.zeros((size, size))
-        for (i, j), x in zip(pairs, found[size:]):
-            gram[i, j] = gram[j, i] = x
-        return np.array(found[:size]), gram, found[-1]
-
-    m = np.zeros(size)
-    now, gram, squares = sums(m)
-    present, total = now, now.sum()
+    found = merged.agg(*[F.sum(F.col("n") * x) for x in p], *[F.sum(F.col("n") * p[i] * p[j]) for i, j in pairs]).first()
+    present = np.array([float(x or 0) for x in found[:size]])
+    total = present.sum()
+    none = np.zeros((0, size)), np.zeros(0)
     if total <= 0:
-        return F.lit(1.0), dict.fromkeys(domains, 0.0)
+        still = dict.fromkeys(domains, 0.0)
+        return Rates(*none, 0.0, ridge, most, still, still)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else present / total
     place = list(domains).index(anchor) if anchor in domains else None
-    wanted = share * (present[place] / share[place] if place is not None and share[place] else total)
-    scale = np.maximum(present, 1e-12 * total)
-    reached = CLOSE * np.maximum(wanted, 1e-6 * total)
-
-    def height(m: np.ndarray, squares: float) -> float:
-        return squares / 2 - wanted @ m + ridge * (scale * m) @ m / 2
-
+    wanted = share * (present[place] / share[place] if place is not None and share[place] and present[place] else total)
+    scale = np.maximum(wanted, 1e-4 * total)  # a target of nothing is held as one of so little
+    gram = np.zeros((size, size))
+    for (i, j), x in zip(pairs, found[size:]):
+        gram[i, j] = gram[j, i] = float(x or 0)
+    # The greatest curvature in the metric of the tokens.
+    step = 1 / (np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale)))[-1] + ridge)
+    pulls, momenta, t, now, before = [], [], 1.0, present, present
     for _ in range(steps):
-        if (np.abs(now - wanted) <= reached).all():
-            break
-        pull = now - wanted + ridge * scale * m
-        if np.abs(pull).max() <= 1e-9 * total:  # the least distance there is
+        following = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        momentum = (t - 1) / following
+        ahead = now + momentum * (now - before)
+        pulls.append((ahead - wanted) / scale)
+        momenta.append(momentum)
+        now, before, moved, back = _totals(merged, size, pulls, momenta, step, ridge, most)
+        t = 1.0 if back > 0 else following
+        if moved <= total * STILL**2:
             break
-        step = np.linalg.solve(gram + np.diag(ridge * scale), -pull)
-        before, length = height(m, squares), 1.0
-        while True:
-            trial = m + length * step
-            now, following, squares = sums(trial)
-            if height(trial, squares) <= before + 1e-4 * length * (pull @ step) + 1e-12 * total or length < 1e-3:
-                break
-            length /= 2
-        m, gram = trial, following
-    return _rate(m), dict(zip(domains, now.tolist()))
+    wants, has = dict(zip(domains, wanted.tolist())), dict(zip(domains, now.tolist()))
+    return Rates(np.array(pulls), np.array(momenta), step, ridge, most, wants, has)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -223,8 +280,8 @@ def mixed(
     """((row struct of ``keep``, n_tokens, p, rate) of every row, classifier)."""
     classifier = train(docs, labels, domain, text, doc_id)
     members = written(memberships(docs, classifier, keep, text), "memberships")
-    rate, _ = fit_rates(members, classifier.domains, weights, anchor)
-    return members.withColumn("rate", rate), classifier
+    rates = fit_rates(members, classifier.domains, weights, anchor)
+    return members.withColumn("rate", rates.column(F.col("p"))), classifier
 
 
 def resampled(docs: DataFrame, labels: DataFrame, domain: Column, weights: Mapping[str, float], **options) -> DataFrame:

@@ -328,52 +328,6 @@ def test_toxicity_and_mixing(spark, docs):
     assert mixing.resampled(docs.limit(0), known, F.expr(DOMAIN), WEIGHTS, anchor=ANCHOR).count() == 0
 
 
-def test_rates_match_a_plain_solver(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    p, n = rng.dirichlet([0.4, 0.4, 0.4], 300), rng.integers(0, 900, 300)
-    rows = [(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p))]
-    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
-    rate, expected = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.7, "b": 0.2, "c": 0.1}, steps=400)
-    got = np.array([r[1] for r in sorted(members.select("doc_id", rate).collect())])
-    total, now = n.sum(), (n[:, None] * p).sum(axis=0)
-    target, r = np.array([0.7, 0.2, 0.1]) * total, np.ones(300)
-    for _ in range(4000):
-        e = (((r * n)[:, None] * p).sum(axis=0) - target) / now
-        r = np.maximum(0, r - 0.5 * (p @ e + mixing.RIDGE * (r - 1)))
-    assert np.abs(got - r).max() < 0.02
-    assert abs(expected["a"] / total - 0.7) < 0.03
-
-
-@pytest.mark.parametrize("blur", [0.0, 0.05, 0.2])
-def test_rates_meet_each_target(spark, blur):
-    """The production settings reach the small targets too, with sure and with mixed posteriors."""
-    import numpy as np
-
-    shares = np.array([0.76, 0.13, 0.11])  # of ANCHOR, poor, toxic
-    sure = np.eye(3)[np.random.default_rng(5).choice(3, 2000, p=shares)]
-    p = (1 - blur) * sure + blur * shares
-    n = np.random.default_rng(6).integers(1, 900, len(p))
-    rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p)]
-    members = spark.createDataFrame(rows, "n_tokens long, p array<double>")
-    domains = ["clean", "poor", "toxic"]
-    rate, expected = mixing.fit_rates(members, domains, WEIGHTS, ANCHOR)
-    got = np.array([sum(x) for x in zip(*([r[2] * r[0] * x for x in r[1]] for r in members.select("n_tokens", "p", rate).collect()))])
-    present = (n[:, None] * p).sum(axis=0)
-    wanted = np.array([WEIGHTS[d] / WEIGHTS[ANCHOR] for d in domains]) * present[0]
-    assert np.allclose([expected[d] for d in domains], got)
-    if blur < 0.1:
-        assert (np.abs(got / wanted - 1) < 2e-3).all()
-        return
-    r = np.ones(len(n))  # clean documents alone hold more toxic tokens than wanted: the least distance
-    for _ in range(4000):
-        e = (((r * n)[:, None] * p).sum(axis=0) - wanted) / present
-        r = np.maximum(0, r - (p @ e + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
-    assert got[2] > 1.5 * wanted[2]
-    assert np.allclose(got, ((r * n)[:, None] * p).sum(axis=0), rtol=1e-3)
-
-
 def test_urls(spark):
     texts = [None, "", "no scheme", "http://", "HTTPS://A.Example.NET/en/x?y#z", "http://example.net/en", "x://net/", "x://net",
              "http://example.com/de/a://b.org/fr/", "http://notexample.com/de/", "http://u@b.org:80/fr/", "http://b.org/fr/?q", "http://K\u0130.org/fr/"]
