@@ -126,8 +126,7 @@ def topk_matches(spark, sf):
     guess = classify_by_cues(F.col("text"), LANGUAGE_CUES, "en")["intent"]
     passages = table(spark, sf, "benchmark").select("item_id", "text", guess.alias("lang"))
     index = V.build_index(docs, "doc_id", "lang", "text")
-    # Small blocks, so that the test data has several.
-    found = V.lexical_matches(passages, index, "item_id", "lang", "text", block=100)
+    found = V.lexical_matches(passages, index, "item_id", "lang", "text")
     return found.withColumn("zone", RT.zone(F.col("score")))
 
 

@@ -1,7 +1,7 @@
 """TF-IDF per group, lexical similarity search, dense similarity search.
 
-The lexical index is relational; search multiplies blocks of query vectors with blocks of
-item vectors of the same group and keeps k rows per query; see ``lexical_matches``.
+The lexical index and its search are relational: postings with the greatest weight of every
+term bound what an item can score, so most pairs are never looked at; see ``lexical_matches``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +120,8 @@ class LexicalIndex:
 
     postings: DataFrame  # grp, term, item, w
     vectors: DataFrame  # item, grp, terms
+    impacts: DataFrame  # grp, key (hash of the term), item, w
+    bounds: DataFrame  # grp, key, df, top (greatest w)
     idf: DataFrame  # grp, term, df, n, idf
     groups: DataFrame  # grp, n, padding items
 
@@ -143,7 +144,14 @@ def build_index(
     counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = materialize(idf_table(counted, groups.select("grp", "n")), "index-idf")
     vectors = materialize(weigh(terms, idf), "index-vectors")
-    return LexicalIndex(flat(vectors), vectors, idf, groups)
+    impacts = materialize(keyed(vectors), "index-impacts")
+    bounds = impacts.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+    return LexicalIndex(flat(vectors), vectors, impacts, materialize(bounds, "index-bounds"), idf, groups)
+
+
+def keyed(weighted: DataFrame) -> DataFrame:
+    """(grp, key, item, w) rows of weighted arrays, terms as 64-bit hashes."""
+    return flat(weighted).select("grp", F.xxhash64("term").alias("key"), "item", "w")
 
 
 def query_vectors(
@@ -158,8 +166,10 @@ def query_vectors(
     return weigh(explode_terms(df, item, group, text, stops), index.idf)
 
 
-#: Rows of a block, and pairs of postings of a term above which it goes through a matrix product.
-BLOCK, DENSE_PAIRS = 1024, 1 << 14
+#: Terms of a query that give its threshold, and most items that one of them is looked up in.
+SEEDS, SEED_ITEMS = 8, 256
+#: Scores are rounded to four digits; what may round to the threshold counts as reaching it.
+MARGIN = 1e-4
 
 
 def lexical_matches(
@@ -169,135 +179,91 @@ def lexical_matches(
     group: str,
     text: str,
     k: int = 3,
-    block: int = BLOCK,
+    seeds: int = SEEDS,
     stops: Sequence[str] = STOP_WORDS,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-k items per query by cosine: (query, grp, item, score, rank).
 
     Every query gets k rows when its group has k items: lowest item ids pad the list with
-    score 0. Ties go to the lower item id.
-
-    Queries and items of a group are cut into blocks of about ``block`` rows. A block pair
-    is one sparse product in one task and returns k rows per query, so neither pairs nor
-    scores of pairs are ever rows of a table, and a group or a term of any size is spread
-    over block pairs. One plan serves all sizes. ``vectors`` are the weighed queries, if they
-    are known already (an index searched with its own items: ``index.vectors``).
+    score 0. Ties go to the lower item id. ``vectors`` are the weighed queries, if they are
+    known already (an index searched with its own items: ``index.vectors``).
     """
     if vectors is None:
         vectors = materialize(
             query_vectors(queries, item, group, text, index, stops), "query-vectors"
         )
     asked = queries.select(F.col(item).alias("query"), F.col(group).alias("grp"))
-    return _rank(_block_matches(vectors, index.vectors, k, block), asked, index, k)
-
-
-def _block_matches(queries: DataFrame, items: DataFrame, k: int, block: int) -> DataFrame:
-    """(query, grp, item, score): the best k of every query in every item block."""
-
-    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # may be the items
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        count = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name)
-        return df.groupBy("grp").agg(count)
-
-    shape = materialize(blocks(queries, "_qn").join(blocks(items, "_in"), "grp"), "block-shape")
-    hashed = F.transform("terms", lambda t: F.struct(F.xxhash64(t["term"]).alias("term"), t["w"].alias("w")))
-    left = queries.join(shape, "grp").select(
-        "grp",
-        F.pmod(F.xxhash64("item"), F.col("_qn")).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("ib"),
-        F.col("item").alias("query"),
-        hashed.alias("terms"),
+    candidates, skipped = pruned_candidates(vectors, index, k, seeds)
+    return _rank(_completed(candidates, skipped, index), asked, index, k)
+
+
+def pruned_candidates(
+    vectors: DataFrame, index: LexicalIndex, k: int = 3, seeds: int = SEEDS
+) -> tuple[DataFrame, DataFrame]:
+    """((query, grp, item, score) of the pairs that may be among the best k, with the score so
+    far; (query, grp, key, w) of the terms that it lacks).
+
+    A term adds at most its own weight times the greatest weight of it in the group. The few
+    rare terms of a query that may add most are looked up first; the k-th best of these sums
+    bounds the k-th best score from below. Then the most frequent terms whose bounds stay below it
+    together are skipped: an item that shares no other term can't be among the best. The
+    postings of the remaining, rarer terms give sums; the k-th best of them is a higher bound, and
+    pairs that don't reach it even with all skipped terms go.
+    """
+    terms = (
+        keyed(vectors)
+        .join(index.bounds, ["grp", "key"])
+        .select(F.col("item").alias("query"), "grp", "key", "w", "df", (F.col("w") * F.col("top")).alias("most"))
     )
-    right = items.join(shape, "grp").select(
-        "grp",
-        F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)).alias("qb"),
-        F.pmod(F.xxhash64("item"), F.col("_in")).cast("int").alias("ib"),
-        "item",
-        hashed.alias("terms"),
+    query = Window.partitionBy("grp", "query")
+    telling = F.row_number().over(query.orderBy(F.col("most").desc(), "key"))
+    first = terms.filter(F.col("df") <= SEED_ITEMS).withColumn("_rn", telling).filter(F.col("_rn") <= seeds)
+    best = F.row_number().over(query.orderBy(F.col("score").desc()))
+
+    def reached(sums: DataFrame) -> DataFrame:
+        """(grp, query, floor): the k-th best of the sums, if there are as many."""
+        kept = sums.withColumn("_rn", best).filter(F.col("_rn") <= k).groupBy("grp", "query")
+        return kept.agg(F.when(F.count(F.lit(1)) == k, F.min("score") - MARGIN).alias("floor"))
+
+    frequent = query.orderBy(F.col("df").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
+    planned = materialize(
+        terms.join(reached(_sums(first, index)), ["grp", "query"], "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .withColumn("skipped", F.sum("most").over(frequent) < F.col("floor")),
+        "query-plan",
     )
-    schema = T.StructType(
-        [
-            T.StructField("grp", left.schema["grp"].dataType),
-            T.StructField("query", left.schema["query"].dataType),
-            T.StructField("item", right.schema["item"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
+    more = F.sum(F.when(F.col("skipped"), F.col("most")).otherwise(0.0)).alias("rest")
+    rest = planned.groupBy("grp", "query").agg(more)
+    partial = materialize(_sums(planned.filter(~F.col("skipped")), index), "partial-sums")
+    bounded = partial.join(rest.join(reached(partial), ["grp", "query"]), ["grp", "query"])
+    few = F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))
+    candidates = bounded.filter(few)
+    skipped = planned.filter("skipped").select("query", "grp", "key", "w")
+    return materialize(candidates.select("query", "grp", "item", "score"), "candidates"), skipped
+
+
+def _sums(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(grp, query, item, score): products of the terms' weights, summed."""
+    postings = index.impacts.withColumnRenamed("w", "_w")
+    return (
+        terms.join(postings, ["grp", "key"])
+        .groupBy("grp", "query", "item")
+        .agg(F.sum(F.col("w") * F.col("_w")).alias("score"))
     )
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["grp", "query", "item", "score"]
-        b = b.sort_by("item")
-        score = np.round(_sparse_product(_entries(a), _entries(b), len(a), len(b)), 4)
-        n = min(k, score.shape[1])
-        # Items are in id order and the sort is stable: the lower id comes first among equals.
-        top = np.argsort(-score, axis=1, kind="stable")[:, :n]
-        value = np.take_along_axis(score, top, axis=1)
-        row, place = np.nonzero(value > 0)
-        column = top[row, place]
-        return pa.Table.from_arrays(
-            [a["grp"].take(row), a["query"].take(row), b["item"].take(column), pa.array(value[row, place])], names=names
-        )
-
-    keys = ["grp", "qb", "ib"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
-
-
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of the vectors of a block."""
-    vectors = table["terms"].combine_chunks()
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
-    rows = np.repeat(np.arange(len(vectors)), np.diff(vectors.offsets.to_numpy()))
-    flat_terms = vectors.flatten()
-    return rows, flat_terms.field("term").to_numpy(), flat_terms.field("w").to_numpy()
-
 
-def _sparse_product(
-    a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: int, n_b: int, chunk: int = 1 << 22
-) -> np.ndarray:
-    """Dense n_a by n_b matrix of the products of sparse rows.
-
-    Terms with many pairs go through dense matrix products, the others through their pairs,
-    ``chunk`` at a time.
-    """
-    out = np.zeros((n_a, n_b))
-    if not len(a[0]) or not len(b[0]):
-        return out
-    names, code = np.unique(np.concatenate((a[1], b[1])), return_inverse=True)
-    code_a, code_b = code[: len(a[0])], code[len(a[0]) :]
-    count_b = np.bincount(code_b, minlength=len(names))
-    pairs = np.bincount(code_a, minlength=len(names)) * count_b
-    many = np.flatnonzero(pairs > DENSE_PAIRS)
-    for at in range(0, len(many), 512):
-        place = np.full(len(names), -1)
-        place[many[at : at + 512]] = np.arange(len(many[at : at + 512]))
-        sides = []
-        for (row, _, weight), codes, n in ((a, code_a, n_a), (b, code_b, n_b)):
-            column = place[codes]
-            dense = np.zeros((n, 512))
-            dense[row[column >= 0], column[column >= 0]] = weight[column >= 0]
-            sides.append(dense)
-        out += sides[0] @ sides[1].T
-    few = (pairs[code_a] > 0) & (pairs[code_a] <= DENSE_PAIRS)
-    row_a, few_code, weight_a = a[0][few], code_a[few], a[2][few]
-    order = np.argsort(code_b, kind="stable")
-    row_b, weight_b = b[0][order], b[2][order]
-    first_b = np.cumsum(count_b) - count_b
-    size = count_b[few_code]
-    ends = np.cumsum(size)
-    begin = 0
-    while begin < len(size):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + chunk, side="right")))
-        reps = size[begin:end]
-        entry = np.repeat(np.arange(begin, end), reps)
-        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        other = first_b[few_code[entry]] + nth
-        cell = row_a[entry] * n_b + row_b[other]
-        out += np.bincount(cell, weights=weight_a[entry] * weight_b[other], minlength=n_a * n_b).reshape(n_a, n_b)
-        begin = end
-    return out
+def _completed(candidates: DataFrame, skipped: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``candidates`` with the skipped terms added."""
+    postings = index.impacts.withColumnRenamed("w", "_w")
+    missing = (
+        candidates.select("query", "grp", "item")
+        .join(skipped, ["grp", "query"])
+        .join(postings, ["grp", "key", "item"])
+        .select("query", "grp", "item", (F.col("w") * F.col("_w")).alias("score"))
+    )
+    both = candidates.unionByName(missing)
+    return both.groupBy("query", "grp", "item").agg(F.sum("score").alias("score"))
 
 
 def _rank(scores: DataFrame, asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:

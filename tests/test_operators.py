@@ -164,8 +164,8 @@ def brute_scores(items, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 40, 12, 3])
-def test_lexical_matches_are_exact_whatever_the_blocks(spark, block):
+@pytest.mark.parametrize("seeds", [8, 2, 0])
+def test_lexical_matches_are_exact_whatever_is_skipped(spark, seeds):
     rng = random.Random(11)
     # Skewed vocabulary: a few words are nearly everywhere.
     vocabulary = [f"w{i}" for i in range(60)]
@@ -177,7 +177,7 @@ def test_lexical_matches_are_exact_whatever_the_blocks(spark, block):
     idf = spark.createDataFrame(items, "id long, g string, t string").repartition(4)
     qdf = spark.createDataFrame(queries, "id long, g string, t string").repartition(3)
     index = V.build_index(idf, "id", "g", "t")
-    rows = V.lexical_matches(qdf, index, "id", "g", "t", 3, block).collect()
+    rows = V.lexical_matches(qdf, index, "id", "g", "t", 3, seeds).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query, r["rank"])):
         got[r.query].append((r.item, r.score))
@@ -188,6 +188,21 @@ def test_lexical_matches_are_exact_whatever_the_blocks(spark, block):
         assert np.allclose([s for _, s in got[q]], [s for _, s in best], atol=1.1e-4)
 
 
+def test_few_pairs_are_candidates(spark):
+    """Texts of common words and some rare ones: pairs that share common words only are skipped."""
+    rng = random.Random(2)
+    items = []
+    for i in range(400):
+        rare = [f"r{(i // 4) * 8 + j}" for j in range(8)]
+        items.append((i, "A", " ".join(rng.sample(rare, 6) + rng.choices([f"c{j}" for j in range(30)], k=12))))
+    df = spark.createDataFrame(items, "id long, g string, t string")
+    index = V.build_index(df, "id", "g", "t")
+    candidates, _ = V.pruned_candidates(index.vectors, index, 3)
+    assert candidates.count() < 400 * 400 / 20
+    got = {(r.query, r["rank"]): r.item for r in V.lexical_matches(df, index, "id", "g", "t", 3, vectors=index.vectors).collect()}
+    assert got == {(q, n): i for q, best in brute_scores(items, items, 3).items() for n, (i, _) in enumerate(best, 1)}
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_dense_matches_blocks(spark, block):
     rng = np.random.default_rng(3)
