@@ -10,6 +10,7 @@ from deskloom.catalog.rule_queries import _CASES_SQL, _cases
 from deskloom.functions import routing as RT
 from deskloom.functions.intents import classify_by_cues
 from deskloom.functions.rules import DENSE_ZONES, STOP_WORDS
+from deskloom.operators import cells as C
 from deskloom.operators import vectors as V
 from deskloom.session import materialize
 
@@ -145,3 +146,34 @@ def dense_topk(spark, sf):
     )
     found = V.dense_matches(vectors, vectors, "label", 3, skip_same_id=True)
     return found.withColumn("zone", RT.zone(F.col("score"), DENSE_ZONES))
+
+
+def _asked_and_all(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.lit(0).alias("label"), F.col("embedding").alias("vec")
+    )
+    return vectors.filter("id % 50 = 0"), vectors
+
+
+@query("dense_cells")
+def dense_cells(spark, sf):
+    """Every 50th vector against all, through the coarse cells."""
+    asked, vectors = _asked_and_all(spark, sf)
+    found = C.cell_matches(asked, C.build_cells(vectors, "label"), "label", 3, skip_same_id=True)
+    return found.select("query", "item", "score", "rank", RT.zone(F.col("score"), DENSE_ZONES).alias("zone"))
+
+
+# The search through cells finds nine of ten of the exact best three.
+@query(
+    "dense_cells_recall",
+    """WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT count(*) AS n FROM embeddings)
+    SELECT count(*) AS queries, sum(least(3, n - 1))::BIGINT AS wanted, true AS reached FROM q, n""",
+)
+def dense_cells_recall(spark, sf):
+    asked, vectors = _asked_and_all(spark, sf)
+    found = C.cell_matches(asked, C.build_cells(vectors, "label"), "label", 3, skip_same_id=True)
+    exact = V.dense_matches(asked, vectors, "label", 3, skip_same_id=True)
+    rated = C.recall(found, exact)
+    return rated.crossJoin(asked.agg(F.count(F.lit(1)).alias("queries"))).select(  # one row each
+        "queries", "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("reached")
+    )
