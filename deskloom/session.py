@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,25 +66,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: list[str] = []
+_scope = threading.local()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/deskloom/{label}-{uuid.uuid4().hex}"
     _scratch.append(path)
+    getattr(_scope, "paths", []).append(path)
     return path
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    hadoop, cleared = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        cleared += bool(path.getFileSystem(hadoop).delete(path, True))
+    return cleared
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what this thread writes below the shared folder inside the block, at its end.
+
+    For work that ends with a stored result, as a micro-batch does.
+    """
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer if outer is not None else []
+        _delete(spark, paths)
+        for path in paths:
+            _scratch.remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete what this process has written below the shared folder; the number of paths.
 
     For the end of a run: results that are still read from these tables must be written first.
     """
-    hadoop, cleared = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        cleared += bool(path.getFileSystem(hadoop).delete(path, True))
-    return cleared
+    paths = _scratch[:]
+    _scratch.clear()
+    return _delete(spark, paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

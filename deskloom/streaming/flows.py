@@ -15,6 +15,7 @@ from deskloom.functions.text import fingerprint
 from deskloom.operators.reuse import TTL_SECONDS, miss_places
 from deskloom.operators.vectors import LexicalIndex, build_index
 from deskloom.plans.decide import decide
+from deskloom.session import scratch_scope
 
 
 def decide_stream(
@@ -28,59 +29,95 @@ def decide_stream(
     """Decide every arriving case against a static vault; one folder per micro-batch.
 
     Rewriting a batch's folder on a retry keeps the output exactly-once. The precedent
-    index is built once, before the first batch.
+    index is built once, before the first batch. Intermediate tables of a batch are deleted once
+    it is written, so the stream may run for ever.
     """
     index = index or build_index(
         vault.select("pair_id", "intent", "customer_query"), "pair_id", "intent", "customer_query"
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decide(batch, vault, index=index).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        with scratch_scope(batch.sparkSession):
+            decide(batch, vault, index=index).write.mode("overwrite").parquet(
+                f"{path}/batch={batch_id}"
+            )
 
     writer = cases.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+#: Rows of a key and micro-batch that a worker holds; more go through the state store.
+HELD_ROWS = 20_000
+
+
 class LastMiss(StatefulProcessor):
     """Remembers, per key, the event time of the last miss; one number.
 
-    A micro-batch's rows of a key are put in time order here; the source's rate limit bounds
-    them. The number is forgotten when the key has been silent for ``forget`` of wall-clock
+    The misses of a micro-batch follow from its distinct seconds, of which there are no more
+    than clock time allows; only they are sorted. Its rows are marked chunk by chunk afterwards,
+    and those beyond ``HELD_ROWS`` wait in the state store, so a hot key needs no more memory than
+    others. The number is forgotten when the key has been silent for ``forget`` of wall-clock
     time, which must exceed the ttl and the lateness of events.
     """
 
-    def __init__(self, key: str, second: str, event_id: str, ttl: int, forget: int, only_misses: bool) -> None:
-        self.key, self.second, self.event_id = key, second, event_id
-        self.ttl, self.forget, self.only_misses = ttl, forget, only_misses
+    def __init__(self, key: str, id_type: str, ttl: int, forget: int, only_misses: bool, held: int = HELD_ROWS) -> None:
+        self.key, self.id_type = key, id_type
+        self.ttl, self.forget, self.only_misses, self.held = ttl, forget, only_misses, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stored_at = handle.getValueState("stored_at", "sec long", self.forget * 1000)
+        self.waiting = handle.getListState("waiting", f"id {self.id_type}, sec long")
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object
     ) -> Iterator[pd.DataFrame]:
-        chunks = [chunk for chunk in rows if len(chunk)]
-        if not chunks:
-            return
-        frame = pd.concat(chunks, ignore_index=True)
-        hit = np.zeros(len(frame), bool)
-        timed = frame[self.second].notna().to_numpy()
-        if key[0] is not None and timed.any():  # null keys and times are misses, never stored
-            frame = frame.sort_values([self.second, self.event_id], ignore_index=True)
-            seconds = frame[self.second].dropna().to_numpy().astype("int64")
-            distinct, first = np.unique(seconds, return_index=True)
+        names, chunks, held, spilled = [], [], 0, False
+        first: dict[int, object] = {}  # second: least id
+        for chunk in rows:
+            if not len(chunk):
+                continue
+            names = list(chunk.columns)
+            timed = chunk.dropna(subset=["event_sec"])
+            for second, least in timed.groupby("event_sec")[names[1]].min().items():
+                known = first.get(int(second))
+                first[int(second)] = least if known is None else min(known, least)
+            if held + len(chunk) <= self.held:
+                chunks.append(chunk)
+                held += len(chunk)
+            else:
+                seconds = [None if pd.isna(s) else int(s) for s in chunk["event_sec"]]
+                self.waiting.appendList(list(zip(chunk[names[1]].tolist(), seconds)))
+                spilled = True
+        missed: set = set()
+        if key[0] is not None and first:  # null keys and times are misses, never stored
+            seconds = np.array(sorted(first), np.int64)
             stored = self.stored_at.get()[0] if self.stored_at.exists() else None
-            places, stored = miss_places(distinct, stored, self.ttl)
-            hit[: len(seconds)] = True
-            hit[first[places]] = False
+            places, stored = miss_places(seconds, stored, self.ttl)
+            missed = {first[int(s)] for s in seconds[places]}
             self.stored_at.update((stored,))
-        frame["hit"] = hit
-        if self.only_misses:
-            frame = frame[~frame["hit"]]
-        frame[self.key] = key[0]
-        yield frame
+        for chunk in chunks:
+            yield from self._marked(chunk, key[0], missed, names)
+        if spilled:
+            part = []
+            for row in self.waiting.get():
+                part.append(row)
+                if len(part) == self.held:
+                    yield from self._marked(self._frame(part, key[0], names), key[0], missed, names)
+                    part = []
+            if part:
+                yield from self._marked(self._frame(part, key[0], names), key[0], missed, names)
+            self.waiting.clear()
+
+    def _frame(self, rows: list[tuple], key: object, names: list[str]) -> pd.DataFrame:
+        ids, seconds = zip(*rows)
+        return pd.DataFrame({names[0]: [key] * len(ids), names[1]: ids, names[2]: pd.array(seconds, "Int64")})
+
+    def _marked(self, chunk: pd.DataFrame, key: object, missed: set, names: list[str]) -> Iterator[pd.DataFrame]:
+        chunk = chunk.copy()
+        untimed = chunk["event_sec"].isna().to_numpy() | (key is None)
+        chunk["hit"] = ~(untimed | chunk[names[1]].isin(missed).to_numpy())
+        chunk[self.key] = key
+        yield chunk[~chunk["hit"]] if self.only_misses else chunk
 
     def close(self) -> None:
         pass
@@ -91,13 +128,14 @@ FORGET = 7 * 86400
 
 
 def _by_last_miss(
-    events: DataFrame, key: str, ts: str, event_id: str, ttl: int, forget: int, only_misses: bool
+    events: DataFrame, key: str, ts: str, event_id: str, ttl: int, forget: int, only_misses: bool, held: int = HELD_ROWS
 ) -> DataFrame:
     second = F.unix_seconds(F.col(ts).cast("timestamp")).alias("event_sec")
     timed = events.select(key, event_id, second)
+    id_type = timed.schema[event_id].dataType.simpleString()
     schema = T.StructType([*timed.schema.fields, T.StructField("hit", T.BooleanType())])
     return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=LastMiss(key, "event_sec", event_id, ttl, forget, only_misses),
+        statefulProcessor=LastMiss(key, id_type, ttl, forget, only_misses, held),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime",
@@ -123,13 +161,20 @@ def dedup_stream(
 
 
 def reuse_stream(
-    events: DataFrame, key: str, ts: str, event_id: str, ttl: int = TTL_SECONDS, forget: int = FORGET
+    events: DataFrame,
+    key: str,
+    ts: str,
+    event_id: str,
+    ttl: int = TTL_SECONDS,
+    forget: int = FORGET,
+    held: int = HELD_ROWS,
 ) -> DataFrame:
     """(key, event id, hit) of a stream: reuse with a time-to-live fixed at the miss.
 
-    State is one number per key. Needs the RocksDB state store.
+    State is one number per key, and a large micro-batch's rows while it is worked on (``held``
+    of a key stay in memory). Needs the RocksDB state store; event ids are unique.
     """
-    return _by_last_miss(events, key, ts, event_id, ttl, forget, False).select(key, event_id, "hit")
+    return _by_last_miss(events, key, ts, event_id, ttl, forget, False, held).select(key, event_id, "hit")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
