@@ -166,3 +166,60 @@ def context_lines(turns: DataFrame, group: str = "conv_id", order: str = "turn")
             F.concat(F.lit("- "), F.col("role"), F.lit(": "), F.col("text")).alias("line"),
         )
     )
+
+
+def extend_roots(
+    roots: DataFrame,
+    appended: DataFrame,
+    messages: DataFrame,
+    id_col: str = "msg_id",
+    parent_col: str = "parent_id",
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of the appended messages, new rows of older messages whose root changed).
+
+    ``roots`` is (msg_id, root_id) of ``messages``, as ``thread_roots`` gives it; ``appended`` has
+    new ids. Each appended message points at its parent, or at the parent's known root, and only
+    these pointers are followed. An older message changes if its root was a missing parent that
+    has arrived now. Older rows are looked up by the few appended keys, not moved as long as
+    these fit a broadcast. Where an appended message closes a cycle, its threads alone are
+    resolved anew, so the rows are those of ``thread_roots`` over all messages.
+    """
+    new = materialize(appended.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")), "appended")
+    known = roots.select(F.col(id_col).alias("k_id"), F.col("root_id").alias("k_root"))
+    parents = known.join(new.select(F.col("parent").alias("k_id")).distinct(), "k_id", "left_semi")
+    contracted = new.join(parents, F.col("parent") == F.col("k_id"), "left").select(
+        "id", F.coalesce("k_root", "parent").alias("ptr")
+    )
+    found = materialize(thread_roots(contracted, "id", "ptr"), "appended-roots")
+    arrived = found.select(F.col("id").alias("k_root"), F.col("root_id").alias("new_root"))
+    moved = materialize(known.join(arrived, "k_root").select("k_id", "k_root", "new_root"), "moved")
+    # Only in a cycle is a root a message with a parent.
+    cyclic = found.join(new.filter("parent IS NOT NULL").select(F.col("id").alias("root_id")), "root_id", "left_semi")
+    looped = materialize(cyclic, "looped")
+    if not looped.isEmpty():
+        found, moved = _unlooped(found, moved, looped, known, new, messages, id_col, parent_col)
+    fresh = found.select(F.col("id").alias(id_col), "root_id")
+    changed = moved.filter("k_root != new_root").select(F.col("k_id").alias(id_col), F.col("new_root").alias("root_id"))
+    return fresh, changed
+
+
+def _unlooped(found, moved, looped, known, new, messages, id_col, parent_col):
+    """``found`` and ``moved`` with the threads of ``looped`` rows resolved from their messages."""
+    whole = looped.select("root_id").distinct()
+    # Older threads that the cycle runs through, or that hang on it.
+    older = moved.join(whole.withColumnRenamed("root_id", "new_root"), "new_root", "left_semi").select("k_id", "k_root")
+    touched = older.select(F.col("k_id").alias(id_col))
+    again = messages.join(touched, id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    again = again.unionByName(new.join(looped.select("id"), "id", "left_semi"))
+    solved = materialize(thread_roots(again, "id", "parent"), "unlooped")
+    rest = found.join(whole, "root_id", "left_anti").select("id", "root_id")
+    fresh = rest.unionByName(solved.join(looped.select("id"), "id", "left_semi").select("id", "root_id"))
+    still = moved.join(whole.withColumnRenamed("root_id", "new_root"), "new_root", "left_anti")
+    again_moved = older.join(solved.withColumnRenamed("root_id", "new_root"), F.col("k_id") == F.col("id")).drop("id")
+    return fresh, still.select("k_id", "k_root", "new_root").unionByName(again_moved.select("k_id", "k_root", "new_root"))
+
+
+def replace_roots(roots: DataFrame, fresh: DataFrame, changed: DataFrame, id_col: str = "msg_id") -> DataFrame:
+    """``roots`` after ``extend_roots``."""
+    kept = roots.join(changed.select(id_col), id_col, "left_anti").select(id_col, "root_id")
+    return kept.unionByName(changed).unionByName(fresh)

@@ -131,6 +131,13 @@ def build_index(
 ) -> LexicalIndex:
     """TF-IDF index of a precedent table, partitioned by group."""
     ids = df.select(F.col(item).alias("item"), F.col(group).alias("grp"))
+    terms = materialize(explode_terms(df, item, group, text, stops), "index-terms")
+    counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
+    return index_of(ids, terms, counted, ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), k)
+
+
+def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: DataFrame, k: int = 3) -> LexicalIndex:
+    """Index from (item, grp), (item, grp, term, tf), (grp, term, df) and (grp, n)."""
     first = Window.partitionBy("grp").orderBy("item")
     padding = (
         ids.withColumn("_rn", F.row_number().over(first))
@@ -138,11 +145,8 @@ def build_index(
         .groupBy("grp")
         .agg(F.array_sort(F.collect_list("item")).alias("padding"))
     )
-    sizes = ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     groups = materialize(sizes.join(padding, "grp"), "index-groups")
-    terms = materialize(explode_terms(df, item, group, text, stops), "index-terms")
-    counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = materialize(idf_table(counted, groups.select("grp", "n")), "index-idf")
+    idf = materialize(idf_table(frequencies, groups.select("grp", "n")), "index-idf")
     vectors = materialize(weigh(terms, idf), "index-vectors")
     impacts = materialize(keyed(vectors), "index-impacts")
     bounds = impacts.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))

@@ -42,7 +42,7 @@ def score_new(
 
     ``score`` maps a text column to a probability array; without one the prior is uniform.
     """
-    keyed = requests.select(fingerprint(F.col("text")).alias("text_key"), "text", order)
+    keyed = requests.filter(F.col("text").isNotNull()).select(fingerprint(F.col("text")).alias("text_key"), "text", order)
     missing = keyed if prior is None else keyed.join(prior, "text_key", "left_anti")
     one_each = keep_first(missing, "text_key", [order])
     probs = uniform(len(labels)) if score is None else score(F.col("text"))
@@ -62,7 +62,8 @@ def classify_batch(
     """Every request with its ``detail`` and whether it was ``cached``.
 
     ``prior`` is (text_key, detail), one row per key. The result table is unique by key;
-    copies of a text sit on the request side of the join, where skew is split.
+    copies of a text sit on the request side of the join, where skew is split. A request
+    without a text is not scored: its key and detail are null and it is not cached.
     """
     prior = materialize(prior.select("text_key", "detail"), "prior")  # read by two branches
     fresh = score_new(requests, prior.select("text_key"), score, order, labels)
@@ -70,16 +71,20 @@ def classify_batch(
         fresh.select("text_key", "detail", F.lit(False).alias("cached"))
     )
     keyed = requests.withColumn("text_key", fingerprint(F.col("text")))
-    return keyed.join(known, "text_key")
+    answered = keyed.filter(F.col("text").isNotNull()).join(known, "text_key")
+    nothing = F.lit(None).cast(fresh.schema["detail"].dataType)
+    refused = keyed.filter(F.col("text").isNull()).select(*keyed.columns, nothing.alias("detail"), F.lit(False).alias("cached"))
+    return answered.unionByName(refused)
 
 
 def batch_stats(classified: DataFrame) -> DataFrame:
-    """One row: batch size, reuse hits, and rows saved by in-batch dedup."""
+    """One row: batch size, reuse hits, and rows saved by in-batch dedup. Refused requests, those
+    without a text, count in the size only."""
     per_key = classified.groupBy("text_key", "cached").agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("batch_size"),
         F.coalesce(F.sum(F.when(F.col("cached"), F.col("n"))), F.lit(0)).alias("cache_hits"),
-        F.coalesce(F.sum(F.when(~F.col("cached"), F.col("n") - 1)), F.lit(0)).alias(
+        F.coalesce(F.sum(F.when(~F.col("cached") & F.col("text_key").isNotNull(), F.col("n") - 1)), F.lit(0)).alias(
             "deduplicated_count"
         ),
     )

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from deskloom.functions.text import fingerprint
 from deskloom.operators.reuse import TTL_SECONDS, miss_places
+from deskloom.operators.store import PairStore
 from deskloom.operators.vectors import LexicalIndex, build_index
 from deskloom.plans.decide import decide
 from deskloom.session import scratch_scope
@@ -46,6 +47,25 @@ def decide_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def decide_stream_versions(
+    cases: DataFrame, store: PairStore, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Decide every arriving case against the newest version of a store at the time of its
+    micro-batch. The index is made anew only when the version has changed; output rows name it."""
+    held: dict[str, object] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        version = store.latest()
+        if held.get("version") != version:
+            held.update(version=version, index=store.index(version))
+        with scratch_scope(batch.sparkSession):
+            decided = decide(batch, store.pairs(version), index=held["index"])
+            decided.withColumn("store_version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = cases.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 #: Rows of a key and micro-batch that a worker holds; more go through the state store.
 HELD_ROWS = 20_000
 
