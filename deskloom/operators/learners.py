@@ -29,19 +29,21 @@ def majority_predict(df: DataFrame, label: str, confidence: float = 0.345) -> Da
     return df.withColumn("predicted", top.scalar()).withColumn("confidence", F.lit(confidence))
 
 
-def sparse_vector(size: int, entries: Column) -> Column:
-    """ML vector from an array of (idx, w), built in the JVM through its storage struct."""
-    ordered = F.array_sort(entries)
-    schema = T.StructType([T.StructField("v", VectorUDT())])
+def with_vectors(df: DataFrame, size: int, entries: str, name: str = "features") -> DataFrame:
+    """``df`` with the array of (idx, w) ``entries`` as a sparse ML vector.
+
+    The vector's storage struct is declared to be the vector as it passes an Arrow boundary;
+    nothing is parsed or printed."""
+    ordered = F.array_sort(F.col(entries))
     stored = F.struct(
-        F.struct(
-            F.lit(0).alias("type"),
-            F.lit(size).alias("size"),
-            F.transform(ordered, lambda e: e["idx"]).alias("indices"),
-            F.transform(ordered, lambda e: e["w"]).alias("values"),
-        ).alias("v")
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(ordered, lambda e: e["idx"]).alias("indices"),
+        F.transform(ordered, lambda e: e["w"]).alias("values"),
     )
-    return F.from_json(F.to_json(stored), schema)["v"]
+    source = df.withColumn(name, stored).drop(entries)
+    fields = [T.StructField(name, VectorUDT()) if f.name == name else f for f in source.schema.fields]
+    return source.mapInArrow(lambda batches: batches, T.StructType(fields))
 
 
 @dataclass(frozen=True)
@@ -59,9 +61,8 @@ def _term_rows(df: DataFrame, item: str, text: str) -> DataFrame:
     return explode_terms(single, "_id", "_all", "_text", STOP_WORDS, TWO_CHARS)
 
 
-def _features(
-    df: DataFrame, item: str, terms: DataFrame, vocabulary: DataFrame, size: int
-) -> DataFrame:
+def _features(ids: DataFrame, item: str, terms: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
+    """``ids`` with ``features``; rows without a known term get a zero vector."""
     weighted = weigh(terms, vocabulary.withColumn("grp", F.lit("all")))
     entries = (
         weighted.select("item", F.inline("terms"))
@@ -69,11 +70,77 @@ def _features(
         .groupBy("item")
         .agg(F.collect_list(F.struct("idx", "w")).alias("_entries"))
     )
-    empty = F.expr("cast(array() as array<struct<idx: int, w: double>>)")
-    return (
-        df.join(entries, F.col(item) == F.col("item"), "left")
-        .withColumn("features", sparse_vector(size, F.coalesce("_entries", empty)))
-        .drop("item", "_entries")
+    joined = ids.join(entries, F.col(item) == F.col("item"), "left").drop("item")
+    return with_vectors(joined.withColumn("_entries", F.coalesce("_entries", _no_entries())), size, "_entries")
+
+
+def _no_entries() -> Column:
+    return F.expr("cast(array() as array<struct<idx: int, w: double>>)")
+
+
+def fold_vocabularies(terms: DataFrame, sizes: DataFrame, folds: int, max_features: int = 3000) -> DataFrame:
+    """(fold, term, idx, idf): the vocabulary of the rows outside each fold.
+
+    ``terms`` is (fold, item, term, tf) of all rows, ``sizes`` is (fold, n). One count serves all
+    folds: what a fold's training rows hold is the total less the fold's own."""
+    own = terms.groupBy("term", "fold").agg(F.sum("tf").alias("own_total"), F.count(F.lit(1)).alias("own_df"))
+    own = materialize(own, "fold-terms")
+    every = own.groupBy("term").agg(F.sum("own_total").alias("all_total"), F.sum("own_df").alias("all_df"))
+    grid = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    left = grid.join(own, ["term", "fold"], "left").select(
+        "fold",
+        "term",
+        (F.col("all_total") - F.coalesce("own_total", F.lit(0))).alias("total"),
+        (F.col("all_df") - F.coalesce("own_df", F.lit(0))).alias("df"),
+    )
+    frequent = F.row_number().over(Window.partitionBy("fold").orderBy(F.col("total").desc(), "term"))
+    top = left.filter("df > 0").withColumn("_rn", frequent).filter(F.col("_rn") <= max_features)
+    rows = sizes.agg(F.sum("n")).first()[0] or 0  # rows of the folds
+    trained = sizes.select("fold", (F.lit(rows) - F.col("n")).alias("trained"))
+    position = F.row_number().over(Window.partitionBy("fold").orderBy("term")) - 1  # at most max_features rows
+    return top.join(trained, "fold", "left").select(
+        "fold",
+        "term",
+        position.cast("int").alias("idx"),
+        (F.log((F.lit(1.0) + F.coalesce("trained", F.lit(rows))) / (1 + F.col("df"))) + 1).alias("idf"),
+    )
+
+
+def fold_features(
+    dealt: DataFrame, item: str, text: str, label: str, folds: int, max_features: int = 3000
+) -> DataFrame:
+    """(model, fold, item, label, features) of every row for the model of each fold.
+
+    Texts are split once; ``model`` numbers the fold that the model leaves out, ``fold`` is the
+    row's own. A written table."""
+    single = _term_rows(dealt, item, text).join(dealt.select(F.col(item).alias("item"), "fold"), "item")
+    terms = materialize(single.select("fold", "item", "term", "tf"), "all-terms")
+    sizes = dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = fold_vocabularies(terms, sizes, folds, max_features).withColumnRenamed("fold", "model")
+    weighed = terms.join(materialize(vocabulary, "fold-vocabularies"), "term").select(
+        "model", "item", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    )
+    per_row = weighed.groupBy("model", "item").agg(
+        F.collect_list(F.struct("idx", "w")).alias("_raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")
+    )
+    unit = F.transform("_raw", lambda e: F.struct(e["idx"].alias("idx"), (e["w"] / F.col("_norm")).alias("w")))
+    each = dealt.select("fold", F.col(item).alias("item"), F.col(label).alias("label"))
+    every = each.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    joined = every.join(per_row.select("model", "item", unit.alias("_entries")), ["model", "item"], "left")
+    filled = joined.withColumn("_entries", F.coalesce("_entries", _no_entries()))
+    return materialize(with_vectors(filled, max_features, "_entries"), "fold-features")
+
+
+def text_regression(rows: int, max_iter: int) -> LogisticRegression:
+    """Estimator on ``features`` and ``_y``: the penalty is 1/rows, an inverse strength of 1 on the
+    summed loss."""
+    return LogisticRegression(
+        featuresCol="features",
+        labelCol="_y",
+        regParam=1.0 / max(rows, 1),
+        standardization=False,
+        maxIter=max_iter,
+        family="multinomial",
     )
 
 
@@ -88,8 +155,8 @@ def fit_text_model(
 ) -> TextModel:
     """TF-IDF (1- and 2-grams, sublinear tf) with multinomial logistic regression.
 
-    The vocabulary is the ``max_features`` most frequent terms. The penalty is 1/rows, an
-    inverse strength of 1 on the summed loss. ``label`` is the position in ``labels``.
+    The vocabulary is the ``max_features`` most frequent terms. ``label`` is the position in
+    ``labels``.
     """
     terms = materialize(_term_rows(df, item, text), "train-terms")
     rows = df.count()
@@ -113,27 +180,20 @@ def fit_text_model(
         _features(df.select(item, F.col(label).cast("double").alias("_y")), item, terms, vocabulary, size),
         "train-features",
     )
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol="_y",
-        regParam=1.0 / max(rows, 1),
-        standardization=False,
-        maxIter=max_iter,
-        family="multinomial",
-    ).fit(features)
+    model = text_regression(rows, max_iter).fit(features)
     return TextModel(vocabulary, size, model, tuple(labels))
 
 
 def predict_text(model: TextModel, df: DataFrame, item: str, text: str) -> DataFrame:
     """Rows with ``predicted`` and ``confidence`` (4 digits)."""
     terms = _term_rows(df, item, text)
-    featured = _features(df, item, terms, model.vocabulary, model.size)
-    scored = model.model.transform(featured)
-    return scored.select(
-        *df.columns,
+    featured = _features(df.select(F.col(item).alias("_row")), "_row", terms, model.vocabulary, model.size)
+    scored = model.model.transform(featured).select(
+        "_row",
         label_name(F.col("prediction"), model.labels).alias("predicted"),
         F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"),
     )
+    return df.join(scored, F.col(item) == F.col("_row")).drop("_row")
 
 
 def fit_embedding_model(

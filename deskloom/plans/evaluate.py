@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskloom.functions.intents import label_name
 from deskloom.functions.payloads import calibrate_judgement
 from deskloom.functions.replies import (
     DIMENSIONS,
@@ -20,7 +21,13 @@ from deskloom.functions.routing import best_template, zone
 from deskloom.functions.rules import TAXONOMY
 from deskloom.functions.text import fill_template, fingerprint
 from deskloom.operators import metrics as M
-from deskloom.operators.learners import fit_text_model, majority_predict, predict_text
+from deskloom.operators.learners import (
+    fit_text_model,
+    fold_features,
+    majority_predict,
+    predict_text,
+    text_regression,
+)
 from deskloom.operators.matching import drop_leaked, fall_back_group
 from deskloom.operators.ordering import top_n_per_group
 from deskloom.operators.sampling import stratified_folds
@@ -206,21 +213,29 @@ def cross_validate(
     folds: int = 5,
     max_iter: int = 1000,
 ) -> DataFrame:
-    """(fold, actual, predicted) of a text model fitted once per fold on the other folds."""
+    """(fold, actual, predicted) of a text model fitted once per fold on the other folds.
+
+    Texts are split into terms once, and one count of them serves the vocabularies of all folds."""
     dealt = materialize(stratified_folds(df, label, item, folds), "folds")
+    features = fold_features(dealt, item, text, label, folds)
+    named = F.array(*map(F.lit, labels))
     parts = []
     for fold in range(folds):
-        model = fit_text_model(
-            dealt.filter(F.col("fold") != fold), item, text, label, labels, max_iter=max_iter
+        rows = features.filter(F.col("model") == fold)
+        train = rows.filter(F.col("fold") != fold).withColumn("_y", F.col("label").cast("double"))
+        model = text_regression(train.count(), max_iter).fit(train)
+        parts.append(
+            model.transform(rows.filter(F.col("fold") == fold)).select(
+                "fold",
+                "item",
+                named[F.col("label")].alias("actual"),
+                label_name(F.col("prediction"), labels).alias("predicted"),
+            )
         )
-        held = dealt.filter(F.col("fold") == fold)
-        parts.append(predict_text(model, held, item, text))
     combined = parts[0]
     for part in parts[1:]:
         combined = combined.unionByName(part)
-    names = F.array(*map(F.lit, labels))
-    predictions = combined.select("fold", names[F.col(label)].alias("actual"), "predicted")
-    return materialize(predictions, "fold-predictions")  # summaries read it more than once
+    return materialize(combined, "fold-predictions")  # summaries read it more than once
 
 
 def expectation_check(predictions: DataFrame) -> DataFrame:
