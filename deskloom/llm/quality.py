@@ -4,9 +4,13 @@ Base counts of every whole text are computed in the row. Each (lang, source) gro
 KLL quantile sketches of three measures; the sketches of a language's sources merge to its
 own, and those to one for the corpus, so a group below ``LEAST_ROWS`` rows uses the next wider
 one. A text is kept if it passes the base rule and each measure stays below its fence:
-``high + REACH * max(high - median, tie)`` with the group's quantile ``HIGH``. That quantile has to
-lie below the poor texts of a group; the tie only matters where it equals the median. ``FEW``
-symbols or repeated lines are no outlier, however short the text.
+``high + reach * max(high - median, tie)`` with the group's quantile ``HIGH``, which has to lie
+below the poor texts of a group.
+
+The measures are logarithms. Rates count half an event and one more word (or line), so a text
+without symbols has a rate that its length allows, not zero: quantiles of a group differ although
+most of its texts hold no symbol, the fence follows from them, and a symbol or two in a short
+text is no outlier. The tie only matters where quantiles are equal, in groups of like texts.
 
 Sketches are partial aggregates, so a hot source costs one small state per task. The fences
 are one row per group and join back by null-safe keys.
@@ -28,11 +32,9 @@ from deskloom.llm.common import written
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rows that a group needs for fences of its own; size of a sketch's levels.
 LEAST_ROWS, SKETCH_K = 200, 400
-HIGH, REACH, FEW = 0.8, 8.0, 2
-#: Measure: distance from the median that counts where the upper quantile is tied with it.
-MEASURES = {"symbol_rate": 0.01, "dup_line_rate": 0.01, "word_length": 0.05}
-#: Measure: the count it comes from.
-COUNTED = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines"}
+HIGH = 0.8
+#: Measure: reach of its fence, and least distance of the quantiles.
+MEASURES = {"symbol_rate": (3.5, 0.1), "dup_line_rate": (3.5, 0.1), "word_length": (8.0, 0.01)}
 
 _SPACES = " \t\n\x0b\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -118,20 +120,19 @@ def base_failed() -> Column:
 
 
 def _measures() -> dict[str, Column]:
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return {
-        "symbol_rate": F.col("n_symbols") / words,
-        "dup_line_rate": F.col("n_dup_lines") / lines,
-        "word_length": F.col("word_chars") / words,
+        "symbol_rate": F.log((F.col("n_symbols") + 0.5) / (F.col("n_words") + 1)),
+        "dup_line_rate": F.log((F.col("n_dup_lines") + 0.5) / (F.col("n_lines") + 1)),
+        "word_length": F.log(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))),
     }
 
 
-def _fence(sketch: Column, tie: float, reach: float) -> Column:
+def _fence(sketch: Column, reach: float, tie: float) -> Column:
     middle, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, HIGH))
     return high + reach * F.greatest(high - middle, F.lit(tie))
 
 
-def fences(measured: DataFrame, lang: str, source: str, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+def fences(measured: DataFrame, lang: str, source: str, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(lang, source, one fence per measure) of each group of ``measured``."""
     sketch = [F.kll_sketch_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in MEASURES]
     merge = [F.kll_merge_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in MEASURES]
@@ -148,7 +149,7 @@ def fences(measured: DataFrame, lang: str, source: str, reach: float = REACH, le
 
     def fenced(df: DataFrame, level: str) -> DataFrame:
         wide = F.col("n") >= (least_rows if level != "corpus" else 1)
-        each = [F.when(wide, _fence(F.col(m), d, reach)).alias(f"{level}_{m}") for m, d in MEASURES.items()]
+        each = [F.when(wide, _fence(F.col(m), *how)).alias(f"{level}_{m}") for m, how in MEASURES.items()]
         return df.select(*[c for c in df.columns if c.startswith("g_")], *each)
 
     by_group, by_lang = fenced(groups, "group"), fenced(langs, "lang").withColumnRenamed("g_lang", "l_lang")
@@ -179,8 +180,7 @@ def judged(
     same = F.col("r_lang").eqNullSafe(F.col("g_lang")) & F.col("r_source").eqNullSafe(F.col("g_source"))
     below = ~F.col("base_failed")
     for name in MEASURES:
-        inside = F.coalesce(F.col(name) <= F.col(f"{name}_fence"), F.lit(True))
-        below = below & (inside | (F.col(COUNTED[name]) <= FEW) if name in COUNTED else inside)
+        below = below & F.coalesce(F.col(name) <= F.col(f"{name}_fence"), F.lit(True))
     return measured.join(limits, same, "left").select("row", *COUNTS, "base_failed", below.alias("kept"))
 
 

@@ -77,26 +77,67 @@ def test_fences_follow_the_group(spark):
 
 
 def test_fences_follow_the_spread(spark):
-    """Outliers of a narrow source go, the same values stay in a wide one, poor texts don't lift a fence."""
+    """The same symbols go in a source of like texts and stay in a mixed one; poor texts lift no fence."""
 
-    def body(letters: float, symbols: int) -> str:
-        words = [f"{i:03d}{'x' * int(letters + (i % 10) / 10)}" for i in range(100)]
-        return " ".join(words) + " " + "#" * symbols
+    def body(words: int, symbols: int) -> str:
+        return " ".join(f"plain{i}" for i in range(words)) + " " + "#" * symbols
 
     rows, wanted = [], set()
-    for source, wide in (("narrow", 0.2), ("wide", 2.0)):
+    for source, spread in (("narrow", 10), ("wide", 1500)):
         for i in range(300):
-            rows.append((len(rows), body(3 + wide * (i % 20) / 20, (i % 3) * (wide > 1) * 9), "en", source))
+            rows.append((len(rows), body(200 + spread * (i % 20) // 20, 0), "en", source))
             wanted.add(rows[-1][0])
-        for letters, symbols in ((4.4, 0), (3.1, 20)):
-            rows.append((len(rows), body(letters, symbols), "en", source))
-            wanted |= {rows[-1][0]} if wide > 1 else set()
-        rows += [(len(rows) + i, body(3, 300), "en", source) for i in range(36)]
+        rows.append((len(rows), body(300, 12), "en", source))
+        wanted |= {rows[-1][0]} if source == "wide" else set()
+        rows.append((len(rows), body(190, 0), "en", source))
+        wanted.add(rows[-1][0])
+        rows += [(len(rows) + i, body(300, 300), "en", source) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r[0] for r in quality.judged(df, ["doc_id"]).filter("kept").select("row.doc_id").collect()}
     assert kept == wanted
 
 
+def plain_verdicts(rows, least_rows=quality.LEAST_ROWS):
+    """rows (id, text, lang, source) -> id: kept, from exact quantiles of lists."""
+    import math
+
+    measured, groups = {}, {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, repeated, _, failed = brute.base_counts(text)
+        lines = sum(bool(brute.SPACED.search(x)) for x in (text or "").split("\n"))
+        if not failed:
+            each = (math.log((symbols + 0.5) / (n + 1)), math.log((repeated + 0.5) / (lines + 1)), math.log(chars / n))
+            measured[i] = each
+            for g in ((lang, source), (lang,), ()):
+                groups.setdefault(g, []).append(each)
+
+    def fence(g, m):
+        values = sorted(v[m] for v in groups[g])
+        middle, high = (values[math.ceil(q * len(values)) - 1] for q in (0.5, quality.HIGH))
+        reach, tie = list(quality.MEASURES.values())[m]
+        return high + reach * max(high - middle, tie)
+
+    out = {}
+    for i, _, lang, source in rows:
+        fit = next((g for g in ((lang, source), (lang,)) if len(groups.get(g, ())) >= least_rows), ())
+        out[i] = i in measured and all(measured[i][m] <= fence(fit, m) + 1e-12 for m in range(3))
+    return out
+
+
+def test_kept_matches_exact_quantiles(spark):
+    """The registered query against lists; groups of 200 rows and more are held whole by their sketch."""
+    from deskloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"]: r["kept"] for r in QUERIES["op2_quality"](spark, sf).collect()}
+    assert got == plain_verdicts(rows)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    failed = {i for i, t, *_ in rows if brute.base_counts(t)[5]}
+    assert not any(got[i] for i, q in labels.items() if q == 0)
+    assert all(got[i] for i, q in labels.items() if q == 1 and i not in failed)
+
+
 def test_simhash(docs):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
