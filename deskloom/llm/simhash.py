@@ -7,7 +7,10 @@ which makes a posting list exactly the fingerprints that have reached the count
 those positions; tallies below it are never formed. Within a list, every fingerprint still
 waiting is compared with those already reached (verification by bits), and what is reached
 stops waiting: a list of m near copies costs about m comparisons and yields m - 1 links, so no
-group's pairs are ever written out. Equal fingerprints are merged before.
+group's pairs are ever written out. Equal fingerprints are merged before. A list of more than
+``LONG`` members is not compared in one task: its members are dealt into blocks, and each pair of
+blocks is a task of its own, so members that share the bytes but differ in more bits cost no task
+more than ``LONG`` squared.
 
 Links are joined to components by rounds of joins on (fingerprint, parent) tables.
 
@@ -32,6 +35,8 @@ from deskloom.llm.common import map_texts, written
 
 #: Words of a shingle, hash seed, bytes of a fingerprint, most differing bits of a link.
 SHINGLE, SEED, BYTES, MOST_BITS = 4, 42, 8, 4
+#: Members of a posting list that one task compares.
+LONG = 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -65,28 +70,34 @@ def fingerprints(docs: DataFrame, keep: Sequence[str], text: str = "text", shing
     return map_texts(docs, text, keep, [T.StructField("fp", T.LongType())], make)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Fingerprints of each posting list with two or more; a list may span batches."""
+def _groups(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[tuple, int, np.ndarray | None]]:
+    """(name, size, fingerprints) of each posting list with two or more, which may span batches;
+    the columns before the last name it. Of lists above ``longest`` only the size is kept."""
     held: list[np.ndarray] = []
-    last = None
+    last, size = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        mask, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        cut = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-        cut = np.concatenate(([0], cut, [len(fp)]))
+        *names, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        changed = np.zeros(len(fp) - 1, bool)
+        for c in names:
+            changed |= np.diff(c) != 0
+        cut = np.concatenate(([0], np.flatnonzero(changed) + 1, [len(fp)]))
         many = np.diff(cut) > 1
         many[0] = many[-1] = True  # these may have company in a neighbouring batch
         for a, b in zip(cut[:-1][many], cut[1:][many]):
-            name = (mask[a], key[a])
+            name = tuple(int(c[a]) for c in names)
             if name != last:
-                if sum(map(len, held)) > 1:
-                    yield np.concatenate(held)
+                if size > 1:
+                    yield last, size, np.concatenate(held) if size <= longest else None
+                held, size = [], 0
+            last, size = name, size + int(b - a)
+            if size <= longest:
+                held.append(fp[a:b])
+            else:
                 held = []
-            held.append(fp[a:b])
-            last = name
-    if sum(map(len, held)) > 1:
-        yield np.concatenate(held)
+    if size > 1:
+        yield last, size, np.concatenate(held) if size <= longest else None
 
 
 def _links(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -119,26 +130,47 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     index = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select(
         "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
-    lists_ = index.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    found = written(_compared(index, ["mask", "key"], most, LONG), "list-links")
+    near = found.filter("parent IS NOT NULL").select("node", "parent")
+    long = found.filter("parent IS NULL").select("mask", "key", "size")
+    if not long.isEmpty():
+        # Every two members meet in the pair of their blocks.
+        blocks = F.ceil(F.col("size") / F.lit(LONG // 2)).cast("int")
+        dealt = index.join(long, ["mask", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+        met = dealt.select("mask", "key", "own", other, "fp")
+        met = met.select("mask", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        again = _compared(met, ["mask", "key", "a", "b"], most, 1 << 62)
+        near = near.unionByName(again.select("node", "parent"))
+    return near.distinct()
+
+
+def _compared(lists: DataFrame, names: Sequence[str], most: int, longest: int) -> DataFrame:
+    """(node, parent) links of the lists (``names``, fp), and (mask, key, size) of those above ``longest``."""
+    ordered = lists.select(*names, "fp").repartition(*names).sortWithinPartitions(*names)
 
     def run(batches):
-        nodes, parents = [], []
-        for group in _groups(batches):
+        nodes, parents, long = [], [], []
+        for name, size, group in _groups(batches, longest):
+            if group is None:
+                long.append((*name[:2], size))
+                continue
             for node, parent in _links(group, most):
                 nodes.append(node)
                 parents.append(parent)
             if len(nodes) > 50_000:
-                yield _pairs(nodes, parents)
+                yield _pairs(nodes, parents, [])
                 nodes, parents = [], []
-        yield _pairs(nodes, parents)
+        yield _pairs(nodes, parents, long)
 
-    return lists_.mapInArrow(run, "node long, parent long").distinct()
+    return ordered.mapInArrow(run, "node long, parent long, mask long, key long, size long")
 
 
-def _pairs(nodes: list[int], parents: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(nodes, pa.int64()), pa.array(parents, pa.int64())], names=["node", "parent"]
-    )
+def _pairs(nodes: list[int], parents: list[int], long: list[tuple]) -> pa.RecordBatch:
+    none, gap = [None] * len(nodes), [None] * len(long)
+    columns = [nodes + gap, parents + gap, *(none + [x[i] for x in long] for i in range(3))]
+    names = ["node", "parent", "mask", "key", "size"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -175,6 +175,22 @@ def test_links_chain_and_block(spark):
     assert {i: got[x] for i, x in enumerate(signed)} == brute.linked(prints)
 
 
+@pytest.mark.parametrize("long", [2, 5, 1 << 14])
+def test_long_lists_are_split(spark, monkeypatch, long):
+    """Lists above the size of a task give the same components, of near and of far members."""
+    import random
+
+    monkeypatch.setattr(simhash, "LONG", long)
+    rng = random.Random(long)
+    prints = [rng.getrandbits(32) << 32 | 0x12345678 for _ in range(40)]  # four bytes in common
+    for p in prints[:10]:
+        prints += [p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(3)]
+    signed = [x - 2**64 if x >= 2**63 else x for x in prints]
+    marked = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in simhash.fingerprint_components(marked, "doc_id").collect()}
+    assert {i: got[x] for i, x in enumerate(signed)} == brute.linked(dict(enumerate(prints)))
+
+
 def test_decontaminate(docs, items):
     found = decontaminate.matches(docs, items, ["doc_id", "text", "found"])
     wanted = {}
