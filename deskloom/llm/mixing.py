@@ -33,7 +33,6 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,8 +166,12 @@ class Rates:
         return replay(rounded(p), self.pulls, self.momenta, self.step, self.ridge, self.most)[0]
 
     def column(self, p: Column) -> Column:
-        rate = F.pandas_udf(lambda x: pd.Series(self.of(np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1)))), "double")
-        return rate(p)
+        size = len(self.wanted)
+
+        def rate(x: pa.Array) -> pa.Array:
+            return pa.array(self.of(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)), pa.float64())
+
+        return F.arrow_udf(rate, "double")(p)
 
 
 def rounded(p: np.ndarray) -> np.ndarray:

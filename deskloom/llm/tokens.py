@@ -37,7 +37,7 @@ from deskloom.llm.common import written
 from deskloom.session import scratch_path
 
 #: Ids of a sequence, sequences of a record batch, pieces of text that a worker remembers.
-SEQUENCE, BATCH, REMEMBERED = 2048, 256, 1_000_000
+SEQUENCE, BATCH, REMEMBERED = 2048, 256, 500_000
 
 _SPAN = pa.struct([("doc_id", pa.int64()), ("first", pa.bool_()), ("at", pa.int32()), ("n", pa.int32())])
 _ENCODERS: dict[str, Encoder] = {}
