@@ -17,6 +17,9 @@ from deskloom.llm import decontaminate, mixing, quality, simhash, tokens
 from deskloom.llm.common import prepare, table, written
 from deskloom.llm.queries import ANCHOR, DOMAIN, END_ID, WEIGHTS, vocabulary
 
+#: Bytes of text that a worker holds in the stages whose words are many small objects.
+BATCH = 6 << 20
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their group's fences. Nulls in lang or source are a
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that with the least id, null ids last; of
     repeated rows one. Null and wordless texts are one component."""
-    prepare(spark)
+    prepare(spark, BATCH)
     return simhash.keep_one(docs)
 
 
@@ -48,7 +51,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, listed per document from the written files in order of the id, null ids
     first; a null text is its end id; rows that stage four repeats are listed as often."""
-    prepare(spark)
+    prepare(spark, BATCH)
     return tokens.tokenized(docs, vocabulary(), END_ID)
 
 
