@@ -286,16 +286,20 @@ def benchmark_metrics(spark, sf):
     return E.benchmark_metrics(materialize(_systems(spark, sf), "systems"))
 
 
-@query("system_replies")
-def system_replies(spark, sf):
-    """The three systems with the fitted text model; its weights are not SQL."""
-    golden = _golden(spark, sf)
-    train = turns(spark, sf).filter("role <> 'assistant'").select(
+def training_turns(spark, sf):
+    """(case_id, text, intent) that the fitted system learns from."""
+    return turns(spark, sf).filter("role <> 'assistant'").select(
         F.concat_ws("-", "conv_id", "turn").alias("case_id"),
         F.concat(F.col("text"), F.lit(" again")).alias("text"),
         pick(R.TAXONOMY, F.col("conv_id")).alias("intent"),
     )
-    scored = E.score_replies(E.system_replies(golden, train, materialize(vault(spark, sf), "vault")))
+
+
+@query("system_replies")
+def system_replies(spark, sf):
+    """The three systems with the fitted text model; its weights are not SQL."""
+    store = materialize(vault(spark, sf), "vault")
+    scored = E.score_replies(E.system_replies(_golden(spark, sf), training_turns(spark, sf), store))
     return scored.select("model", "case_id", "actual", "predicted", "reply", "suppressed", "overall")
 
 

@@ -205,6 +205,20 @@ def expand_union(spark, sf):
     ).select(F.sha2("text", 256).alias("text_hash"), "intent", "source")
 
 
+@query(
+    "array_table",
+    """SELECT doc_id, lang, CASE WHEN doc_id % 7 <> 3 THEN source END AS source, text, length(text)::INT AS chars
+    FROM documents""",
+)
+def array_table(spark, sf):
+    """A held-out split as files of one JSON array each, read back whole."""
+    path = scratch_path(spark, "split-json")
+    source = F.when(F.col("doc_id") % 7 != 3, F.col("source")).alias("source")
+    writers.write_array(table(spark, sf, "documents").select("doc_id", "lang", source, "text"), path, 2000)
+    back = readers.read_table(spark, path, "doc_id long, lang string, source string, text string")
+    return back.withColumn("chars", F.length("text"))
+
+
 @query(
     "intent_counts",
     "SELECT lang, count(*) AS n FROM documents GROUP BY ROLLUP (lang)",

@@ -104,14 +104,10 @@ def decide(
     searched once, however many cases repeat it. ``drafts`` is (case_id, draft) from an
     external generator; a missing or rule-breaking draft is replaced by the best template.
     """
-    triaged = materialize(
-        triage_cases(cases, classify, verdicts).withColumn("query_key", fingerprint(F.col("text"))),
-        "triaged",
-    )
+    checked = triage_cases(cases, classify, verdicts).withColumn("query_key", fingerprint(F.col("text")))
+    triaged = materialize(fall_back_group(checked, vault.select("intent")), "triaged")
     blocked = F.col("safety.is_hazard")
-    targeted = materialize(
-        fall_back_group(triaged.filter(~blocked), vault.select("intent")), "targeted"
-    )
+    targeted = triaged.filter(~blocked)
     queries = keep_first(
         targeted.select("query_key", "text", "target").withColumn(
             "_k", F.concat_ws("|", "query_key", "target")

@@ -68,11 +68,10 @@ def template_replies(
     """(case_id, predicted, reply, suppressed): every case is classified, hazards get no
     reply, all others the filled template of their best precedent, whatever their route."""
     cases = golden.select("case_id", "text", F.lit("@user").alias("handle"))
-    triaged = materialize(
-        triage_cases(cases, classify).withColumn("query_key", fingerprint(F.col("text"))), "triaged"
-    )
+    checked = triage_cases(cases, classify).withColumn("query_key", fingerprint(F.col("text")))
+    triaged = materialize(fall_back_group(checked, vault.select("intent")), "triaged")
     hazard = F.col("safety.is_hazard")
-    targeted = materialize(fall_back_group(triaged.filter(~hazard), vault.select("intent")), "targeted")
+    targeted = triaged.filter(~hazard)
     queries = targeted.groupBy("query_key", "target").agg(F.min("text").alias("text"))
     found = retrieve(queries, vault, k).select("query_key", "target", "matches", "top_similarity")
     zoned = targeted.join(found, ["query_key", "target"], "left").withColumn(

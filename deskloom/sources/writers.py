@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.operators.metrics import counts_with_total
+from deskloom.session import materialize
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
@@ -44,3 +48,27 @@ def vault_metadata(vault: DataFrame, source: str, max_per_intent: int | None = N
 def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Result table (split, expanded set, metrics, agreement) to a run's own path."""
     df.write.format(fmt).mode("overwrite").save(path)
+
+
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array from one JSON object a row; an empty array without rows."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for value in batch.column(0).to_pylist():
+            lines.append(before + value)
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+
+def write_array(df: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Files that hold one JSON array each, of about ``rows`` rows.
+
+    A reader takes such a file whole, so its size has to be bounded; rows are dealt out evenly
+    and pass a task one batch at a time. Columns without a value are left out of their object.
+    """
+    stored = materialize(df, "array-rows")  # counted and dealt, computed once
+    files = max(-(-stored.count() // rows), 1)
+    objects = stored.select(F.to_json(F.struct(*stored.columns)).alias("value")).repartition(files)
+    objects.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)

@@ -10,10 +10,13 @@ import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from deskloom.functions.rules import STOP_WORDS
+from deskloom.catalog import job_queries as J
+from deskloom.functions.rules import STOP_WORDS, TAXONOMY
 from deskloom.operators import learners as L
 from deskloom.operators.sampling import stratified_folds, stratified_split
+from deskloom.operators.matching import drop_leaked
 from deskloom.plans import evaluate as E
+from parity import connect
 
 SF = "/root/testdata/sf0.01"
 
@@ -144,3 +147,36 @@ def test_embedding_queries(spark):
     summary = {(r.metric, r.label): r for r in entry.queries()["cross_validation"](spark, SF).collect()}
     assert summary["accuracy", "*"].mean == pytest.approx(np.mean(right), abs=5e-3)
     assert summary["accuracy", "*"]["std"] == pytest.approx(np.std(right), abs=5e-3)
+
+
+def test_system_replies(spark):
+    """The fitted system from its exported coefficients; every other value from the benchmark's SQL."""
+    got = {(r.model, r.case_id): r for r in entry.queries()["system_replies"](spark, SF).collect()}
+    sql = f"WITH {J.SYSTEMS_SQL} SELECT model, case_id, actual, predicted, reply, suppressed, overall FROM scored"
+    plain = connect(SF).sql(sql).fetchall()
+    assert set(got) == {row[:2] for row in plain}
+    for model, case, actual, predicted, reply, suppressed, overall in plain:
+        r = got[model, case]
+        assert (r.actual, r.reply, r.suppressed) == (actual, reply, suppressed)
+        assert r.overall == pytest.approx(overall) and (model == "simple" or r.predicted == predicted)
+
+    golden = J._golden(spark, SF)
+    train = L.materialize(drop_leaked(J.training_turns(spark, SF), golden), "train")
+    held = {r.text for r in golden.collect()}
+    rows = train.collect()
+    assert len(rows) == sum(r.text not in held for r in J.training_turns(spark, SF).collect())
+    labels = list(TAXONOMY)
+    numbered = train.withColumn("_y", F.array_position(F.array(*map(F.lit, labels)), F.col("intent")) - 1)
+    model = L.fit_text_model(numbered, "case_id", "text", "_y", labels)
+    vocabulary = vocabulary_of([grams(r.text) for r in rows])
+    x = matrix([grams(r.text) for r in rows], vocabulary, model.size)
+    check_fit(model.model, x, [labels.index(r.intent) for r in rows], 1 / len(rows), 2e-3)
+    cases = golden.collect()
+    p = softmax(model.model, matrix([grams(r.text) for r in cases], vocabulary, model.size))
+    sure = 0
+    for r, each in zip(cases, p):
+        first, second = np.sort(each)[::-1][:2]
+        if first - second > 1e-3:
+            sure += 1
+            assert got["simple", r.case_id].predicted == labels[each.argmax()]
+    assert sure > len(cases) / 2

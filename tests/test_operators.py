@@ -1,5 +1,6 @@
 """Operators on small fixtures, against brute force where SQL is no help."""
 
+import json
 import math
 import random
 from collections import defaultdict
@@ -21,7 +22,7 @@ from deskloom.plans.cases import extract_cases
 from deskloom.plans.decide import decide
 from deskloom.plans.expand import batch_labels
 from deskloom.plans.vault import build_vault_from_cases
-from deskloom.sources import readers
+from deskloom.sources import readers, writers
 from deskloom.streaming import flows
 
 
@@ -421,3 +422,19 @@ def test_dedup_stream_keeps_what_lies_outside_the_horizon(spark, tmp_path, files
     stream = spark.readStream.schema("id long, ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(source)
     flows.run_available(flows.dedup_stream(stream, "text", "ts", "id"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 3, 4, 6, 7, 8]
+
+
+def test_array_files(spark, tmp_path):
+    """Every file is one JSON array; rows, nulls and odd characters survive; no rows, an empty array."""
+    schema = "id long, text string, kind string"
+    texts = ['plain', 'two\nlines', 'quote " and \\ back', '', None, '[{"id": 1}]', 'é 漢 🙂', '  end']
+    rows = [(i, texts[i % len(texts)], None if i % 3 else "k") for i in range(97)] + [(None, None, None)]
+    for name, some in (("rows", rows), ("none", [])):
+        path = str(tmp_path / name)
+        writers.write_array(spark.createDataFrame(some, schema), path, rows=20)
+        files = list((tmp_path / name).glob("part-*"))
+        arrays = [json.loads(f.read_text(encoding="utf-8")) for f in files]
+        assert all(isinstance(a, list) for a in arrays) and sum(map(len, arrays)) == len(some)
+        assert len(files) == (5 if some else 1) and max(map(len, arrays)) <= 24
+        back = [tuple(r) for r in readers.read_table(spark, path, schema).collect()]
+        assert sorted(back, key=repr) == sorted(some, key=repr)
