@@ -64,7 +64,11 @@ def retrieve(
     index = index or build_index(
         vault.select("pair_id", "intent", "customer_query"), "pair_id", "intent", "customer_query", k
     )
-    found = lexical_matches(queries, index, "query_key", "target", "text", k)
+    # Sums per (query, item) move through shuffles: a number for each query in place of its digest.
+    numbered = materialize(
+        queries.select("query_key", "text", "target", F.monotonically_increasing_id().alias("query")), "queries"
+    )
+    found = lexical_matches(numbered, index, "query", "target", "text", k)
     pairs = vault.select(
         F.col("pair_id").alias("item"), "case_id", "customer_query", "agent_reply"
     )
@@ -79,11 +83,13 @@ def retrieve(
     )
     return (
         found.join(pairs, "item")
-        .groupBy(F.col("query").alias("query_key"), F.col("grp").alias("target"))
+        .groupBy("query")
         .agg(
             F.array_sort(F.collect_list(match)).alias("matches"),
             F.max("score").alias("top_similarity"),
         )
+        .join(numbered.select("query", "query_key", "target"), "query")
+        .select("query_key", "target", "matches", "top_similarity")
     )
 
 
