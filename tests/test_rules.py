@@ -16,6 +16,7 @@ from deskloom.functions.safety import assess_safety
 
 HAZARD, CLEARED, PASS = "SAFETY_HAZARD_DETECTED", "SAFE_SLANG_NEGATION_CLEARED", "SAFE_PASS"
 
+# Example sentences with a given outcome; the rules are anchored by them.
 SAFETY = [
     ("My phone charger started smoking and sparking!", HAZARD),
     ("The battery swelled up and the screen shattered!", HAZARD),
