@@ -1,7 +1,8 @@
 """TF-IDF per group, lexical similarity search, dense similarity search.
 
-The lexical index and its search are relational: postings with the greatest weight of every
-term bound what an item can score, so most pairs are never looked at; see ``lexical_matches``.
+The lexical index is relational. Its search takes a block of queries and one of items per task:
+the greatest weight of every term bounds what an item can score, so most pairs are never looked
+at, and none but each query's best leave the task; see ``lexical_matches``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +34,14 @@ def tokens_of(text: Column, stops: Sequence[str], token: str = TOKEN) -> Column:
 def explode_terms(
     df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str = TOKEN
 ) -> DataFrame:
-    """(item, grp, term, tf) of every text; bigrams are formed after stop words went."""
+    """(item, grp, term, tf) of every text; bigrams are formed after stop words went.
+
+    Texts are dealt out by (item, grp), so their terms are counted where they are."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = df.select(item, group, text).repartition(tasks, item, group)
     return (
-        _grams(df, item, group, text, stops, token)
+        _grams(dealt, item, group, text, stops, token)
         .select("item", "grp", F.explode("grams").alias("term"))
         .groupBy("item", "grp", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -45,7 +53,7 @@ def document_frequencies(
 ) -> DataFrame:
     """(grp, term, df): each text counts a term once, so one aggregate with partial sums does."""
     return (
-        _grams(df, item, group, text, stops, token)
+        _grams(spread(df.select(item, group, text)), item, group, text, stops, token)
         .select("grp", F.explode(F.array_distinct("grams")).alias("term"))
         .groupBy("grp", "term")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -56,8 +64,8 @@ def _grams(
     df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str
 ) -> DataFrame:
     """(item, grp, grams): words and pairs of words of every text."""
-    tokens = spread(df.select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(text).alias("text"))).select(
-        "item", "grp", tokens_of(F.col("text"), stops, token).alias("tokens")
+    tokens = df.select(
+        F.col(item).alias("item"), F.col(group).alias("grp"), tokens_of(F.col(text), stops, token).alias("tokens")
     )
     following = F.slice(F.col("tokens"), F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0)))
     grams = F.concat(
@@ -116,7 +124,8 @@ def flat(weighted: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Written tables of one precedent store."""
+    """Tables of one precedent store; ``vectors``, ``idf`` and ``groups`` are written, the others
+    read these."""
 
     postings: DataFrame  # grp, term, item, w
     vectors: DataFrame  # item, grp, terms
@@ -148,9 +157,9 @@ def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: Da
     groups = materialize(sizes.join(padding, "grp"), "index-groups")
     idf = materialize(idf_table(frequencies, groups.select("grp", "n")), "index-idf")
     vectors = materialize(weigh(terms, idf), "index-vectors")
-    impacts = materialize(keyed(vectors), "index-impacts")
+    impacts = keyed(vectors)
     bounds = impacts.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
-    return LexicalIndex(flat(vectors), vectors, impacts, materialize(bounds, "index-bounds"), idf, groups)
+    return LexicalIndex(flat(vectors), vectors, impacts, bounds, idf, groups)
 
 
 def keyed(weighted: DataFrame) -> DataFrame:
@@ -174,6 +183,8 @@ def query_vectors(
 SEEDS, SEED_ITEMS = 8, 256
 #: Scores are rounded to four digits; what may round to the threshold counts as reaching it.
 MARGIN = 1e-4
+#: Weighed terms and rows that a block of queries or items holds about.
+BLOCK_TERMS, BLOCK_ROWS = 4_000_000, 16_384
 
 
 def lexical_matches(
@@ -198,76 +209,155 @@ def lexical_matches(
             query_vectors(queries, item, group, text, index, stops), "query-vectors"
         )
     asked = queries.select(F.col(item).alias("query"), F.col(group).alias("grp"))
-    candidates, skipped = pruned_candidates(vectors, index, k, seeds)
-    return _rank(_completed(candidates, skipped, index), asked, index, k)
+    candidates, _ = pruned_candidates(vectors, index, k, seeds)
+    return _rank(candidates, asked, index, k)
+
+
+def _block_counts(weighted: DataFrame, name: str) -> DataFrame:
+    """(grp, ``name``): blocks that the texts of a group are cut into."""
+    by_terms = F.ceil(F.sum(F.size("terms")) / F.lit(BLOCK_TERMS))
+    by_rows = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))
+    return weighted.groupBy("grp").agg(F.greatest(by_terms, by_rows, F.lit(1)).cast("int").alias(name))
 
 
 def pruned_candidates(
     vectors: DataFrame, index: LexicalIndex, k: int = 3, seeds: int = SEEDS
 ) -> tuple[DataFrame, DataFrame]:
-    """((query, grp, item, score) of the pairs that may be among the best k, with the score so
-    far; (query, grp, key, w) of the terms that it lacks).
+    """((query, grp, item, score) of the pairs that may be among the best k; (grp, _qn, _in), the
+    blocks of queries and items of each group).
 
-    A term adds at most its own weight times the greatest weight of it in the group. The few
-    rare terms of a query that may add most are looked up first; the k-th best of these sums
-    bounds the k-th best score from below. Then the most frequent terms whose bounds stay below it
-    together are skipped: an item that shares no other term can't be among the best. The
-    postings of the remaining, rarer terms give sums; the k-th best of them is a higher bound, and
-    pairs that don't reach it even with all skipped terms go.
+    Queries and items of a group are cut into blocks, and a task takes one block of each. It
+    returns the best k items of the block for each query, so sums of other pairs stay in the
+    task; see ``_best_of_block``. What moves are the weighed texts, once for each block of the
+    other side.
     """
-    terms = (
-        keyed(vectors)
-        .join(index.bounds, ["grp", "key"])
-        .select(F.col("item").alias("query"), "grp", "key", "w", "df", (F.col("w") * F.col("top")).alias("most"))
+    queries = vectors.filter(F.col("item").isNotNull())
+    shape = materialize(
+        _block_counts(queries, "_qn").join(_block_counts(index.vectors, "_in"), "grp"), "search-blocks"
     )
-    query = Window.partitionBy("grp", "query")
-    telling = F.row_number().over(query.orderBy(F.col("most").desc(), "key"))
-    first = terms.filter(F.col("df") <= SEED_ITEMS).withColumn("_rn", telling).filter(F.col("_rn") <= seeds)
-    best = F.row_number().over(query.orderBy(F.col("score").desc()))
-
-    def reached(sums: DataFrame) -> DataFrame:
-        """(grp, query, floor): the k-th best of the sums, if there are as many."""
-        kept = sums.withColumn("_rn", best).filter(F.col("_rn") <= k).groupBy("grp", "query")
-        return kept.agg(F.when(F.count(F.lit(1)) == k, F.min("score") - MARGIN).alias("floor"))
-
-    frequent = query.orderBy(F.col("df").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
-    planned = materialize(
-        terms.join(reached(_sums(first, index)), ["grp", "query"], "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-        .withColumn("skipped", F.sum("most").over(frequent) < F.col("floor")),
-        "query-plan",
+    keys = F.transform("terms", lambda t: F.xxhash64(t["term"])).alias("keys")
+    weights = F.transform("terms", lambda t: t["w"]).alias("w")
+    grp = F.col("grp").alias("grp")  # a column of its own: an index may be searched with its own items
+    left = queries.join(shape, "grp").select(
+        grp,
+        F.pmod(F.xxhash64("item"), F.col("_qn")).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("ib"),
+        F.col("item").alias("query"),
+        keys,
+        weights,
     )
-    more = F.sum(F.when(F.col("skipped"), F.col("most")).otherwise(0.0)).alias("rest")
-    rest = planned.groupBy("grp", "query").agg(more)
-    partial = materialize(_sums(planned.filter(~F.col("skipped")), index), "partial-sums")
-    bounded = partial.join(rest.join(reached(partial), ["grp", "query"]), ["grp", "query"])
-    few = F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))
-    candidates = bounded.filter(few)
-    skipped = planned.filter("skipped").select("query", "grp", "key", "w")
-    return materialize(candidates.select("query", "grp", "item", "score"), "candidates"), skipped
-
-
-def _sums(terms: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(grp, query, item, score): products of the terms' weights, summed."""
-    postings = index.impacts.withColumnRenamed("w", "_w")
-    return (
-        terms.join(postings, ["grp", "key"])
-        .groupBy("grp", "query", "item")
-        .agg(F.sum(F.col("w") * F.col("_w")).alias("score"))
+    right = index.vectors.join(shape, "grp").select(
+        "grp",
+        F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)).alias("qb"),
+        F.pmod(F.xxhash64("item"), F.col("_in")).cast("int").alias("ib"),
+        "item",
+        keys,
+        weights,
+    )
+    schema = T.StructType(
+        [left.schema["query"], left.schema["grp"], right.schema["item"], T.StructField("score", T.DoubleType())]
     )
 
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if len(a) and len(b):
+            b = b.take(pc.sort_indices(b, sort_keys=[("item", "ascending")], null_placement="at_start"))
+            query, item, score = _best_of_block(_flat(a), _flat(b), k, seeds)
+        else:
+            query, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        columns = [a["query"].take(query), a["grp"].take(query), b["item"].take(item), pa.array(score)]
+        return pa.Table.from_arrays(columns, names=["query", "grp", "item", "score"])
 
-def _completed(candidates: DataFrame, skipped: DataFrame, index: LexicalIndex) -> DataFrame:
-    """``candidates`` with the skipped terms added."""
-    postings = index.impacts.withColumnRenamed("w", "_w")
-    missing = (
-        candidates.select("query", "grp", "item")
-        .join(skipped, ["grp", "query"])
-        .join(postings, ["grp", "key", "item"])
-        .select("query", "grp", "item", (F.col("w") * F.col("_w")).alias("score"))
-    )
-    both = candidates.unionByName(missing)
-    return both.groupBy("query", "grp", "item").agg(F.sum("score").alias("score"))
+    together = ["grp", "qb", "ib"]
+    found = left.groupBy(*together).cogroup(right.groupBy(*together)).applyInArrow(run, schema)
+    return materialize(found, "candidates"), shape
+
+
+def _flat(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms of every row, their keys, their weights) of a block."""
+    keys = block["keys"].combine_chunks()
+    sizes = keys.value_lengths().to_numpy(zero_copy_only=False)
+    weights = block["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return sizes, keys.flatten().to_numpy(zero_copy_only=False), weights
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th best value; below all if there are fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+
+
+def _best_of_block(
+    queries: tuple[np.ndarray, np.ndarray, np.ndarray], items: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, seeds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score) by place in the block: the best k items that share a term, for each query.
+
+    A term adds at most its own weight times the greatest weight of it in the block. The few
+    rare terms of a query that may add most are looked up first; the k-th best of these sums
+    bounds the k-th best score from below. Then the most frequent terms whose bounds stay below it
+    together are skipped: an item that shares no other term can't be among the best. The
+    postings of the remaining, rarer terms give sums; the k-th best of them is a higher bound, and
+    only items that reach it with all skipped terms get these added.
+    """
+    sizes, keys, weights = items
+    order = np.argsort(keys, kind="stable")
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]  # postings, items ascending
+    weight, sorted_ = weights[order], keys[order]
+    if not len(sorted_):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    start = np.concatenate(([0], np.flatnonzero(np.diff(sorted_)) + 1))
+    known, df = sorted_[start], np.diff(np.append(start, len(sorted_)))
+    top = np.maximum.reduceat(weight, start)
+
+    def sums(terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(sizes))
+        few = df[terms] <= 64
+        size = df[terms[few]]
+        at = np.repeat(start[terms[few]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        if len(at):
+            score += np.bincount(row[at], np.repeat(w[few], size) * weight[at], minlength=len(sizes))
+        for t, x in zip(terms[~few].tolist(), w[~few].tolist()):
+            score[row[start[t] : start[t] + df[t]]] += x * weight[start[t] : start[t] + df[t]]
+        return score
+
+    def scored(terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, their scores): at least the best k of those that share a term."""
+        most = w * top[terms]
+        rare = np.flatnonzero(df[terms] <= SEED_ITEMS)
+        rare = rare[np.argsort(-most[rare], kind="stable")[:seeds]]
+        floor = _kth(sums(terms[rare], w[rare]), k) - MARGIN if len(rare) else 0.0
+        frequent = np.argsort(-df[terms], kind="stable")
+        skipped = frequent[np.cumsum(most[frequent]) < floor]
+        left = np.setdiff1d(np.arange(len(terms)), skipped)
+        score = sums(terms[left], w[left])
+        if not len(skipped):
+            some = np.flatnonzero(score)
+            return some, score[some]
+        some = np.flatnonzero(score + most[skipped].sum() >= max(floor, _kth(score, k) - MARGIN))
+        total = score[some]
+        for t, x in zip(terms[skipped].tolist(), w[skipped].tolist()):
+            listed = row[start[t] : start[t] + df[t]]
+            place = np.minimum(np.searchsorted(listed, some), len(listed) - 1)
+            hit = listed[place] == some
+            total[hit] += x * weight[start[t] + place[hit]]
+        return some, total
+
+    sizes_, asked, w = queries
+    place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    shared = known[place] == asked
+    ends = np.cumsum(sizes_)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, (a, b) in enumerate(zip((ends - sizes_).tolist(), ends.tolist())):
+        of = shared[a:b]
+        if not of.any():
+            continue
+        some, score = scored(place[a:b][of], w[a:b][of])
+        rounded = np.round(score, 4)
+        near = np.flatnonzero(rounded >= _kth(rounded, k))
+        best = near[np.argsort(-rounded[near], kind="stable")[:k]]  # the lower item first among equals
+        found.append((np.full(len(best), i), some[best], score[best]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, item, score = (np.concatenate(c) for c in zip(*found))
+    return query, item, score
 
 
 def _rank(scores: DataFrame, asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:

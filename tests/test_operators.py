@@ -438,3 +438,18 @@ def test_array_files(spark, tmp_path):
         assert len(files) == (5 if some else 1) and max(map(len, arrays)) <= 24
         back = [tuple(r) for r in readers.read_table(spark, path, schema).collect()]
         assert sorted(back, key=repr) == sorted(some, key=repr)
+
+
+def test_only_the_best_of_a_block_leave_it(spark, monkeypatch):
+    """Texts that share most words: all pairs share terms, a task returns k rows for each query."""
+    rng = random.Random(4)
+    words = [f"c{j}" for j in range(25)]
+    items = [(i, "A", " ".join(rng.choices(words, k=14))) for i in range(150)]
+    monkeypatch.setattr(V, "BLOCK_ROWS", 60)
+    df = spark.createDataFrame(items, "id long, g string, t string")
+    index = V.build_index(df, "id", "g", "t")
+    candidates, shape = V.pruned_candidates(index.vectors, index, 3)
+    assert [(r["_qn"], r["_in"]) for r in shape.collect()] == [(3, 3)]
+    assert candidates.count() <= 3 * 3 * len(items)
+    got = {(r.query, r["rank"]): r.item for r in V.lexical_matches(df, index, "id", "g", "t", 3, vectors=index.vectors).collect()}
+    assert got == {(q, n): i for q, best in brute_scores(items, items, 3).items() for n, (i, _) in enumerate(best, 1)}
