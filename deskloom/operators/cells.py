@@ -25,6 +25,8 @@ from deskloom.session import materialize, spread
 SAMPLE, ROUNDS = 20_000, 12
 #: Rows of a part of a list, and of a block of queries.
 PART, BLOCK = 4096, 2048
+#: Vectors that a worker holds scores of at a time.
+CHUNK = 256
 #: Items that a list should hold about.
 LIST_ROWS = 64
 #: Queries that the number of probes is fitted on at most, and their recall that it has to reach.
@@ -65,6 +67,19 @@ def fit_centroids(items: DataFrame, cells: int, sample: int = SAMPLE, rounds: in
     return centroids
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray, n: int, chunk: int = CHUNK) -> np.ndarray:
+    """Places of the ``n`` nearest centroids of every row, best first; scores of ``chunk`` rows
+    are held at a time. Among equal scores the lower place goes first."""
+    near = np.zeros((len(x), n), np.int32)
+    for a in range(0, len(x), chunk) if n else ():
+        score = x[a : a + chunk] @ centroids.T
+        if n == 1:
+            near[a : a + chunk, 0] = score.argmax(axis=1)
+        else:
+            near[a : a + chunk] = np.argsort(-score, axis=1, kind="stable")[:, :n]
+    return near
+
+
 def _assigned(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """(id, grp, vec of unit length, cells): the ``probes`` nearest centroids of every vector."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
@@ -84,10 +99,9 @@ def _assigned(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
                 continue
             x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1))
             n = min(probes, len(known))
-            score = x @ known.T if n else np.zeros((len(x), 0))
-            near = np.argsort(-score, axis=1, kind="stable")[:, :n].astype("int32")
+            near = nearest(x, known, n)
             vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            cells = pa.array(list(near), pa.list_(pa.int32()))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], vec, cells], names=["id", "grp", "vec", "cells"])
 
     return spread(df.select("id", "grp", "vec")).mapInArrow(run, schema)
@@ -170,13 +184,17 @@ def cell_matches(
             return pa.Table.from_arrays([a["grp"][:0], a["query"][:0], b["item"][:0], pa.array([], pa.float64())], names=names)
         b = b.sort_by("item")
         sides = [t["vec"].combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (a, b)]
-        score = np.round(sides[0] @ sides[1].T, 4)
-        if skip_same_id:
-            score[a["query"].to_numpy()[:, None] == b["item"].to_numpy()[None, :]] = -np.inf
+        asked, listed = a["query"].to_numpy(), b["item"].to_numpy()
         n = min(k, len(b))
-        top = np.argsort(-score, axis=1, kind="stable")[:, :n].ravel()
+        tops, values = [], []
+        for at in range(0, len(a), CHUNK):
+            score = np.round(sides[0][at : at + CHUNK] @ sides[1].T, 4)
+            if skip_same_id:
+                score[asked[at : at + CHUNK, None] == listed[None, :]] = -np.inf
+            tops.append(np.argsort(-score, axis=1, kind="stable")[:, :n])
+            values.append(np.take_along_axis(score, tops[-1], axis=1).ravel())
+        top, value = np.concatenate(tops).ravel(), np.concatenate(values)
         row = np.repeat(np.arange(len(a)), n)
-        value = score[row, top]
         row, top, value = (x[np.isfinite(value)] for x in (row, top, value))
         return pa.Table.from_arrays([a["grp"].take(row), a["query"].take(row), b["item"].take(top), pa.array(value)], names=names)
 

@@ -1,5 +1,7 @@
 """Search through coarse cells: exact when all are probed, recall otherwise, hot lists split."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,15 @@ def test_edges(spark):
     none = df.limit(0)
     assert C.cell_matches(none, index, "g").count() == 0
     assert C.cell_matches(df, C.build_cells(none, "g"), "g").count() == 0
+
+
+def test_scores_of_few_vectors_are_held_at_a_time():
+    rng = np.random.default_rng(3)
+    x, known = rng.normal(size=(6000, 8)), rng.normal(size=(400, 8))
+    want = np.argsort(-(x @ known.T), axis=1, kind="stable")
+    for n in (1, 5):
+        tracemalloc.start()
+        got = C.nearest(x, known, n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got == want[:, :n]).all() and peak < 6000 * 400 * 8 / 4
