@@ -17,7 +17,7 @@ from deskloom.functions.intents import label_name
 from deskloom.functions.rules import OTHER, STOP_WORDS
 from deskloom.functions.text import strip
 from deskloom.operators.metrics import majority_class
-from deskloom.operators.vectors import explode_terms, weigh
+from deskloom.operators.vectors import explode_terms
 from deskloom.session import materialize
 
 TWO_CHARS = r"[\p{L}\p{N}_]{2,}"
@@ -63,17 +63,23 @@ def _term_rows(df: DataFrame, item: str, text: str) -> DataFrame:
 
 def _features(ids: DataFrame, item: str, terms: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
     """``ids`` with ``features``; rows without a known term get a zero vector."""
-    weighted = weigh(terms, vocabulary.withColumn("grp", F.lit("all")))
-    entries = (
-        weighted.select("item", F.inline("terms"))
-        .join(vocabulary.select("term", "idx"), "term")
-        .groupBy("item")
-        .agg(F.collect_list(F.struct("idx", "w")).alias("_entries"))
+    # The vocabulary is broadcast, it has at most max_features rows: terms outside it never move.
+    raw = terms.join(F.broadcast(vocabulary.select("term", "idx", "idf")), "term").select(
+        "item", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")
     )
+    per_item = raw.groupBy("item").agg(
+        F.collect_list(F.struct("idx", "w")).alias("_raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")
+    )
+    entries = per_item.select("item", _unit().alias("_entries"))
     joined = ids.join(entries, F.col(item) == F.col("item"), "left").drop("item")
     return with_vectors(joined.withColumn("_entries", F.coalesce("_entries", _no_entries())), size, "_entries")
 
 
+def _unit() -> Column:
+    """Entries of ``_raw`` divided by ``_norm``."""
+    return F.transform("_raw", lambda e: F.struct(e["idx"].alias("idx"), (e["w"] / F.col("_norm")).alias("w")))
+
+
 def _no_entries() -> Column:
     return F.expr("cast(array() as array<struct<idx: int, w: double>>)")
 
@@ -117,16 +123,16 @@ def fold_features(
     terms = materialize(single.select("fold", "item", "term", "tf"), "all-terms")
     sizes = dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = fold_vocabularies(terms, sizes, folds, max_features).withColumnRenamed("fold", "model")
-    weighed = terms.join(materialize(vocabulary, "fold-vocabularies"), "term").select(
+    # At most folds * max_features rows: broadcast, so terms outside them never move.
+    weighed = terms.join(F.broadcast(materialize(vocabulary, "fold-vocabularies")), "term").select(
         "model", "item", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")
     )
     per_row = weighed.groupBy("model", "item").agg(
         F.collect_list(F.struct("idx", "w")).alias("_raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")
     )
-    unit = F.transform("_raw", lambda e: F.struct(e["idx"].alias("idx"), (e["w"] / F.col("_norm")).alias("w")))
     each = dealt.select("fold", F.col(item).alias("item"), F.col(label).alias("label"))
     every = each.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    joined = every.join(per_row.select("model", "item", unit.alias("_entries")), ["model", "item"], "left")
+    joined = every.join(per_row.select("model", "item", _unit().alias("_entries")), ["model", "item"], "left")
     filled = joined.withColumn("_entries", F.coalesce("_entries", _no_entries()))
     return materialize(with_vectors(filled, max_features, "_entries"), "fold-features")
 

@@ -180,3 +180,19 @@ def test_system_replies(spark):
             sure += 1
             assert got["simple", r.case_id].predicted == labels[each.argmax()]
     assert sure > len(cases) / 2
+
+
+def test_terms_outside_the_vocabulary_do_not_move(spark):
+    """Terms meet the vocabulary in a broadcast join, whatever size Spark takes it for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms = spark.createDataFrame([(1, "all", "a", 2), (1, "all", "b", 1), (2, "all", "x", 1)], "item long, grp string, term string, tf long")
+        vocabulary = spark.createDataFrame([("a", 0, 1.5), ("b", 1, 2.0)], "term string, idx int, idf double")
+        featured = L._features(spark.createDataFrame([(1,), (2,)], "id long"), "id", terms, vocabulary, 2)
+        plan = featured._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin [term") == 1 and "SortMergeJoin [term" not in plan
+        a, b = (1 + math.log(2)) * 1.5, 2.0
+        got = {r.id: r.features.toArray().tolist() for r in featured.collect()}
+        assert np.allclose(got[1], [a / math.hypot(a, b), b / math.hypot(a, b)]) and got[2] == [0.0, 0.0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
