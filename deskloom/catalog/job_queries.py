@@ -178,10 +178,11 @@ def prompt_table_rows(spark, sf):
 # Batch classification: probabilities are smoothed cue counts.
 def smoothed_cues(text: Column) -> Column:
     """Probability array over the taxonomy: (hits + 1) / (all hits + labels)."""
-    lowered = F.lower(text)
-    hits = F.array(*[cue_hits(lowered, R.CUES[name]) for name in R.TAXONOMY])
+    hits = F.transform(  # the text is lower-cased once, not for every cue
+        F.array(F.lower(text)), lambda lowered: F.array(*[cue_hits(lowered, R.CUES[name]) for name in R.TAXONOMY])
+    )
     return F.transform(
-        F.array(hits),
+        hits,
         lambda h: F.transform(
             h, lambda n: (n + 1) / (F.aggregate(h, F.lit(0), lambda a, x: a + x) + F.lit(float(len(R.TAXONOMY))))
         ),

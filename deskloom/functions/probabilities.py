@@ -51,7 +51,7 @@ def prediction_detail(probs: Column, labels: Sequence[str]) -> Column:
     """Struct with intent, confidence, probabilities, top2, margin, entropy, ambiguous."""
     names = F.array(*[F.lit(name) for name in labels])
 
-    def detail(order: Column) -> Column:
+    def detail(probs: Column, order: Column) -> Column:
         first, second = order[0], order[F.least(F.lit(1), F.size(order) - 1)]
         return F.struct(
             names[first["i"]].alias("intent"),
@@ -71,7 +71,10 @@ def prediction_detail(probs: Column, labels: Sequence[str]) -> Column:
             is_ambiguous(first["p"], first["p"] - second["p"]).alias("ambiguous"),
         )
 
-    return F.transform(F.array(ranked(probs)), detail)[0]
+    def of(probs: Column) -> Column:
+        return F.transform(F.array(ranked(probs)), lambda order: detail(probs, order))[0]
+
+    return F.transform(F.array(probs), of)[0]  # ``probs`` may read a whole text: evaluated once
 
 
 def triage(confidence: Column, limits: Limits = LIMITS) -> Column:

@@ -107,3 +107,14 @@ def test_requests_without_a_text(spark):
     assert not got[2].cached and got[2].text_key is None
     stats = batch_stats(done).first()
     assert (stats.batch_size, stats.cache_hits, stats.deduplicated_count) == (6, 1, 1)
+
+
+def test_a_text_is_scored_once(spark):
+    """The score of a text stands once in the plan, however many parts of the detail read it."""
+    df = spark.createDataFrame([("has zqx",), ("none",)], "text string")
+    score = F.when(F.contains("text", F.lit("zqx")), F.array(F.lit(0.7), F.lit(0.3))).otherwise(uniform(2))
+    detail = df.select(prediction_detail(score, ("a", "b")).alias("detail"))
+    assert detail._jdf.queryExecution().optimizedPlan().toString().count("zqx") == 1
+    rows = [r.detail for r in detail.collect()]
+    assert [(r.intent, r.confidence, r.ambiguous) for r in rows] == [("a", 0.7, False), ("b", 0.5, True)]
+    assert [r.entropy for r in rows] == [0.8813, 1.0] and rows[0].probabilities == {"a": 0.7, "b": 0.3}
