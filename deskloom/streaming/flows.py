@@ -70,6 +70,24 @@ def decide_stream_versions(
 HELD_ROWS = 20_000
 
 
+def _plain(chunk: pd.DataFrame, name: str) -> bool:
+    """Whether ids and seconds are integers without nulls; most keys have a few such rows, and
+    pandas' grouping costs them more than the work itself."""
+    return all(isinstance(d, np.dtype) and d.kind == "i" for d in (chunk["event_sec"].dtype, chunk[name].dtype))
+
+
+def _least_ids(chunk: pd.DataFrame, name: str) -> Iterator[tuple]:
+    """(second, least id) of the rows that have a time."""
+    if not _plain(chunk, name):
+        yield from chunk.dropna(subset=["event_sec"]).groupby("event_sec")[name].min().items()
+        return
+    least: dict[int, int] = {}
+    for second, number in zip(chunk["event_sec"].tolist(), chunk[name].tolist()):
+        known = least.get(second)
+        least[second] = number if known is None or number < known else known
+    yield from least.items()
+
+
 class LastMiss(StatefulProcessor):
     """Remembers, per key, the event time of the last miss; one number.
 
@@ -97,8 +115,7 @@ class LastMiss(StatefulProcessor):
             if not len(chunk):
                 continue
             names = list(chunk.columns)
-            timed = chunk.dropna(subset=["event_sec"])
-            for second, least in timed.groupby("event_sec")[names[1]].min().items():
+            for second, least in _least_ids(chunk, names[1]):
                 known = first.get(int(second))
                 first[int(second)] = least if known is None else min(known, least)
             if held + len(chunk) <= self.held:
@@ -111,7 +128,8 @@ class LastMiss(StatefulProcessor):
         missed: set = set()
         if key[0] is not None and first:  # null keys and times are misses, never stored
             seconds = np.array(sorted(first), np.int64)
-            stored = self.stored_at.get()[0] if self.stored_at.exists() else None
+            last = self.stored_at.get()  # None if there is none; every call goes to the state server
+            stored = last[0] if last is not None else None
             places, stored = miss_places(seconds, stored, self.ttl)
             missed = {first[int(s)] for s in seconds[places]}
             self.stored_at.update((stored,))
@@ -134,8 +152,11 @@ class LastMiss(StatefulProcessor):
 
     def _marked(self, chunk: pd.DataFrame, key: object, missed: set, names: list[str]) -> Iterator[pd.DataFrame]:
         chunk = chunk.copy()
-        untimed = chunk["event_sec"].isna().to_numpy() | (key is None)
-        chunk["hit"] = ~(untimed | chunk[names[1]].isin(missed).to_numpy())
+        if key is not None and _plain(chunk, names[1]):
+            chunk["hit"] = np.array([i not in missed for i in chunk[names[1]].tolist()], bool)
+        else:
+            untimed = chunk["event_sec"].isna().to_numpy() | (key is None)
+            chunk["hit"] = ~(untimed | chunk[names[1]].isin(missed).to_numpy())
         chunk[self.key] = key
         yield chunk[~chunk["hit"]] if self.only_misses else chunk
 

@@ -109,3 +109,36 @@ def test_scratch_of_a_block_goes(spark):
     assert kept.count() == 5 and path not in session._scratch
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+class _Value:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_key_asks_the_state_server_twice():
+    import pandas as pd
+
+    worker = flows.LastMiss("key", "bigint", 3600, 7200, False)
+    worker.stored_at, worker.waiting = _Value(), None
+    out = []
+    for seconds, ids in [([0, 0, 3599, 3600], [2, 1, 3, 4]), ([7199, 7200], [5, 6])]:
+        worker.stored_at.calls = 0
+        chunk = pd.DataFrame({"key": "a", "id": ids, "event_sec": seconds})
+        out += pd.concat(worker.handleInputRows(("a",), iter([chunk]), None))[["id", "hit"]].values.tolist()
+        assert worker.stored_at.calls == 2
+    assert [i for i, hit in out if not hit] == [1, 4, 6]
