@@ -17,7 +17,7 @@ of all. Lists of the first order give pairs whose sizes fit and whose bitmaps (p
 tokens by 512 slots, a bound on the difference) don't exclude them; they go on if their prefixes
 overlap in the second and in the third order, and what remains is verified on the whole sets.
 
-Lists of many near copies: members are compared with the first few of a list, links are joined to
+Of lists with the same members one is kept. Lists of many near copies: members are compared with the first few of a list, links are joined to
 components, and only members of other components are compared with the next few, eight times as
 many. The last round has compared every pair of a list whose members were not yet in one component,
 so no link between components is lost, and pairs inside a group are never written out.
@@ -392,10 +392,22 @@ def verified(pairs: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     return joined.filter(overlap).filter(enough).select("x", "y")
 
 
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """``lists`` (token, node, ...) without those of one member, and one of those with the same
+    members: near copies share dozens of tokens, each of which would give the same pairs. Lists are
+    told apart by their size and 128 bits of hash of the members."""
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    size = F.count(F.lit(1)).alias("size")
+    marked = lists.groupBy("token").agg(size, *members).filter("size > 1")
+    kept = marked.groupBy("size", "h0", "h1").agg(F.min("token").alias("token"))
+    return lists.join(kept.select("token"), "token", "left_semi")
+
+
 def _links(left: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of the classes that have links; None if there are none."""
     own = F.col("node").alias("component")
-    lists = left.select("node", "n", own, "bits", F.explode("first").alias("token"))
+    every = left.select("node", "n", own, "bits", F.explode("first").alias("token"))
+    lists = written(distinct_lists(every), "lists")
     begin, end, links = 0, FIRST, None
     while True:
         pairs = written(candidates(lists, begin, end, percent), "pairs")

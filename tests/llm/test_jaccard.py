@@ -107,3 +107,10 @@ def test_prefixes_meet_under_every_order():
         prefixes = [jaccard.orders(s, codes[known], df[known], heavy, 16, 85) for s in (a, b)]
         for x, y in zip(*prefixes):
             assert len(np.intersect1d(x, y))
+
+
+def test_lists_with_the_same_members_are_read_once(spark):
+    """Tokens 1, 2 and 3 are in the same texts; 4 in others, 5 in one only."""
+    rows = [(t, n) for t in (1, 2, 3) for n in (10, 11, 12)] + [(4, 10), (4, 11), (4, 13), (5, 10)]
+    kept = jaccard.distinct_lists(spark.createDataFrame(rows, "token long, node long"))
+    assert sorted((r.token, r.node) for r in kept.collect()) == [(1, 10), (1, 11), (1, 12), (4, 10), (4, 11), (4, 13)]
