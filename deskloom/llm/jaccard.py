@@ -17,7 +17,7 @@ of all. Lists of the first order give pairs whose sizes fit and whose bitmaps (p
 tokens by 512 slots, a bound on the difference) don't exclude them; they go on if their prefixes
 overlap in the second and in the third order, and what remains is verified on the whole sets.
 
-Of lists with the same members one is kept. Lists of many near copies: members are compared with the first few of a list, links are joined to
+Of lists with the same members one is kept. Lists of many near copies: members are compared with the first of a list, links are joined to
 components, and only members of other components are compared with the next few, eight times as
 many. The last round has compared every pair of a list whose members were not yet in one component,
 so no link between components is lost, and pairs inside a group are never written out.
@@ -51,8 +51,9 @@ from deskloom.llm.simhash import components
 SHINGLE, PERCENT, SEED = 4, 85, 42
 #: One token in so many is counted; a token of one in so many classes is heavy; slots of ids.
 COUNTED, HEAVY, SLOTS = 4, 100, 1 << 20
-#: Members that each of a list is compared with in the first round, and their growth by round.
-FIRST, GROWTH = 8, 8
+#: Members that each of a list is compared with in the first round, and their growth by round. With
+#: one, m near copies make m - 1 pairs a list; more would make pairs inside groups still unlinked.
+FIRST, GROWTH = 1, 8
 #: Lists up to this long are compared all at once.
 _SHORT = 16
 _LONG = np.int64(1) << 62

@@ -114,3 +114,14 @@ def test_lists_with_the_same_members_are_read_once(spark):
     rows = [(t, n) for t in (1, 2, 3) for n in (10, 11, 12)] + [(4, 10), (4, 11), (4, 13), (5, 10)]
     kept = jaccard.distinct_lists(spark.createDataFrame(rows, "token long, node long"))
     assert sorted((r.token, r.node) for r in kept.collect()) == [(1, 10), (1, 11), (1, 12), (4, 10), (4, 11), (4, 13)]
+
+
+def test_near_copies_make_a_pair_each(spark):
+    """In the first round, m near copies in several lists make m - 1 pairs a list."""
+    members = list(range(10, 22))
+    lists = {1: members, 2: members[1:], 3: members[:5]}
+    bits = bytes(64)
+    rows = [(t, 100, n, n, bits) for t, nodes in lists.items() for n in nodes]
+    df = spark.createDataFrame(rows, "token long, n long, node long, component long, bits binary")
+    got = {tuple(r) for r in jaccard.candidates(df, 0, jaccard.FIRST, 85).collect()}
+    assert got == {(nodes[0], n) for nodes in lists.values() for n in nodes[1:]}
