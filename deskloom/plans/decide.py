@@ -50,47 +50,64 @@ def triage_cases(
     )
 
 
-def retrieve(
+def search(
     queries: DataFrame,
     vault: DataFrame,
     k: int = 3,
     index: LexicalIndex | None = None,
 ) -> DataFrame:
-    """Best precedents per query: (query_key, target, matches, top_similarity).
+    """Best precedents per query, without their texts: (query_key, target, best, top_similarity).
 
-    ``queries`` is (query_key, text, target) with one row per key; ``matches`` holds at
-    most k structs, best first.
+    ``queries`` is (query_key, text, target) with one row per key; ``best`` holds at most k structs
+    (rank, item, score), best first.
     """
     index = index or build_index(
         vault.select("pair_id", "intent", "customer_query"), "pair_id", "intent", "customer_query", k
     )
-    # Sums per (query, item) move through shuffles: a number for each query in place of its digest.
+    # Rows per (query, item) move through shuffles: a number for each query in place of its digest.
     numbered = materialize(
         queries.select("query_key", "text", "target", F.monotonically_increasing_id().alias("query")), "queries"
     )
     found = lexical_matches(numbered, index, "query", "target", "text", k)
-    pairs = vault.select(
-        F.col("pair_id").alias("item"), "case_id", "customer_query", "agent_reply"
+    return (
+        found.join(vault.select(F.col("pair_id").alias("item")), "item", "left_semi")
+        .groupBy("query")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("best"),
+            F.max("score").alias("top_similarity"),
+        )
+        .join(numbered.select("query", "query_key", "target"), "query")
+        .select("query_key", "target", "best", "top_similarity")
     )
+
+
+def matched_pairs(found: DataFrame, vault: DataFrame, row: str) -> DataFrame:
+    """(``row``, matches) of (``row``, target, best): the precedents with their texts.
+
+    Texts of k precedents move once, to the row that they belong to."""
+    pairs = vault.select(F.col("pair_id").alias("item"), "case_id", "customer_query", "agent_reply")
     match = F.struct(
         "rank",
         F.col("item").alias("pair_id"),
         "case_id",
-        F.col("grp").alias("intent"),
+        F.col("target").alias("intent"),
         "customer_query",
         "agent_reply",
         F.col("score").alias("similarity_score"),
     )
-    return (
-        found.join(pairs, "item")
-        .groupBy("query")
-        .agg(
-            F.array_sort(F.collect_list(match)).alias("matches"),
-            F.max("score").alias("top_similarity"),
-        )
-        .join(numbered.select("query", "query_key", "target"), "query")
-        .select("query_key", "target", "matches", "top_similarity")
-    )
+    listed = found.select(row, "target", F.inline("best")).join(pairs, "item")
+    return listed.groupBy(row).agg(F.array_sort(F.collect_list(match)).alias("matches"))
+
+
+def retrieve(
+    rows: DataFrame, queries: DataFrame, vault: DataFrame, k: int = 3, index: LexicalIndex | None = None
+) -> DataFrame:
+    """(_row, target, best, top_similarity) of the rows (_row, query_key, target) that have precedents.
+
+    A written table of numbers and ids; ``matched_pairs`` adds the texts where they are wanted."""
+    found = search(queries, vault, k, index)
+    placed = rows.select("_row", "query_key", "target").join(found, ["query_key", "target"])
+    return materialize(placed.select("_row", "target", "best", "top_similarity"), "best-items")
 
 
 def decide(
@@ -111,7 +128,8 @@ def decide(
     external generator; a missing or rule-breaking draft is replaced by the best template.
     """
     checked = triage_cases(cases, classify, verdicts).withColumn("query_key", fingerprint(F.col("text")))
-    triaged = materialize(fall_back_group(checked, vault.select("intent")), "triaged")
+    targets = fall_back_group(checked, vault.select("intent"))
+    triaged = materialize(targets.withColumn("_row", F.monotonically_increasing_id()), "triaged")
     blocked = F.col("safety.is_hazard")
     targeted = triaged.filter(~blocked)
     queries = keep_first(
@@ -121,8 +139,10 @@ def decide(
         "_k",
         ["text"],
     ).drop("_k")
-    found = retrieve(queries, vault, k, index)
-    searched = targeted.join(found, ["query_key", "target"], "left")
+    found = retrieve(targeted, queries, vault, k, index)
+    searched = targeted.join(found.select("_row", "top_similarity"), "_row", "left").join(
+        matched_pairs(found, vault, "_row"), "_row", "left"
+    )
     if drafts is not None:
         searched = searched.join(
             drafts.select("case_id", F.col("draft").alias("_draft")), "case_id", "left"

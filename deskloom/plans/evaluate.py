@@ -69,15 +69,23 @@ def template_replies(
     reply, all others the filled template of their best precedent, whatever their route."""
     cases = golden.select("case_id", "text", F.lit("@user").alias("handle"))
     checked = triage_cases(cases, classify).withColumn("query_key", fingerprint(F.col("text")))
-    triaged = materialize(fall_back_group(checked, vault.select("intent")), "triaged")
+    targets = fall_back_group(checked, vault.select("intent"))
+    triaged = materialize(targets.withColumn("_row", F.monotonically_increasing_id()), "triaged")
     hazard = F.col("safety.is_hazard")
     targeted = triaged.filter(~hazard)
     queries = targeted.groupBy("query_key", "target").agg(F.min("text").alias("text"))
-    found = retrieve(queries, vault, k).select("query_key", "target", "matches", "top_similarity")
-    zoned = targeted.join(found, ["query_key", "target"], "left").withColumn(
-        "_zone", zone(F.coalesce("top_similarity", F.lit(0.0)))
+    # Of the precedents only the best one's reply is said; it moves once, to its case.
+    found = retrieve(targeted, queries, vault, k)
+    best = found.select("_row", "top_similarity", F.get("best", F.lit(0))["item"].alias("pair_id"))
+    first = F.min(F.struct("case_id", "customer_query", "agent_reply"))["agent_reply"]
+    replies = vault.groupBy("pair_id").agg(first.alias("agent_reply"))
+    zoned = (
+        targeted.select("_row", "case_id", "handle")
+        .join(best, "_row", "left")
+        .join(replies, "pair_id", "left")
+        .withColumn("_zone", zone(F.coalesce("top_similarity", F.lit(0.0))))
     )
-    template = best_template(F.col("_zone"), F.get("matches", F.lit(0))["agent_reply"])
+    template = best_template(F.col("_zone"), F.col("agent_reply"))
     spoken = zoned.select("case_id", fill_template(template, F.col("handle")).alias("reply"))
     return triaged.join(spoken, "case_id", "left").select(
         "case_id", F.col("intent").alias("predicted"), "reply", hazard.alias("suppressed")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from deskloom.catalog import job_queries as J
 from deskloom.functions.rules import STOP_WORDS, TAXONOMY
+from deskloom.plans.decide import matched_pairs, retrieve
 from deskloom.operators import learners as L
 from deskloom.operators.sampling import stratified_folds, stratified_split
 from deskloom.operators.matching import drop_leaked
@@ -196,3 +197,17 @@ def test_terms_outside_the_vocabulary_do_not_move(spark):
         assert np.allclose(got[1], [a / math.hypot(a, b), b / math.hypot(a, b)]) and got[2] == [0.0, 0.0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_retrieve_moves_no_texts(spark):
+    """What a search gives its rows are ids, once for rows that share a text; texts come by one lookup."""
+    pairs = [("p1", "c1", "X", "battery drains fast", "reply one"), ("p2", "c2", "X", "screen is black", "reply two")]
+    vault = spark.createDataFrame(pairs, "pair_id string, case_id string, intent string, customer_query string, agent_reply string")
+    asked = [(1, "k", "X", "my battery drains"), (2, "k", "X", "my battery drains"), (3, "m", "Y", "none")]
+    rows = spark.createDataFrame(asked, "_row long, query_key string, target string, text string")
+    found = retrieve(rows, rows.select("query_key", "text", "target").distinct(), vault, 2)
+    assert found.columns == ["_row", "target", "best", "top_similarity"]
+    got = {r["_row"]: [b["item"] for b in r["best"]] for r in found.collect()}
+    assert got == {1: ["p1", "p2"], 2: ["p1", "p2"]}
+    matches = {r["_row"]: [(m["pair_id"], m["agent_reply"]) for m in r["matches"]] for r in matched_pairs(found, vault, "_row").collect()}
+    assert matches[2] == [("p1", "reply one"), ("p2", "reply two")]
