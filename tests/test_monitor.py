@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,57 @@ def test_order_marks_late_rows(spark, rocksdb, tmp_path):
     assert {(r["id"], r["seq"], r["late"]) for r in rows} == {(1, 1, False), (2, 2, False), (3, 3, False), (4, None, True)}
 
 
+def test_order_holds_rows_as_arrays():
+    """Rows that arrive together are one entry of the state, and leave in order over several entries."""
+    state = {"waiting": [], "released": None, "next": None}
+
+    class Value:
+        def __init__(self, name, *_):
+            self.name = name
+
+        def get(self):
+            return iter(list(state[self.name])) if self.name == "waiting" else state[self.name]
+
+        def update(self, value):
+            state[self.name] = value
+
+        put = update
+
+        def appendValue(self, value):
+            state[self.name].append(value)
+
+        def clear(self):
+            state[self.name] = [] if self.name == "waiting" else None
+
+    class Handle:
+        getListState = getValueState = lambda self, name, *_: Value(name)
+
+        def registerTimer(self, ms):
+            pass
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    order = telemetry.InOrder()
+    order.init(Handle())
+    chunks = [pd.DataFrame({"us": [9_000_000, 2_000_000], "id": [3, 1], "payload": [None, "a"]})]
+    chunks.append(pd.DataFrame({"us": [4_000_000], "id": [2], "payload": ["b"]}))
+    assert list(order.handleInputRows(("x",), iter(chunks), Now(0))) == []
+    assert len(state["waiting"]) == 2 and state["next"] == (2000,)
+    (out,) = order.handleExpiredTimer(("x",), Now(5000), None)
+    assert out[["id", "us", "seq"]].to_numpy().tolist() == [[1, 2_000_000, 1], [2, 4_000_000, 2]]
+    assert out["gap_us"].isna().tolist() == [True, False] and out["gap_us"][1] == 2_000_000
+    (late,) = order.handleInputRows(("x",), iter([pd.DataFrame({"us": [3_000_000, 9_500_000], "id": [4, 5], "payload": ["c", "d"]})]), Now(5000))
+    assert late["id"].tolist() == [4] and late["late"].all() and late["seq"].isna().all()
+    (out,) = order.handleExpiredTimer(("x",), Now(10_000), None)
+    assert out[["id", "seq", "gap_us"]].to_numpy().tolist() == [[3, 3, 5_000_000], [5, 4, 500_000]] and out["payload"][0] is None
+    assert state == {"waiting": [], "released": (4, 9_500_000), "next": None}
+
+
 def test_distances_match_the_definition(spark):
     rng = random.Random(1)
     rows = [(d, "g", rng.gauss(0.4 + 0.15 * (d == 2), 0.1)) for d in range(3) for _ in range(300)]
