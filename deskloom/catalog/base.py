@@ -168,18 +168,23 @@ def turn_number() -> Column:
     return F.when((turn >= 0) & (turn < MOST_TURNS), number).otherwise(F.raise_error(F.lit("turn out of range")))
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, customer_text, agent_text): every customer turn with the answer to it."""
+def replies(spark: SparkSession, sf_dir: str, answers: bool = True) -> DataFrame:
+    """(case_id, conv_id, customer_text, agent_text): every customer turn with the answer to it.
+
+    Without ``answers`` the answers' texts aren't moved, and there is no ``agent_text``."""
     from deskloom.operators.threads import with_next
 
     brand = (F.col("role") == "assistant").alias("brand")
     said = turns(spark, sf_dir).select("conv_id", "turn", brand, "text")
-    paired = with_next(said, "conv_id", "turn", ["brand", "text"])
-    return paired.filter(~F.col("brand") & F.col("next_brand")).select(
+    if not answers:
+        said = said.withColumn("text", F.when(~F.col("brand"), F.col("text")))
+    answered = ~F.col("brand") & F.col("next_brand")
+    following = ["brand", "text"] if answers else ["brand"]
+    return with_next(said, "conv_id", "turn", following, keep=answered).select(
         turn_number().alias("case_id"),
         F.col("conv_id"),
         F.col("text").alias("customer_text"),
-        F.col("next_text").alias("agent_text"),
+        *([F.col("next_text").alias("agent_text")] if answers else []),
     )
 
 

@@ -40,7 +40,7 @@ from deskloom.plans.cases import extract_cases
 from deskloom.plans.decide import decide, prompt_table
 from deskloom.plans.expand import expand_dataset
 from deskloom.plans.vault import build_vault
-from deskloom.session import materialize, scratch_path
+from deskloom.session import materialize, scratch_path, settle
 from deskloom.streaming import flows
 from deskloom.catalog.join_queries import CLOSURE_SQL
 
@@ -148,7 +148,7 @@ DECIDED_SQL = f"WITH {decide_sql()} SELECT {', '.join(_DECISION)} FROM decided"
 
 @query("decide", DECIDED_SQL)
 def decide_rows(spark, sf):
-    store = materialize(vault(spark, sf), "vault")
+    store = settle(spark, lambda: vault(spark, sf), "vault")
     decided = decide(customer_cases(spark, sf), store)
     counted = decided.withColumn("n_matches", F.when(F.col("matches").isNull(), 0).otherwise(F.size("matches")))
     return counted.withColumn("best_pair", F.get("matches", F.lit(0))["pair_id"]).select(*_DECISION)
@@ -165,7 +165,7 @@ def decide_rows(spark, sf):
     FROM decided d LEFT JOIN lines USING (case_id) WHERE d.decision <> 'HANDOFF'""",
 )
 def prompt_table_rows(spark, sf):
-    store = materialize(vault(spark, sf), "vault")
+    store = settle(spark, lambda: vault(spark, sf), "vault")
     decided = decide(customer_cases(spark, sf), store).filter("decision <> 'HANDOFF'").select(
         "case_id", F.col("customer_text").alias("text"), F.col("customer_handle").alias("handle"), "intent", "matches"
     )
@@ -233,17 +233,17 @@ def batch_stats(spark, sf):
 
 # Three systems over the answered questions; the derived golden intent is a label by thread.
 def _golden(spark, sf):
-    return materialize(
-        replies(spark, sf).select(
+    def cases():
+        return replies(spark, sf, answers=False).select(
             "case_id", F.col("customer_text").alias("text"), pick(R.TAXONOMY, F.col("conv_id")).alias("intent")
-        ),
-        "golden",
-    )
+        )
+
+    return settle(spark, cases, "golden")
 
 
 def _systems(spark, sf):
     """The simple system classifies by the first cue, so that the twin can, too."""
-    store = materialize(vault(spark, sf), "vault")
+    store = settle(spark, lambda: vault(spark, sf), "vault")
     by_cue = lambda text: F.coalesce(first_cue_intent(text), F.lit(R.OTHER))
     return E.score_replies(E.system_replies(_golden(spark, sf), None, store, by_cue))
 
@@ -299,7 +299,7 @@ def training_turns(spark, sf):
 @query("system_replies")
 def system_replies(spark, sf):
     """The three systems with the fitted text model; its weights are not SQL."""
-    store = materialize(vault(spark, sf), "vault")
+    store = settle(spark, lambda: vault(spark, sf), "vault")
     scored = E.score_replies(E.system_replies(_golden(spark, sf), training_turns(spark, sf), store))
     return scored.select("model", "case_id", "actual", "predicted", "reply", "suppressed", "overall")
 
@@ -451,7 +451,7 @@ def _stream(spark, sf, name):
 
 @query("stream_decide", DECIDED_SQL)
 def stream_decide(spark, sf):
-    store = materialize(vault(spark, sf), "vault")
+    store = settle(spark, lambda: vault(spark, sf), "vault")
     conv, turn = F.col("conv_id"), F.col("turn")
     from deskloom.catalog.base import CUSTOMER_PHRASES
 

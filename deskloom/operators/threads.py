@@ -118,9 +118,8 @@ def first_adjacent_pair(
 ) -> DataFrame:
     """First customer turn directly answered by the brand, one row per conversation."""
     flagged = turns.select(group, order, F.col(text).alias("said"), is_brand.alias("brand"))
-    paired = with_next(flagged, group, order, ["said", "brand"]).filter(
-        ~F.col("brand") & F.col("next_brand")
-    )
+    answered = ~F.col("brand") & F.col("next_brand")
+    paired = with_next(flagged, group, order, ["said", "brand"], keep=answered)
     first = paired.groupBy(group).agg(
         F.min_by(F.struct(order, "said", "next_said"), order).alias("_pair")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +101,18 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _scratch.remove(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` of what ``make`` returns; the tables that it wrote on the way are deleted.
+
+    For a result of several steps that nothing else reads the steps of.
+    """
+    path = scratch_path(spark, label)
+    with scratch_scope(spark):
+        df = make()
+        df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete what this process has written below the shared folder; the number of paths.
 

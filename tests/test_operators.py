@@ -385,6 +385,24 @@ def test_numbering_with_sparse_ids(spark):
         assert [following[g, k] for k in keys] == [*keys[1:], None]
 
 
+def test_rows_move_once_to_be_numbered_or_paired(spark):
+    """One shuffle by ranges for the rows; groups that cross ranges, null groups, kept rows only."""
+    rows = [(g, k, f"{g}{k}") for g, n in [("a", 300), (None, 40), ("b", 1)] for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, t string").repartition(5)
+    keep = (F.col("k") % 3 == 0) & F.col("next_t").isNotNull()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paired = O.with_next(df, "g", "k", ["t"], keep=keep)
+        numbered = O.number_rows(df, ["k"], ["g"])
+        for plan in (paired, numbered):
+            assert "Exchange" not in plan._jdf.queryExecution().toString().replace("BroadcastExchange", "")
+        got = {(r.g, r.k): r.next_t for r in paired.collect()}
+        assert got == {(g, k): f"{g}{k + 1}" for g, n in [("a", 300), (None, 40)] for k in range(0, n - 1, 3)}
+        assert {(r.g, r.k): r.rn for r in numbered.collect()} == {(g, k): k + 1 for g, k, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_latency_by_group(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 7.0)], "m string, v double")
     got = {r.m: r.p95_ms for r in M.latency_stats(df, "v", ["m"]).collect()}
