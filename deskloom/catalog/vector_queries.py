@@ -126,7 +126,8 @@ def topk_matches(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", "lang", "text")
     guess = classify_by_cues(F.col("text"), LANGUAGE_CUES, "en")["intent"]
     passages = table(spark, sf, "benchmark").select("item_id", "text", guess.alias("lang"))
-    index = V.build_index(docs, "doc_id", "lang", "text")
+    asked = V.explode_terms(passages, "item_id", "lang", "text", STOP_WORDS).select("grp", "term")
+    index = V.build_index(docs, "doc_id", "lang", "text", wanted=asked)
     found = V.lexical_matches(passages, index, "item_id", "lang", "text")
     return found.withColumn("zone", RT.zone(F.col("score")))
 

@@ -32,20 +32,28 @@ def tokens_of(text: Column, stops: Sequence[str], token: str = TOKEN) -> Column:
 
 
 def explode_terms(
-    df: DataFrame, item: str, group: str, text: str, stops: Sequence[str], token: str = TOKEN
+    df: DataFrame,
+    item: str,
+    group: str,
+    text: str,
+    stops: Sequence[str],
+    token: str = TOKEN,
+    hashed: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """(item, grp, term, tf) of every text; bigrams are formed after stop words went.
 
-    Texts are dealt out by (item, grp), so their terms are counted where they are."""
+    Texts are dealt out by (item, grp), so their terms are counted where they are. ``hashed``: 64-bit
+    hashes in place of the terms. ``only``: the terms of this table (grp, term)."""
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = df.select(item, group, text).repartition(tasks, item, group)
-    return (
-        _grams(dealt, item, group, text, stops, token)
-        .select("item", "grp", F.explode("grams").alias("term"))
-        .groupBy("item", "grp", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    terms = _grams(dealt, item, group, text, stops, token).select("item", "grp", F.explode("grams").alias("term"))
+    if hashed:
+        terms = terms.withColumn("term", F.xxhash64("term"))
+    if only is not None:
+        terms = terms.join(only, ["grp", "term"], "left_semi")
+    return terms.groupBy("item", "grp", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(
@@ -95,19 +103,23 @@ def idf_table(frequencies: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def weigh(terms: DataFrame, idf: DataFrame) -> DataFrame:
+def weigh(terms: DataFrame, idf: DataFrame, norms: DataFrame | None = None) -> DataFrame:
     """(item, grp, terms): array of (term, w) with unit L2 norm, w = (1+ln tf)*idf.
 
     Terms the group does not know are dropped before the norm is taken. The array is one
-    text's terms, so its size is bounded by that text.
+    text's terms, so its size is bounded by that text. ``norms`` (item, grp, norm) are given if
+    ``terms`` are only some of the texts' terms.
     """
     raw = terms.join(idf.select("grp", "term", "idf"), ["grp", "term"]).select(
         "item", "grp", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")
     )
-    per_item = raw.groupBy("item", "grp").agg(
-        F.collect_list(F.struct("term", "w")).alias("terms"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-    )
+    listed = F.collect_list(F.struct("term", "w")).alias("terms")
+    if norms is None:
+        per_item = raw.groupBy("item", "grp").agg(listed, F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    else:
+        known = norms.select(F.col("item").alias("_item"), F.col("grp").alias("_grp"), "norm")
+        same = F.col("item").eqNullSafe(F.col("_item")) & (F.col("grp") == F.col("_grp"))
+        per_item = raw.groupBy("item", "grp").agg(listed).join(known, same)
     return per_item.select(
         "item",
         "grp",
@@ -136,17 +148,55 @@ class LexicalIndex:
 
 
 def build_index(
-    df: DataFrame, item: str, group: str, text: str, k: int = 3, stops: Sequence[str] = STOP_WORDS
+    df: DataFrame,
+    item: str,
+    group: str,
+    text: str,
+    k: int = 3,
+    stops: Sequence[str] = STOP_WORDS,
+    wanted: DataFrame | None = None,
 ) -> LexicalIndex:
-    """TF-IDF index of a precedent table, partitioned by group."""
+    """TF-IDF index of a precedent table, partitioned by group.
+
+    With ``wanted`` (grp, term), the terms that will be asked for, it lists these terms only, at
+    their weights among all terms of a text: a term that no query has adds to no score.
+    """
+    if wanted is not None:
+        return _index_for(df, item, group, text, k, stops, wanted)
     ids = df.select(F.col(item).alias("item"), F.col(group).alias("grp"))
     terms = materialize(explode_terms(df, item, group, text, stops), "index-terms")
     counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     return index_of(ids, terms, counted, ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), k)
 
 
-def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: DataFrame, k: int = 3) -> LexicalIndex:
-    """Index from (item, grp), (item, grp, term, tf), (grp, term, df) and (grp, n)."""
+def _index_for(
+    df: DataFrame, item: str, group: str, text: str, k: int, stops: Sequence[str], wanted: DataFrame
+) -> LexicalIndex:
+    """The index of the terms in ``wanted``.
+
+    All terms of all texts move once, as hashes, to be counted for the norms; none are written.
+    """
+    ids = df.select(F.col(item).alias("item"), F.col(group).alias("grp"))
+    sizes = materialize(ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "index-sizes")
+    asked = materialize(wanted.select("grp", "term").distinct(), "index-wanted")
+    every = explode_terms(df, item, group, text, stops, hashed=True)
+    alike = Window.partitionBy("grp", "term")
+    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    norms = (
+        every.withColumn("tf", F.col("tf").cast("int"))
+        .withColumn("df", F.count(F.lit(1)).over(alike))
+        .join(sizes, "grp")
+        .groupBy("item", "grp")
+        .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    )
+    norms = materialize(norms, "index-norms")
+    terms = materialize(explode_terms(df, item, group, text, stops, only=asked), "index-terms")
+    counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
+    return index_of(ids, terms, counted, sizes, k, norms)
+
+
+def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: DataFrame, k: int = 3, norms: DataFrame | None = None) -> LexicalIndex:
+    """Index from (item, grp), (item, grp, term, tf), (grp, term, df) and (grp, n); see ``weigh`` for ``norms``."""
     first = Window.partitionBy("grp").orderBy("item")
     padding = (
         ids.withColumn("_rn", F.row_number().over(first))
@@ -156,7 +206,7 @@ def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: Da
     )
     groups = materialize(sizes.join(padding, "grp"), "index-groups")
     idf = materialize(idf_table(frequencies, groups.select("grp", "n")), "index-idf")
-    vectors = materialize(weigh(terms, idf), "index-vectors")
+    vectors = materialize(weigh(terms, idf, norms), "index-vectors")
     impacts = keyed(vectors)
     bounds = impacts.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
     return LexicalIndex(flat(vectors), vectors, impacts, bounds, idf, groups)

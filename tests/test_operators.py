@@ -471,3 +471,19 @@ def test_only_the_best_of_a_block_leave_it(spark, monkeypatch):
     assert candidates.count() <= 3 * 3 * len(items)
     got = {(r.query, r["rank"]): r.item for r in V.lexical_matches(df, index, "id", "g", "t", 3, vectors=index.vectors).collect()}
     assert got == {(q, n): i for q, best in brute_scores(items, items, 3).items() for n, (i, _) in enumerate(best, 1)}
+
+
+def test_index_of_wanted_terms_finds_the_same(spark):
+    """Only terms that are asked for are listed; scores are those of the whole index. An id twice, null ids."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i if i % 9 else None, "ab"[i % 2], " ".join(rng.choices(words, k=12))) for i in range(120)] + [(7, "b", "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    queries = spark.createDataFrame([(i, "ab"[i % 2], " ".join(rng.choices(words[:5], k=4))) for i in range(8)], "q long, g string, t string")
+    wanted = V.explode_terms(queries, "q", "g", "t", V.STOP_WORDS)
+    some, every = V.build_index(df, "id", "g", "t", wanted=wanted), V.build_index(df, "id", "g", "t")
+    asked = {(r.grp, r.term) for r in wanted.collect()}
+    listed = {(r.grp, r.term) for r in some.postings.collect()}
+    assert listed and listed <= asked < {(r.grp, r.term) for r in every.postings.collect()} | asked
+    weights = lambda index: {(r["item"], r.grp, r.term): round(r.w, 9) for r in index.postings.collect() if (r.grp, r.term) in asked}
+    assert weights(some) == weights(every)
