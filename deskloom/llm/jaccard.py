@@ -17,7 +17,8 @@ of all. Lists of the first order give pairs whose sizes fit and whose bitmaps (p
 tokens by 512 slots, a bound on the difference) don't exclude them; they go on if their prefixes
 overlap in the second and in the third order, and what remains is verified on the whole sets.
 
-Of lists with the same members one is kept. Lists of many near copies: members are compared with the first of a list, links are joined to
+Of lists with the same members one is kept, and a class meets the others of its largest list before
+those of the rest, where most are in its component by then. Lists of many near copies: members are compared with the first of a list, links are joined to
 components, and only members of other components are compared with the next few, eight times as
 many. The last round has compared every pair of a list whose members were not yet in one component,
 so no link between components is lost, and pairs inside a group are never written out.
@@ -404,25 +405,49 @@ def distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(kept.select("token"), "token", "left_semi")
 
 
-def _links(left: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that have links; None if there are none."""
-    own = F.col("node").alias("component")
-    every = left.select("node", "n", own, "bits", F.explode("first").alias("token"))
-    lists = written(distinct_lists(every), "lists")
-    begin, end, links = 0, FIRST, None
+def largest_lists(lists: DataFrame) -> DataFrame:
+    """The entry of every node in the largest of its lists: no pair is in two of these lists."""
+    size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    sized = lists.select("token", "node").join(size, "token")
+    own = sized.groupBy("node").agg(F.max(F.struct("size", "token"))["token"].alias("token"))
+    return lists.join(own, ["node", "token"], "left_semi")
+
+
+def _apart(lists: DataFrame, roots: DataFrame, begin: int) -> DataFrame:
+    """``lists`` of more than ``begin`` + 1 members that lie in two components or more, as of ``roots``."""
+    placed = lists.drop("component").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    apart = F.min("component") != F.max("component")
+    todo = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), apart.alias("apart"))
+    todo = todo.filter((F.col("size") > begin + 1) & F.col("apart")).select("token")
+    return written(placed.drop("root").join(todo, "token", "left_semi"), "lists")
+
+
+def _linked(lists: DataFrame, left: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) after all rounds over ``lists``; ``links`` are those found before."""
+    begin, end = 0, FIRST
     while True:
         pairs = written(candidates(lists, begin, end, percent), "pairs")
         more = verified(pairs, left, percent).select(F.col("y").alias("node"), F.col("x").alias("parent"))
         links = written(links.unionByName(more) if links is not None else more, "jaccard-links")
         roots = written(components(links), "roots")
         begin, end = end, end * GROWTH
-        placed = lists.drop("component").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-        apart = F.min("component") != F.max("component")
-        todo = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), apart.alias("apart"))
-        todo = todo.filter((F.col("size") > begin + 1) & F.col("apart")).select("token")
-        lists = written(placed.drop("root").join(todo, "token", "left_semi"), "lists")
+        lists = _apart(lists, roots, begin)
         if lists.isEmpty():
-            return roots
+            return links, roots
+
+
+def _links(left: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the classes that have links.
+
+    Near copies share dozens of lists, and each would give the same pairs. So a node first meets the
+    others of one list only, and then those that are still in other components in all its lists.
+    """
+    own = F.col("node").alias("component")
+    every = left.select("node", "n", own, "bits", F.explode("first").alias("token"))
+    lists = written(distinct_lists(every), "lists")
+    links, roots = _linked(written(largest_lists(lists), "lists"), left, percent)
+    rest = _apart(lists, roots, 0)
+    return roots if rest.isEmpty() else _linked(rest, left, percent, links)[1]
 
 
 def near_duplicates(
