@@ -102,9 +102,12 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, outlives executors."""
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, outlives executors. ``narrow``:
+    rows of a few numbers, written by at most four tasks a core, not as a file for each of many partitions."""
     path = scratch_path(df.sparkSession, f"llm-{label}")
+    if narrow:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

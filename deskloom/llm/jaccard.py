@@ -18,15 +18,18 @@ tokens by 512 slots, a bound on the difference) don't exclude them; they go on i
 overlap in the second and in the third order, and what remains is verified on the whole sets.
 
 Of lists with the same members one is kept, and a class meets the others of its largest list before
-those of the rest, where most are in its component by then. Lists of many near copies: members are compared with the first of a list, links are joined to
-components, and only members of other components are compared with the next few, eight times as
-many. The last round has compared every pair of a list whose members were not yet in one component,
-so no link between components is lost, and pairs inside a group are never written out.
+those of the rest, where most are in its component by then. Lists of many near copies: a member is
+compared with the first one before it that size and bitmap allow, links are joined to components, and
+then in all lists with the first eight of other components. A list where all that are allowed were
+compared is done, as lists of a common passage are at once; of the others, those that still lie in
+several components go on with eight times as many. So no link between components is lost, and pairs
+inside a group are never written out.
 
 Bounds: the heavy tokens are at most ``HEAVY`` times the mean set size, as each is in one of
 ``HEAVY`` classes; they are broadcast. The texts of the classes left are found again by one of
 ``SLOTS`` hash slots of their ids (broadcast: at most ``SLOTS`` numbers). A worker holds a batch of
-texts or the counted tokens of one bucket, of which there are several for each scan partition.
+texts, the counted tokens of one bucket, of which there are several for each scan partition, or the
+numbers and bitmaps (88 bytes) of the members of one list.
 
 Equal hashes count as equal shingles. Null and wordless texts have an empty set and link with
 nothing. Repeated rows share their component; null ids never become a component's id unless it
@@ -35,7 +38,7 @@ holds no other. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,11 +55,11 @@ from deskloom.llm.simhash import components
 SHINGLE, PERCENT, SEED = 4, 85, 42
 #: One token in so many is counted; a token of one in so many classes is heavy; slots of ids.
 COUNTED, HEAVY, SLOTS = 4, 100, 1 << 20
-#: Members that each of a list is compared with in the first round, and their growth by round. With
-#: one, m near copies make m - 1 pairs a list; more would make pairs inside groups still unlinked.
+#: Earlier members that each of a list is compared with in the first round, and their growth by round.
+#: With one, m near copies make m - 1 pairs a list; more would make pairs inside groups still unlinked.
 FIRST, GROWTH = 1, 8
-#: Lists up to this long are compared all at once.
-_SHORT = 16
+#: Lists up to this long are compared all at once; members that one is compared with at a time.
+_SHORT, _CHUNK = 16, 1 << 14
 _LONG = np.int64(1) << 62
 _SPREADS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -320,25 +323,45 @@ def _ordered(left: DataFrame, heavy: np.ndarray, buckets: int, percent: int) ->
     return left.select("node", known["code"].alias("codes"), known["df"].alias("df"), "tokens").mapInArrow(run, schema)
 
 
+def near(n, bits, component, n0, bits0, component0, percent: int):
+    """Whether the sizes and bitmaps of members allow the threshold with members of other components
+    that are not larger; either side may be one member."""
+    total = n + n0
+    apart = total - 2 * ((percent * total + 99 + percent) // (100 + percent))
+    fits = (component != component0) & (percent * n <= 100 * n0)
+    return fits & (np.bitwise_count(bits ^ bits0).sum(axis=-1, dtype=np.int64) <= apart)
+
+
 @dataclass
 class _List:
-    """A list that is being read: its token, members seen and those that later ones are compared with."""
+    """A list, ordered by size; each of its columns is held as the parts that were read."""
 
     token: int
-    seen: int
-    reps: list[tuple]  # (node, n, component, bits)
-
-
-def candidates(lists: DataFrame, begin: int, end: int, percent: int) -> DataFrame:
-    """(x, y): members ``begin`` to ``end`` of every list against its later members of other
-    components whose size and bitmap allow the threshold. ``lists``: (token, n, node, component, bits)."""
-
-    def near(n, bits, component, n0, bits0, component0):
-        """Of arrays of members against one member that is not larger, or an array of these."""
-        total = n + n0
-        apart = total - 2 * ((percent * total + 99 + percent) // (100 + percent))
-        fits = (component != component0) & (percent * n <= 100 * n0)
-        return fits & (np.bitwise_count(bits ^ bits0).sum(axis=-1, dtype=np.int64) <= apart)
+    parts: list[tuple]  # (n, node, component, bits)
+
+    def pairs(self, begin: int, end: int, percent: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+        """Pairs as in ``compared``, and whether a member has more."""
+        n, node, component, bits = (np.concatenate(column) for column in zip(*self.parts))
+        low = np.searchsorted(n, -(-percent * n // 100))
+        found, more = [], False
+        for i in range(1, len(n)):
+            close: list[int] = []
+            for a in range(int(low[i]), i, _CHUNK):
+                b = min(i, a + _CHUNK)
+                ok = near(n[i], bits[i], component[i], n[a:b], bits[a:b], component[a:b], percent)
+                close += (a + np.flatnonzero(ok)).tolist()
+                if len(close) > end:
+                    more = True
+                    break
+            if own := close[begin:end]:
+                found.append((node[own], np.full(len(own), node[i])))
+        return found, more
+
+
+def compared(lists: DataFrame, begin: int, end: int, percent: int) -> DataFrame:
+    """(x, y): every member of a list and, of the earlier members of other components that are near
+    it, those from the ``begin``-th up to the ``end``-th. A list with a member that has more gives its
+    token as x, with a null y. ``lists``: (token, n, node, component, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: _List | None = None
@@ -354,32 +377,44 @@ def candidates(lists: DataFrame, begin: int, end: int, percent: int) -> DataFram
             short[[0, -1]] = False  # may go on in a neighbouring batch
             length = np.repeat(np.where(short, size, 0), size)
             place = np.arange(len(token)) - np.repeat(cut[:-1], size)
-            for step in range(1, int(length.max(initial=0))):
-                a = np.flatnonzero((place + step < length) & (place >= begin) & (place < end))
+            times = np.zeros(len(token), np.int64)
+            for step in range(int(length.max(initial=0)) - 1, 0, -1):  # the earliest first
+                a = np.flatnonzero(place + step < length)
                 b = a + step
-                ok = near(n[b], bits[b], component[b], n[a], bits[a], component[a])
-                found.append((node[a[ok]], node[b[ok]]))
+                ok = near(n[b], bits[b], component[b], n[a], bits[a], component[a], percent)
+                use = ok & (times[b] >= begin) & (times[b] < end)
+                times[b[ok]] += 1
+                found.append((node[a[use]], node[b[use]]))
+            more = np.unique(token[times > end]).tolist()
             long = (size > _SHORT) & ~short
             long[[0, -1]] = True
             for a, b in zip(cut[:-1][long].tolist(), cut[1:][long].tolist()):
                 if here is None or here.token != token[a]:
-                    here = _List(int(token[a]), 0, [])
-                for name, n0, comp0, bits0 in here.reps:
-                    ok = near(n[a:b], bits[a:b], component[a:b], n0, bits0, comp0)
-                    found.append((np.full(ok.sum(), name), node[a:b][ok]))
-                for i in range(max(a, a + begin - here.seen), min(b, a + end - here.seen)):
-                    ok = near(n[i + 1 : b], bits[i + 1 : b], component[i + 1 : b], n[i], bits[i], component[i])
-                    found.append((np.full(ok.sum(), node[i]), node[i + 1 : b][ok]))
-                    here.reps.append((node[i], n[i], component[i], bits[i].copy()))
-                here.seen += b - a
-            x, y = (np.concatenate(side) for side in zip(*found)) if found else (node[:0], node[:0])
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+                    if here is not None:
+                        yield _pairs(*here.pairs(begin, end, percent), here.token)
+                    here = _List(int(token[a]), [])
+                here.parts.append((n[a:b], node[a:b], component[a:b], bits[a:b]))
+            yield _pairs(found, False, 0, more)
+        if here is not None:
+            yield _pairs(*here.pairs(begin, end, percent), here.token)
+
+    def _pairs(found: list[tuple], more: bool, token: int, tokens: Sequence[int] = ()) -> pa.RecordBatch:
+        x, y = (np.concatenate(side) for side in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        marks = [*tokens, *([token] if more else [])]
+        left = np.concatenate((pairs[:, 0], np.array(marks, np.int64)))
+        right = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(marks), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), right], names=["x", "y"])
 
     ordered = lists.select("token", "n", "node", "component", "bits").repartition("token")
     return ordered.sortWithinPartitions("token", "n", "node").mapInArrow(run, "x long, y long").distinct()
 
 
+def candidates(lists: DataFrame, begin: int, end: int, percent: int) -> DataFrame:
+    """The pairs (x, y) of ``compared``."""
+    return compared(lists, begin, end, percent).filter("y IS NOT NULL")
+
+
 def verified(pairs: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that share prefix tokens under the other orders and reach the threshold."""
 
@@ -413,27 +448,11 @@ def largest_lists(lists: DataFrame) -> DataFrame:
     return lists.join(own, ["node", "token"], "left_semi")
 
 
-def _apart(lists: DataFrame, roots: DataFrame, begin: int) -> DataFrame:
-    """``lists`` of more than ``begin`` + 1 members that lie in two components or more, as of ``roots``."""
+def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``lists`` whose members lie in two components or more, as of ``roots``."""
     placed = lists.drop("component").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    apart = F.min("component") != F.max("component")
-    todo = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), apart.alias("apart"))
-    todo = todo.filter((F.col("size") > begin + 1) & F.col("apart")).select("token")
-    return written(placed.drop("root").join(todo, "token", "left_semi"), "lists")
-
-
-def _linked(lists: DataFrame, left: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) after all rounds over ``lists``; ``links`` are those found before."""
-    begin, end = 0, FIRST
-    while True:
-        pairs = written(candidates(lists, begin, end, percent), "pairs")
-        more = verified(pairs, left, percent).select(F.col("y").alias("node"), F.col("x").alias("parent"))
-        links = written(links.unionByName(more) if links is not None else more, "jaccard-links")
-        roots = written(components(links), "roots")
-        begin, end = end, end * GROWTH
-        lists = _apart(lists, roots, begin)
-        if lists.isEmpty():
-            return links, roots
+    todo = placed.groupBy("token").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart")
+    return written(placed.drop("root").join(todo.select("token"), "token", "left_semi"), "lists")
 
 
 def _links(left: DataFrame, percent: int) -> DataFrame:
@@ -442,12 +461,28 @@ def _links(left: DataFrame, percent: int) -> DataFrame:
     Near copies share dozens of lists, and each would give the same pairs. So a node first meets the
     others of one list only, and then those that are still in other components in all its lists.
     """
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        more = verified(pairs, left, percent).select(F.col("y").alias("node"), F.col("x").alias("parent"))
+        return written(more, "jaccard-links", narrow=True)
+
     own = F.col("node").alias("component")
     every = left.select("node", "n", own, "bits", F.explode("first").alias("token"))
     lists = written(distinct_lists(every), "lists")
-    links, roots = _linked(written(largest_lists(lists), "lists"), left, percent)
-    rest = _apart(lists, roots, 0)
-    return roots if rest.isEmpty() else _linked(rest, left, percent, links)[1]
+    met = candidates(written(largest_lists(lists), "lists"), 0, FIRST, percent)
+    roots = components(links_of(written(met, "pairs", narrow=True)))
+    most = FIRST
+    while True:
+        most *= GROWTH
+        lists = _apart(lists, roots)
+        pairs = written(compared(lists, 0, most, percent), "pairs", narrow=True)
+        more = links_of(pairs.filter("y IS NOT NULL"))
+        if not more.isEmpty():
+            roots = components(roots.withColumnRenamed("root", "parent").unionByName(more))
+        cut = pairs.filter("y IS NULL").select(F.col("x").alias("token"))
+        if cut.isEmpty():
+            return roots
+        lists = lists.join(cut, "token", "left_semi")
 
 
 def near_duplicates(
@@ -472,6 +507,7 @@ def near_duplicates(
     classes = written(
         texts.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("held").alias("held")),
         "set-classes",
+        narrow=True,
     )
     unique = F.col("held") - F.coalesce(F.size("known"), F.lit(0)) - F.coalesce("heavy", F.lit(0))
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
@@ -481,7 +517,7 @@ def near_duplicates(
     roots = _links(left, percent)
     rooted = classes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    placed = written(rooted.join(least, "root").select("node", "component_id"), "components")
+    placed = written(rooted.join(least, "root").select("node", "component_id"), "components", narrow=True)
     linked = texts.filter("n > 0").join(placed, "node")
     empty = texts.filter("n = 0").withColumn("component_id", F.col("id"))
     both = linked.select(texts.columns + ["component_id"]).unionByName(empty)

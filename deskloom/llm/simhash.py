@@ -179,9 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round keeps every node's least parent, hangs its other parents below that one, and
     skips over the parent where that has a parent itself. A written table ends each round.
     """
-    edges = written(edges.select("node", "parent"), "links")
+    edges = written(edges.select("node", "parent"), "links", narrow=True)
     while True:
-        best = written(edges.groupBy("node").agg(F.min("parent").alias("up")), "parents")
+        best = written(edges.groupBy("node").agg(F.min("parent").alias("up")), "parents", narrow=True)
         above = best.select(F.col("node").alias("up"), F.col("up").alias("top"))
         hops = best.join(above, "up", "left").select(
             "node", F.coalesce("top", "up").alias("parent"), F.col("top").isNotNull().alias("moved")
@@ -193,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
                 F.greatest("parent", "up").alias("node"), F.least("parent", "up").alias("parent"), F.lit(True).alias("moved")
             )
         )
-        following = written(hops.unionByName(others), "links")
+        following = written(hops.unionByName(others), "links", narrow=True)
         if following.filter("moved").isEmpty():
             return best.withColumnRenamed("up", "root")
         edges = following.groupBy("node", "parent").agg(F.max("moved").alias("moved")).select("node", "parent")

@@ -152,3 +152,28 @@ def test_near_copies_meet_in_one_list_first(spark, monkeypatch):
     wanted = brute.jaccard_components(sets)
     assert found_by(df) == {k: (len(sets[k]), wanted[k]) for k in sets}
     assert made[0][1] == made[0][2] > 0  # an entry for each node
+
+
+def test_lists_of_a_common_passage_take_few_rounds(spark, monkeypatch):
+    """150 texts far apart that share a passage: no member is near another, so the lists are done at once."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(45)]
+    texts = [" ".join([f"o{rng.randrange(10**6)}" for _ in range(20)] + common) for _ in range(150)]
+    texts.append(texts[0] + " more")
+    rounds, plain = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = brute.shingle_sets(enumerate(texts))
+    wanted = brute.jaccard_components(sets)
+    assert found_by(df) == {k: (len(sets[k]), wanted[k]) for k in sets}
+    assert wanted[150] == 0 and len(rounds) <= 2
+
+
+@pytest.mark.parametrize("size", [12, 40])
+def test_lists_with_more_pairs_are_told(spark, size):
+    """Members of a list meet two earlier ones of other components, and the list goes on if there are more."""
+    members = list(range(10, 10 + size))
+    rows = [(t, 100, n, n, bytes(64)) for t in (1, 2, 3) for n in (members if t == 2 else members[:3])]
+    df = spark.createDataFrame(rows, "token long, n long, node long, component long, bits binary").coalesce(1)
+    got = {tuple(r) for r in jaccard.compared(df, 0, 2, 85).collect()}
+    assert got == {(x, n) for n in members for x in members[:2] if x < n} | {(2, None)}
