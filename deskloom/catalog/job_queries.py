@@ -396,9 +396,7 @@ def _quality(spark, sf):
 @query("tfidf_lr")
 def tfidf_lr(spark, sf):
     rows = materialize(stratified_split(_quality(spark, sf), "quality", "doc_id"), "split")
-    model = L.fit_text_model(
-        rows.filter("split = 'train'"), "doc_id", "text", "quality", ("low", "high"), max_iter=50
-    )
+    model = L.fit_text_model(rows.filter("split = 'train'"), "doc_id", "text", "quality", ("low", "high"))
     return L.predict_text(model, rows.filter("split = 'test'"), "doc_id", "text").select(
         "doc_id", "quality", "predicted", "confidence"
     )

@@ -2,6 +2,7 @@
 exported coefficients, and the fit itself by its gradient."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -86,6 +87,20 @@ def test_tfidf_lr(spark):
             assert got[r.doc_id].predicted == ("low", "high")[each.argmax()]
 
 
+def test_tfidf_lr_is_fitted_to_the_end(spark, tmp_path, monkeypatch):
+    """The fit has the model's 1000 iterations and ends because it converged."""
+    pick = random.Random(7)
+    docs = [(i, " ".join(pick.choices([f"word{n}" for n in range(600)], k=60))) for i in range(500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, int(pick.random() < 0.8)) for i, _ in docs]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    fitted, fit = [], L.fit_text_model
+    monkeypatch.setattr(L, "fit_text_model", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    assert entry.queries()["tfidf_lr"](spark, str(tmp_path)).count() == 100
+    model = fitted[0].model
+    assert model.summary.totalIterations < model.getMaxIter() == 1000
+
+
 def test_folds_share_one_count(spark):
     dealt = L.materialize(stratified_folds(labelled(spark), "quality", "doc_id", 5), "dealt")
     rows = dealt.collect()
