@@ -23,7 +23,7 @@ from deskloom.functions.text import fill_template, fingerprint
 from deskloom.operators import metrics as M
 from deskloom.operators.learners import (
     fit_text_model,
-    fold_features,
+    fold_table,
     majority_predict,
     predict_text,
     text_regression,
@@ -222,17 +222,18 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, actual, predicted) of a text model fitted once per fold on the other folds.
 
-    Texts are split into terms once, and one count of them serves the vocabularies of all folds."""
-    dealt = materialize(stratified_folds(df, label, item, folds), "folds")
-    features = fold_features(dealt, item, text, label, folds)
+    Folds are dealt to ids; one count of terms serves the vocabularies of all folds, and a fold's
+    vectors are made as its model reads them."""
+    dealt = materialize(stratified_folds(df.select(item, label), label, item, folds), "folds")
+    table = fold_table(df, dealt, item, text, label, folds)
     named = F.array(*map(F.lit, labels))
     parts = []
     for fold in range(folds):
-        rows = features.filter(F.col("model") == fold)
-        train = rows.filter(F.col("fold") != fold).withColumn("_y", F.col("label").cast("double"))
-        model = text_regression(train.count(), max_iter).fit(train)
+        others, own = (table.rows.filter(c) for c in (F.col("fold") != fold, F.col("fold") == fold))
+        train = table.vectors([fold], others).withColumn("_y", F.col("label").cast("double"))
+        model = text_regression(others.count(), max_iter).fit(train)
         parts.append(
-            model.transform(rows.filter(F.col("fold") == fold)).select(
+            model.transform(table.vectors([fold], own)).select(
                 "fold",
                 "item",
                 named[F.col("label")].alias("actual"),

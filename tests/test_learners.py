@@ -120,6 +120,43 @@ def test_folds_share_one_count(spark):
         assert np.allclose(x, np.stack([vectors[fold, r.doc_id] for r in rows]))
 
 
+def test_rare_terms_are_not_written(spark, monkeypatch):
+    """Most terms come once: what the folds write are frequent terms, a row for each text and counts."""
+    pick = random.Random(4)
+    common = [f"word{n}" for n in range(30)]
+    texts = [" ".join(w for n in range(40) for w in (pick.choice(common), f"rare{i}x{n}")) for i in range(60)]
+    dealt = spark.createDataFrame([(i, t, i % 2, i % 3) for i, t in enumerate(texts)], "id long, t string, y int, fold int")
+    written = []
+    keep = lambda df, label: written.append(L_materialize(df, label)) or written[-1]
+    L_materialize = L.materialize
+    monkeypatch.setattr(L, "materialize", keep)
+    monkeypatch.setattr(L, "SHARE", 1e-3, raising=False)
+    assert L.fold_features(dealt, "id", "t", "y", 3, 20).count() == 180
+    assert sum(df.count() for df in written) < 60 * 40
+
+
+@pytest.mark.parametrize("settings", [{}, {"SHARE": 0.2}, {"CANDIDATES": 0}, {"COUNTED": 50, "SHARE": 0.02}])
+def test_folds_whatever_terms_are_candidates(spark, monkeypatch, settings):
+    """An id with two texts and two folds, null and empty texts, pairs; too few or too many candidates at first."""
+    for name, value in settings.items():
+        monkeypatch.setattr(L, name, value)
+    pick = random.Random(5)
+    words = [f"é{n}" for n in range(40)] + ["the", "x"]
+    line = lambda: " ".join(pick.choices(words, [1 / (n + 1) for n in range(42)], k=pick.randint(0, 30)))
+    rows = [(i, line(), i % 2, i % 3) for i in range(40)] + [(7, line(), 1, 0), (40, None, 0, 1), (41, "", 1, 2), (None, line(), 0, 1)]
+    dealt = spark.createDataFrame(rows, "id long, t string, y int, fold int")
+    got = [(r.model, r.item, r.fold, r.label, r.features.toArray()) for r in L.fold_features(dealt, "id", "t", "y", 3, 25).collect()]
+    assert sorted((m, str(i), f, y) for m, i, f, y, _ in got) == sorted((m, str(i), f, y) for m in range(3) for i, _, y, f in rows)
+    bag = {i: sum((grams(t) for j, t, *_ in rows if j == i), Counter()) for i, *_ in rows}
+    bag[None] = Counter()  # a null id has no terms
+    for model in range(3):
+        train = [bag[i] for i, _, _, f in rows if f != model]
+        vocabulary = vocabulary_of(train, 25)
+        for m, i, _, _, features in got:
+            if m == model:
+                assert np.allclose(features, matrix([bag[i]], vocabulary, 25)[0])
+
+
 def test_text_cross_validation(spark):
     """Predictions of every fold from separately fitted and exported models."""
     df = L.materialize(labelled(spark), "quality")
