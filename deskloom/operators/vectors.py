@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from deskloom.functions.rules import STOP_WORDS
+from deskloom.operators.grams import Splitter, hash_terms, hash_words, splitter, spread_bits
 from deskloom.session import materialize, spread
 
 
@@ -38,21 +40,14 @@ def explode_terms(
     text: str,
     stops: Sequence[str],
     token: str = TOKEN,
-    hashed: bool = False,
-    only: DataFrame | None = None,
 ) -> DataFrame:
     """(item, grp, term, tf) of every text; bigrams are formed after stop words went.
 
-    Texts are dealt out by (item, grp), so their terms are counted where they are. ``hashed``: 64-bit
-    hashes in place of the terms. ``only``: the terms of this table (grp, term)."""
+    Texts are dealt out by (item, grp), so their terms are counted where they are."""
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = df.select(item, group, text).repartition(tasks, item, group)
     terms = _grams(dealt, item, group, text, stops, token).select("item", "grp", F.explode("grams").alias("term"))
-    if hashed:
-        terms = terms.withColumn("term", F.xxhash64("term"))
-    if only is not None:
-        terms = terms.join(only, ["grp", "term"], "left_semi")
     return terms.groupBy("item", "grp", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -103,23 +98,18 @@ def idf_table(frequencies: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def weigh(terms: DataFrame, idf: DataFrame, norms: DataFrame | None = None) -> DataFrame:
+def weigh(terms: DataFrame, idf: DataFrame) -> DataFrame:
     """(item, grp, terms): array of (term, w) with unit L2 norm, w = (1+ln tf)*idf.
 
     Terms the group does not know are dropped before the norm is taken. The array is one
-    text's terms, so its size is bounded by that text. ``norms`` (item, grp, norm) are given if
-    ``terms`` are only some of the texts' terms.
+    text's terms, so its size is bounded by that text.
     """
     raw = terms.join(idf.select("grp", "term", "idf"), ["grp", "term"]).select(
         "item", "grp", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")
     )
-    listed = F.collect_list(F.struct("term", "w")).alias("terms")
-    if norms is None:
-        per_item = raw.groupBy("item", "grp").agg(listed, F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    else:
-        known = norms.select(F.col("item").alias("_item"), F.col("grp").alias("_grp"), "norm")
-        same = F.col("item").eqNullSafe(F.col("_item")) & (F.col("grp") == F.col("_grp"))
-        per_item = raw.groupBy("item", "grp").agg(listed).join(known, same)
+    per_item = raw.groupBy("item", "grp").agg(
+        F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
     return per_item.select(
         "item",
         "grp",
@@ -169,34 +159,150 @@ def build_index(
     return index_of(ids, terms, counted, ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), k)
 
 
+#: Characters of the texts that are counted together, and such chunks whose counts meet in one task.
+CHUNK, MEET = 8_000_000, 4
+
+
 def _index_for(
     df: DataFrame, item: str, group: str, text: str, k: int, stops: Sequence[str], wanted: DataFrame
 ) -> LexicalIndex:
-    """The index of the terms in ``wanted``.
+    """The index of the terms in ``wanted``, which every task holds.
 
-    All terms of all texts move once, as hashes, to be counted for the norms; none are written.
-    """
+    Texts are dealt out in chunks. A chunk tells each of its terms once, as a hash, with the number
+    of its texts that have it; it gets the numbers of all texts back in the same order, and weighs
+    its texts. No other terms are written, and none move once per text."""
     ids = df.select(F.col(item).alias("item"), F.col(group).alias("grp"))
     sizes = materialize(ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "index-sizes")
-    asked = materialize(wanted.select("grp", "term").distinct(), "index-wanted")
-    every = explode_terms(df, item, group, text, stops, hashed=True)
-    alike = Window.partitionBy("grp", "term")
-    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    norms = (
-        every.withColumn("tf", F.col("tf").cast("int"))
-        .withColumn("df", F.count(F.lit(1)).over(alike))
-        .join(sizes, "grp")
-        .groupBy("item", "grp")
-        .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    )
-    norms = materialize(norms, "index-norms")
-    terms = materialize(explode_terms(df, item, group, text, stops, only=asked), "index-terms")
-    counted = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
-    return index_of(ids, terms, counted, sizes, k, norms)
+    asked = wanted.select("grp", "term").filter("grp is not null").distinct().toArrow()
+    keys = _in_group(hash_terms(asked["term"].to_pylist()), hash_words(_names(asked["grp"]).to_pylist()))
+    order = np.argsort(keys)
+    keys, terms = keys[order], asked["term"].take(order).combine_chunks()
+    split = splitter(df.sparkSession, stops)
+    chunks = (df.agg(F.sum(F.length(text))).first()[0] or 0) // CHUNK + 1
+    buckets = chunks // MEET + 1
+    edges = np.array([i * (1 << 64) // buckets for i in range(1, buckets)], np.uint64)
+    lowered = df.select(F.col(item).alias("item"), F.col(group).alias("grp"), F.lower(text).alias("text"))
+    chunk = F.pmod(F.xxhash64("item", "grp"), F.lit(chunks)).cast("int").alias("chunk")
+    dealt = lowered.join(sizes, "grp").select(chunk, "item", "grp", "n", "text")
+
+    def tell(texts: pa.Table) -> pa.Table:
+        c = _count_chunk(split, texts)
+        ends = [0, *np.searchsorted(c.keys, edges).tolist(), len(c.keys)]
+        parts = list(zip(ends, ends[1:]))
+        columns = [
+            pa.array(np.full(buckets, texts["chunk"][0].as_py()), pa.int32()),
+            pa.array(np.arange(buckets), pa.int32()),
+            pa.array([_packed(c.keys[a:b]) for a, b in parts], pa.binary()),
+            pa.array([c.df[a:b].astype("<i4").tobytes() for a, b in parts], pa.binary()),
+        ]
+        return pa.table(columns, ["chunk", "bucket", "keys", "df"])
+
+    def add(told: pa.Table) -> pa.Table:
+        each = [_unpacked(x) for x in told["keys"].to_pylist()]
+        df = np.concatenate([np.frombuffer(x, "<i4") for x in told["df"].to_pylist()])
+        of = np.unique(np.concatenate(each), return_inverse=True)[1]
+        every = np.bincount(of, df).astype("<i4")[of] if len(of) else df
+        parts = np.split(every, np.cumsum([len(x) for x in each])[:-1])
+        return told.select(["chunk", "bucket"]).append_column("df", pa.array([x.tobytes() for x in parts], pa.binary()))
+
+    def weigh_chunk(texts: pa.Table, added: pa.Table) -> pa.Table:
+        c = _count_chunk(split, texts) if len(texts) else None
+        if c is None or not len(c.keys):
+            return schema_of.empty_table()
+        added = added.take(pc.sort_indices(added["bucket"]))
+        df = np.concatenate([np.frombuffer(x, "<i4") for x in added["df"].to_pylist()])
+        n = texts["n"].to_numpy()[c.first][c.row]
+        w = (1 + np.log(c.tf)) * (np.log((1 + n) / (1 + df[c.term])) + 1)
+        norm = np.sqrt(np.bincount(c.row, w * w, minlength=len(c.first)))
+        place = np.minimum(np.searchsorted(keys, c.keys), max(len(keys) - 1, 0))
+        some = np.flatnonzero((keys[place] == c.keys)[c.term]) if len(keys) else np.zeros(0, np.int64)
+        some = some[np.argsort(c.row[some], kind="stable")]
+        row = c.row[some]
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        entries = pa.StructArray.from_arrays([terms.take(place[c.term[some]]), w[some] / norm[row]], ["term", "w"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), entries)
+        at = c.first[row[begin]]
+        return pa.Table.from_arrays([texts["item"].take(at), texts["grp"].take(at), lists], names=["item", "grp", "terms"])
+
+    entry = T.StructType([T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())])
+    schema = T.StructType([dealt.schema["item"], dealt.schema["grp"], T.StructField("terms", T.ArrayType(entry))])
+    schema_of = to_arrow_schema(schema)
+    told = dealt.groupBy("chunk").applyInArrow(tell, "chunk int, bucket int, keys binary, df binary")
+    added = told.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, df binary")
+    weighed = dealt.groupBy("chunk").cogroup(added.groupBy("chunk")).applyInArrow(weigh_chunk, schema)
+    vectors = materialize(weighed, "index-vectors")
+    counted = flat(vectors).groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
+    groups = materialize(_padded(ids, sizes, k), "index-groups")
+    idf = materialize(idf_table(counted, groups.select("grp", "n")), "index-idf")
+    return _over(vectors, idf, groups)
 
 
-def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: DataFrame, k: int = 3, norms: DataFrame | None = None) -> LexicalIndex:
-    """Index from (item, grp), (item, grp, term, tf), (grp, term, df) and (grp, n); see ``weigh`` for ``norms``."""
+@dataclass(frozen=True)
+class ChunkCounts:
+    """Terms of a chunk of texts; texts that share item and group are one."""
+
+    first: np.ndarray  # of each text: a row of it
+    keys: np.ndarray  # sorted hashes of (group, term)
+    df: np.ndarray  # of each key: texts that have it
+    row: np.ndarray  # of each entry: the text,
+    term: np.ndarray  # the place in ``keys``
+    tf: np.ndarray
+
+
+def _packed(ascending: np.ndarray) -> bytes:
+    """Differences of sorted keys, first bytes first: these are mostly zero and compress."""
+    return np.diff(ascending, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def _in_group(terms: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    return spread_bits(terms ^ spread_bits(groups))
+
+
+def _names(groups: pa.ChunkedArray) -> pa.ChunkedArray:
+    return pc.cast(groups, pa.string())
+
+
+def _count_chunk(split: Splitter, texts: pa.Table) -> ChunkCounts:
+    """Counts of (item, grp, text); no group is null."""
+    groups = _names(texts["grp"]).combine_chunks().dictionary_encode()
+    items = texts["item"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+    of_group = groups.indices.to_numpy().astype(np.int64)
+    _, first, row = np.unique(of_group * len(texts) + items.to_numpy(), return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))  # texts in the order they come
+    first, row = np.sort(first), rank[row]
+    said, order = texts["text"], None
+    if len(first) < len(texts):
+        order = np.argsort(row, kind="stable")
+        said, row = said.take(order), row[order]
+    salt = hash_words(groups.dictionary.to_pylist())[of_group if order is None else of_group[order]]
+    pieces = [(row[p.row], _in_group(p.hash, salt[p.row])) for p in split.pieces(said)]
+    of, key = (np.concatenate(x) for x in zip(*pieces))
+    order = np.argsort(key, kind="stable")  # texts ascend among equal keys
+    of, key = of[order], key[order]
+    other = np.ones(len(key), bool)
+    other[1:] = key[1:] != key[:-1]
+    entry = other.copy()
+    entry[1:] |= of[1:] != of[:-1]
+    at = np.flatnonzero(entry)
+    term = np.cumsum(other)[at] - 1
+    tf = np.diff(np.append(at, len(key)))
+    return ChunkCounts(first, key[other], np.bincount(term, minlength=int(other.sum())), of[at], term, tf)
+
+
+def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: DataFrame, k: int = 3) -> LexicalIndex:
+    """Index from (item, grp), (item, grp, term, tf), (grp, term, df) and (grp, n)."""
+    groups = materialize(_padded(ids, sizes, k), "index-groups")
+    idf = materialize(idf_table(frequencies, groups.select("grp", "n")), "index-idf")
+    return _over(materialize(weigh(terms, idf), "index-vectors"), idf, groups)
+
+
+def _padded(ids: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(grp, n, padding): the lowest ``k`` items of each group."""
     first = Window.partitionBy("grp").orderBy("item")
     padding = (
         ids.withColumn("_rn", F.row_number().over(first))
@@ -204,9 +310,10 @@ def index_of(ids: DataFrame, terms: DataFrame, frequencies: DataFrame, sizes: Da
         .groupBy("grp")
         .agg(F.array_sort(F.collect_list("item")).alias("padding"))
     )
-    groups = materialize(sizes.join(padding, "grp"), "index-groups")
-    idf = materialize(idf_table(frequencies, groups.select("grp", "n")), "index-idf")
-    vectors = materialize(weigh(terms, idf, norms), "index-vectors")
+    return sizes.join(padding, "grp")
+
+
+def _over(vectors: DataFrame, idf: DataFrame, groups: DataFrame) -> LexicalIndex:
     impacts = keyed(vectors)
     bounds = impacts.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
     return LexicalIndex(flat(vectors), vectors, impacts, bounds, idf, groups)

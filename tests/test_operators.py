@@ -487,3 +487,29 @@ def test_index_of_wanted_terms_finds_the_same(spark):
     assert listed and listed <= asked < {(r.grp, r.term) for r in every.postings.collect()} | asked
     weights = lambda index: {(r["item"], r.grp, r.term): round(r.w, 9) for r in index.postings.collect() if (r.grp, r.term) in asked}
     assert weights(some) == weights(every)
+
+
+@pytest.mark.parametrize("chunk", [60, 400, 8_000_000])
+def test_index_of_wanted_terms_makes_no_row_of_a_term(spark, monkeypatch, chunk):
+    """Chunks of texts tell their counts to each other; few or many of them, ids twice, null ids, texts and groups."""
+    rng = random.Random(8)
+    words = [f"ü{i}" for i in range(50)] + ["the"]
+    line = lambda: " ".join(rng.choices(words, [1 / (n + 1) for n in range(51)], k=rng.randint(0, 20)))
+    rows = [(i if i % 8 else None, "abc"[i % 3], line()) for i in range(90)]
+    rows += [(5, "c", line()), (91, "a", None), (92, "b", ""), (93, None, line())]
+    df = spark.createDataFrame(rows, "id long, g string, t string").repartition(5)
+    wanted = spark.createDataFrame([(g, t) for g in ("a", "b", "d", None) for t in ("ü0", "ü1", "ü2 ü0", "no", "ü0 ü0")], "grp string, term string")
+    every = V.build_index(df, "id", "g", "t")
+    asked = {(r.grp, r.term) for r in wanted.collect()}
+    expected = {(r["item"], r.grp, r.term): round(r.w, 9) for r in every.postings.collect() if (r.grp, r.term) in asked}
+    counts = {(r.grp, r.term): (r.df, r.n, round(r.idf, 9)) for r in every.idf.collect() if (r.grp, r.term) in asked}
+    monkeypatch.setattr(V, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(V, "MEET", 1, raising=False)
+    monkeypatch.delattr(V, "explode_terms")
+    some = V.build_index(df, "id", "g", "t", wanted=wanted)
+    assert expected and {(r["item"], r.grp, r.term): round(r.w, 9) for r in some.postings.collect()} == expected
+    assert {(r.grp, r.term): (r.df, r.n, round(r.idf, 9)) for r in some.idf.collect()} == counts
+    key = lambda r: str(r.grp)
+    assert sorted(some.groups.collect(), key=key) == sorted(every.groups.collect(), key=key)
+    nothing = V.build_index(df, "id", "g", "t", wanted=wanted.filter("term = 'no'"))
+    assert nothing.postings.count() == 0 and nothing.groups.count() == 3
