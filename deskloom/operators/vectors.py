@@ -47,7 +47,9 @@ def explode_terms(
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = df.select(item, group, text).repartition(tasks, item, group)
-    terms = _grams(dealt, item, group, text, stops, token).select("item", "grp", F.explode("grams").alias("term"))
+    # Not ``explode``: its filter on empty arrays would go below the exchange, and split texts there too.
+    grams = _grams(dealt, item, group, text, stops, token)
+    terms = grams.select("item", "grp", F.explode_outer("grams").alias("term")).filter("term is not null")
     return terms.groupBy("item", "grp", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -341,7 +343,7 @@ SEEDS, SEED_ITEMS = 8, 256
 #: Scores are rounded to four digits; what may round to the threshold counts as reaching it.
 MARGIN = 1e-4
 #: Weighed terms and rows that a block of queries or items holds about.
-BLOCK_TERMS, BLOCK_ROWS = 4_000_000, 16_384
+BLOCK_TERMS, BLOCK_ROWS = 4_000_000, 32_768
 
 
 def lexical_matches(
@@ -439,7 +441,18 @@ def _flat(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _kth(values: np.ndarray, k: int) -> float:
     """The k-th best value; below all if there are fewer."""
-    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+    if len(values) < k:
+        return -np.inf
+    if k > 8 or len(values) < 256:
+        return float(np.partition(values, len(values) - k)[len(values) - k])
+    best = []  # a few passes over all are less work than a partition
+    for _ in range(k):
+        at = int(values.argmax())
+        best.append((at, values[at]))
+        values[at] = -np.inf
+    for at, value in best:
+        values[at] = value
+    return float(best[-1][1])
 
 
 def _best_of_block(
@@ -465,14 +478,14 @@ def _best_of_block(
     top = np.maximum.reduceat(weight, start)
 
     def sums(terms: np.ndarray, w: np.ndarray) -> np.ndarray:
-        score = np.zeros(len(sizes))
-        few = df[terms] <= 64
+        few = df[terms] <= SEED_ITEMS
         size = df[terms[few]]
-        at = np.repeat(start[terms[few]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        if len(at):
-            score += np.bincount(row[at], np.repeat(w[few], size) * weight[at], minlength=len(sizes))
+        at = np.repeat(start[terms[few]] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        score = np.bincount(row[at], np.repeat(w[few], size) * weight[at], len(sizes)) if len(at) else np.zeros(len(sizes))
         for t, x in zip(terms[~few].tolist(), w[~few].tolist()):
-            score[row[start[t] : start[t] + df[t]]] += x * weight[start[t] : start[t] + df[t]]
+            listed = slice(start[t], start[t] + df[t])
+            score[row[listed]] += x * weight[listed]
         return score
 
     def scored(terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -482,13 +495,14 @@ def _best_of_block(
         rare = rare[np.argsort(-most[rare], kind="stable")[:seeds]]
         floor = _kth(sums(terms[rare], w[rare]), k) - MARGIN if len(rare) else 0.0
         frequent = np.argsort(-df[terms], kind="stable")
-        skipped = frequent[np.cumsum(most[frequent]) < floor]
-        left = np.setdiff1d(np.arange(len(terms)), skipped)
+        n = int(np.searchsorted(np.cumsum(most[frequent]), floor))  # bounds below it together
+        skipped, left = frequent[:n], frequent[n:]
         score = sums(terms[left], w[left])
-        if not len(skipped):
-            some = np.flatnonzero(score)
+        least = max(floor, _kth(score, k) - MARGIN)
+        if not n:
+            some = np.flatnonzero(score >= least) if least > 0 else np.flatnonzero(score)
             return some, score[some]
-        some = np.flatnonzero(score + most[skipped].sum() >= max(floor, _kth(score, k) - MARGIN))
+        some = np.flatnonzero(score >= least - most[skipped].sum() - 1e-12)
         total = score[some]
         for t, x in zip(terms[skipped].tolist(), w[skipped].tolist()):
             listed = row[start[t] : start[t] + df[t]]

@@ -513,3 +513,35 @@ def test_index_of_wanted_terms_makes_no_row_of_a_term(spark, monkeypatch, chunk)
     assert sorted(some.groups.collect(), key=key) == sorted(every.groups.collect(), key=key)
     nothing = V.build_index(df, "id", "g", "t", wanted=wanted.filter("term = 'no'"))
     assert nothing.postings.count() == 0 and nothing.groups.count() == 3
+
+
+@pytest.mark.parametrize("k", [1, 3, 9])
+def test_best_of_block_partitions_no_whole_block(monkeypatch, k):
+    """The best of a block, ties to the lower item, without a partition of all its scores for each query."""
+    rng = np.random.default_rng(6)
+    weights = 1 / np.arange(1, 301)
+    bag = lambda n: np.sort(rng.choice(300, n, replace=False, p=weights / weights.sum()))
+    rows = [bag(rng.integers(1, 15)) for _ in range(700)]
+    rows[40:50] = [rows[40]] * 10  # equal scores
+    x = np.zeros((len(rows), 300))
+    for i, terms in enumerate(rows):
+        x[i, terms] = 1 + 1 / (1 + terms)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat = lambda part: (np.array([(r > 0).sum() for r in part]), np.concatenate([np.flatnonzero(r) for r in part]) * 7919, part[part > 0])
+    partition = np.partition
+    most = []
+    monkeypatch.setattr(V.np, "partition", lambda a, n: most.append(len(a)) or partition(a, n))
+    query, item, score = V._best_of_block(flat(x[:120]), flat(x), k, V.SEEDS)
+    assert k > 8 or max(most, default=0) < 256
+    every = np.round(x[:120] @ x.T, 4)
+    for q in range(120):
+        best = [i for i in np.argsort(-every[q], kind="stable")[:k] if every[q, i] > 0]
+        assert item[query == q].tolist() == best and np.allclose(score[query == q], every[q, best], atol=6e-5)
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 9, 400])
+def test_kth_leaves_the_values(k):
+    values = np.random.default_rng(k).integers(0, 50, 300).astype(float)
+    was = values.copy()
+    assert V._kth(values, k) == (np.sort(was)[::-1][k - 1] if k <= 300 else -np.inf)
+    assert (values == was).all()
