@@ -388,8 +388,9 @@ def expand_dataset_rows(spark, sf):
 
 
 # Model-backed operators. Fitted weights are not SQL; the rows are checked by tests.
-def _quality(spark, sf):
-    docs = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+def _quality(spark, sf, hint=None):
+    labels = table(spark, sf, "labels")
+    docs = texts(spark, sf, "documents").join(labels.hint(hint) if hint else labels, "doc_id")
     return materialize(docs.select("doc_id", "text", "quality"), "quality")
 
 
@@ -436,7 +437,8 @@ def cross_validation(spark, sf):
 def text_cross_validation(spark, sf):
     """Folds of the fitted text model over the labelled documents."""
     labels = ("low", "high")
-    predictions = E.cross_validate(_quality(spark, sf), "doc_id", "text", "quality", labels, max_iter=20)
+    marked = _quality(spark, sf, "merge")  # labels grow with the documents: never held whole
+    predictions = E.cross_validate(marked, "doc_id", "text", "quality", labels, max_iter=20)
     return E.summarise_folds(predictions, labels)
 
 

@@ -121,11 +121,12 @@ def _outside(own: DataFrame, sizes: DataFrame, folds: int, max_features: int) ->
     )
 
 
-#: Terms that are counted together, the share of them that makes a term a candidate, and most candidates.
-COUNTED, SHARE, CANDIDATES = 2_000_000, 4e-6, 1_000_000
+#: Terms that are counted together, the share of them that makes a term a candidate, the part of what
+#: the last of the best terms has that keeps it one, and most candidates.
+COUNTED, SHARE, PART, CANDIDATES = 2_000_000, 4e-6, 0.5, 1_000_000
 
 
-def _candidates(texts: DataFrame, split: Splitter, share: float, most: int) -> tuple[np.ndarray, float] | None:
+def _candidates(texts: DataFrame, split: Splitter, share: float, part: float, most: int) -> tuple[np.ndarray, float] | None:
     """(hashes, total): sorted hashes of terms, with all those that occur ``total`` times or more.
 
     Terms are counted in runs of ``COUNTED`` of them, and a run tells those that make up ``share``
@@ -154,8 +155,8 @@ def _candidates(texts: DataFrame, split: Splitter, share: float, most: int) -> t
     every = counted.filter("hash is null").agg(F.sum("n")).first()[0] or 0
     known = counted.filter("hash is not null")
     best = known.orderBy(F.col("n").desc()).limit(most).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).first()
-    # Half of what the last of all rows' best terms has: folds leave most rows to a model.
-    total = max(share * every, best["n"] / 2 if best["rows"] == most else 0)
+    # A part of what the last of all rows' best terms has: folds leave some rows to a model.
+    total = max(share * every, part * best["n"] if best["rows"] == most else 0)
     kept = known.filter(F.col("n") + share * (F.lit(every) - F.col("seen")) >= total)
     if kept.count() > max(CANDIDATES, 8 * most):
         return None
@@ -288,8 +289,8 @@ def fold_table(
     ids = dealt.select(F.col(item).alias("item"), "fold", F.col(label).alias("label"))
     sizes = dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
     split = splitter(texts.sparkSession, STOP_WORDS, 2)
-    share = SHARE
-    while found := _candidates(known, split, share, max_features):
+    share, part = SHARE, PART
+    while found := _candidates(known, split, share, part, max_features):
         kept, total = found
         rows = _hit_rows(known, ids, split, kept)
         own = materialize(_own_counts(rows, folds, len(kept)), "fold-terms")
@@ -297,7 +298,7 @@ def fold_table(
         least = [[r["total"] for r in vocabulary if r["fold"] == f] for f in range(folds)]
         if total <= 1 or all(len(t) == max_features and min(t) >= total for t in least):
             break
-        share = share / 16
+        share, part = share / 16, part / 16
     else:  # the most frequent terms aren't frequent: all are counted as rows
         single = _term_rows(texts, item, text).join(dealt.select(F.col(item).alias("item"), "fold"), "item")
         terms = materialize(single.select("fold", "item", "term", "tf"), "all-terms")

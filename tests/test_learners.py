@@ -135,7 +135,7 @@ def test_rare_terms_are_not_written(spark, monkeypatch):
     assert sum(df.count() for df in written) < 60 * 40
 
 
-@pytest.mark.parametrize("settings", [{}, {"SHARE": 0.2}, {"CANDIDATES": 0}, {"COUNTED": 50, "SHARE": 0.02}])
+@pytest.mark.parametrize("settings", [{}, {"SHARE": 0.2}, {"PART": 3}, {"CANDIDATES": 0}, {"COUNTED": 50, "SHARE": 0.02}])
 def test_folds_whatever_terms_are_candidates(spark, monkeypatch, settings):
     """An id with two texts and two folds, null and empty texts, pairs; too few or too many candidates at first."""
     for name, value in settings.items():
